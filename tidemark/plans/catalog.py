@@ -212,3 +212,138 @@ def q_monthly_txn(spark, sf_dir):
     return m.select(F.col("period_label").alias("period"), money("sales").alias("sales"),
                     "n_orders", "n_products", "n_customers",
                     rnd("avg_txn_sale", 2).alias("avg_txn_sale"))
+
+
+# ------------------------------------------------- series features & stats
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tidemark.config import LAGS  # noqa: E402
+from tidemark.functions.numeric import money, rnd  # noqa: E402
+from tidemark.operators import anomaly, evaluation  # noqa: E402
+from tidemark.plans import series_sql as S  # noqa: E402
+
+
+def feature_frame(spark, sf_dir, key: str | None):
+    roles = ["order_date", "sales"] + ([key] if key else [])
+    m = series.monthly_series(sales_fact(spark, sf_dir, roles), key, with_counts=False)
+    return series.add_features(m)
+
+
+def present_features(fe):
+    return fe.select(
+        "series_key", F.col("period_label").alias("period"), money("sales").alias("sales"),
+        *[money(f"lag{k}").alias(f"lag{k}") for k in LAGS],
+        money("roll3_mean", 2, 4).alias("roll3_mean"), money("roll6_mean", 2, 5).alias("roll6_mean"),
+        money("roll12_mean", 2, 6).alias("roll12_mean"), rnd("roll3_std", 2).alias("roll3_std"),
+        rnd("roll6_std", 2).alias("roll6_std"), rnd("ema3", 2).alias("ema3"),
+        rnd("ema6", 2).alias("ema6"), rnd("ema12", 2).alias("ema12"),
+        "month", "quarter", "year", "is_q4", rnd("mom_pct", 2).alias("mom_pct"),
+        rnd("yoy_pct", 2).alias("yoy_pct"), money("dev_roll3", 2, 4).alias("dev_roll3"))
+
+
+@register("series_features_all", "W1 W2 W3 W4 W5 W6 W7 C6 (key ALL)",
+          S.chain(None) + "\n" + S.features_select())
+def q_series_features_all(spark, sf_dir):
+    return present_features(feature_frame(spark, sf_dir, None))
+
+
+@register("series_features_region", "W1 W2 W3 W4 W5 W6 W7 C6 (key region)",
+          S.chain("region") + "\n" + S.features_select())
+def q_series_features_region(spark, sf_dir):
+    return present_features(feature_frame(spark, sf_dir, "region"))
+
+
+@register("series_features_segment", "W1-W7 C6 (key segment)",
+          S.chain("segment") + "\n" + S.features_select())
+def q_series_features_segment(spark, sf_dir):
+    return present_features(feature_frame(spark, sf_dir, "segment"))
+
+
+@register("anomaly_stats", "A13 A14 W8 AN1 AN6", S.chain("region", "stats") + f"""
+SELECT series_key, strftime(period, '%Y-%m') AS period, {M('sales')} AS sales,
+       {M('q1', 2, 6)} AS q1, {M('q3', 2, 6)} AS q3, {M('iqr_lo', 2, 7)} AS iqr_lo,
+       {M('iqr_hi', 2, 7)} AS iqr_hi, {R('z_score', 3)} AS z_score, stat_flag, direction
+FROM st""")
+def q_anomaly_stats(spark, sf_dir):
+    st = anomaly.stat_flags(feature_frame(spark, sf_dir, "region"))
+    return st.select("series_key", F.col("period_label").alias("period"), money("sales").alias("sales"),
+                     money("q1", 2, 6).alias("q1"), money("q3", 2, 6).alias("q3"),
+                     money("iqr_lo", 2, 7).alias("iqr_lo"), money("iqr_hi", 2, 7).alias("iqr_hi"),
+                     rnd("z_score", 3).alias("z_score"), "stat_flag", "direction")
+
+
+def _naive(spark, sf_dir, key="region"):
+    fe = feature_frame(spark, sf_dir, key)
+    pred = evaluation.seasonal_naive(evaluation.holdout_split(fe))
+    return fe, pred, evaluation.forecast_metrics(pred)
+
+
+@register("forecast_metrics_naive", "F3 F7", S.chain("region", "naive") + """
+SELECT series_key, n_test, mape, rmse, r2, mase FROM mt""")
+def q_forecast_metrics_naive(spark, sf_dir):
+    return _naive(spark, sf_dir)[2].drop("rmse_raw")
+
+
+@register("backtest_naive", "F3 F8", S.chain("region", "naive") + f"""
+SELECT series_key, strftime(period, '%Y-%m') AS period, {M('actual')} AS actual,
+       {M('predicted')} AS predicted FROM pr WHERE is_test""")
+def q_backtest_naive(spark, sf_dir):
+    _, pred, _ = _naive(spark, sf_dir)
+    return evaluation.backtest_rows(pred).select(
+        "series_key", F.col("period_label").alias("period"), "actual", "predicted")
+
+
+def _bands(spark, sf_dir):
+    fe, pred, met = _naive(spark, sf_dir)
+    return evaluation.forecast_bands(evaluation.seasonal_naive_projection(fe), met), met
+
+
+@register("forecast_bands_naive", "F10 K5", S.chain("region", "naive", "bands") + """
+SELECT series_key, period, step, forecast, lower_90, upper_90 FROM bd""")
+def q_forecast_bands_naive(spark, sf_dir):
+    return _bands(spark, sf_dir)[0]
+
+
+@register("future_risks_naive", "AN8 K5", S.chain("region", "naive", "bands") + f"""
+SELECT bd.series_key, bd.period, bd.forecast, 'High Volatility' AS risk_type
+FROM bd JOIN mt ON bd.series_key = mt.series_key
+WHERE bd.step <= {CFG.risk_steps} AND (bd.upper_90 - bd.lower_90) > mt.rmse * {S._dbl(CFG.risk_k)}""")
+def q_future_risks_naive(spark, sf_dir):
+    bands, met = _bands(spark, sf_dir)
+    return anomaly.future_risks(bands, met)
+
+
+def _voted(spark, sf_dir):
+    fe, pred, met = _naive(spark, sf_dir)
+    st = anomaly.stat_flags(fe)
+    rf = anomaly.residual_flags(pred.where(F.col("is_test")), met)
+    return anomaly.vote(anomaly.attach_flags(st, rf, "resid_flag"), ["stat_flag", "resid_flag"])
+
+
+_VOTES = S.chain("region", "stats", "naive", "votes")
+
+
+@register("anomaly_scores_naive", "AN4 AN5 AN7 J2", _VOTES + f"""
+SELECT series_key, strftime(period, '%Y-%m') AS period, {M('sales')} AS sales,
+       {R('z_score', 3)} AS z_score, votes, severity, is_anomaly FROM vs""")
+def q_anomaly_scores_naive(spark, sf_dir):
+    return anomaly.monthly_scores(_voted(spark, sf_dir))
+
+
+@register("anomaly_confirmed_naive", "C7 AN5 AN6", _VOTES + f"""
+SELECT series_key, strftime(period, '%Y-%m') AS period, {M('sales')} AS sales, severity,
+       direction, votes, {R('z_score', 3)} AS z_score FROM vs WHERE votes >= 2""")
+def q_anomaly_confirmed_naive(spark, sf_dir):
+    return anomaly.confirmed(_voted(spark, sf_dir))
+
+
+@register("anomaly_summary_naive", "A16", _VOTES + f"""
+SELECT series_key, COUNT(*) AS total_months, COUNT(*) FILTER (WHERE is_anomaly) AS total_anomalies,
+       COUNT(*) FILTER (WHERE votes >= 3) AS critical, COUNT(*) FILTER (WHERE votes = 2) AS high,
+       COUNT(*) FILTER (WHERE is_anomaly AND direction = 'spike') AS spikes,
+       COUNT(*) FILTER (WHERE is_anomaly AND direction = 'drop') AS drops,
+       {R('COALESCE(COUNT(*) FILTER (WHERE is_anomaly) * 100.0 / NULLIF(COUNT(*), 0), 0.0)', 2)} AS anomaly_rate_pct
+FROM vs GROUP BY series_key""")
+def q_anomaly_summary_naive(spark, sf_dir):
+    return anomaly.anomaly_summary(_voted(spark, sf_dir))

@@ -347,3 +347,104 @@ SELECT series_key, COUNT(*) AS total_months, COUNT(*) FILTER (WHERE is_anomaly)
 FROM vs GROUP BY series_key""")
 def q_anomaly_summary_naive(spark, sf_dir):
     return anomaly.anomaly_summary(_voted(spark, sf_dir))
+
+
+# ------------------------------------------------------------- explanation
+
+from tidemark.operators import explain, ledger, throttle  # noqa: E402
+
+# The 16 model features with a SQL form (the two STL features have none).
+SQL_FEATURES = ("lag1", "lag2", "lag3", "lag6", "lag12", "roll3_mean", "roll3_std", "roll6_mean",
+                "roll6_std", "roll12_mean", "ema3", "ema6", "ema12", "month", "quarter", "is_q4")
+# Fixture importances by rule: weight (n - i) for the i-th feature, normalised to sum 1.
+FIXTURE_IMPORTANCES = tuple(
+    (f, (len(SQL_FEATURES) - i) / (len(SQL_FEATURES) * (len(SQL_FEATURES) + 1) / 2))
+    for i, f in enumerate(SQL_FEATURES))
+
+
+def _importances(spark):
+    return spark.createDataFrame(list(FIXTURE_IMPORTANCES), "feature string, importance double")
+
+
+def _deviation(spark, sf_dir):
+    fe = feature_frame(spark, sf_dir, "region")
+    return explain.deviation_scores(fe, _importances(spark), SQL_FEATURES)
+
+
+def _deviation_sql() -> str:
+    casts = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in SQL_FEATURES)
+    imp = ", ".join(f"('{f}', {S._dbl(v)}, {i + 1})" for i, (f, v) in enumerate(FIXTURE_IMPORTANCES))
+    contrib = (f"(value - med) / (CASE WHEN sd = 0 THEN 1.0 ELSE sd END) * "
+               f"COALESCE(importance, {S._dbl(CFG.default_importance)}) * {S._dbl(CFG.explain_scale)}")
+    return S.chain("region") + f""",
+lf AS (UNPIVOT (SELECT series_key, period, {casts} FROM fe) ON {', '.join(SQL_FEATURES)}
+       INTO NAME feature VALUE value),
+sc AS (SELECT *, median(value) OVER (PARTITION BY series_key, feature) AS med,
+              stddev_samp(value) OVER (PARTITION BY series_key, feature) AS sd FROM lf),
+imp AS (SELECT * FROM (VALUES {imp}) t(feature, importance, pos)),
+cb AS (SELECT sc.series_key, sc.period, sc.feature, imp.pos, {R('value', 2)} AS value,
+              {R(contrib, 4)} AS contribution
+       FROM sc LEFT JOIN imp ON sc.feature = imp.feature)"""
+
+
+@register("explain_deviation_top", "X3 X4 A15 J3 W9 K4", _deviation_sql() + """
+SELECT series_key, strftime(period, '%Y-%m') AS period, rank, feature, value, contribution
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY series_key, period
+                                       ORDER BY abs(contribution) DESC, pos ASC) AS BIGINT) AS rank
+      FROM cb) t WHERE rank <= 6""")
+def q_explain_deviation_top(spark, sf_dir):
+    top = explain.top_contributions(_deviation(spark, sf_dir), CFG.top_contrib)
+    return top.select("series_key", F.col("period_label").alias("period"), "rank", "feature",
+                      "value", "contribution")
+
+
+@register("explain_global_mean_abs", "A17 X2", _deviation_sql() + f"""
+SELECT feature, {R('AVG(abs(contribution))', 4)} AS mean_abs_contribution FROM cb GROUP BY feature""")
+def q_explain_global_mean_abs(spark, sf_dir):
+    sc = _deviation(spark, sf_dir).withColumn("contribution", rnd("contribution", 4))
+    return sc.groupBy("feature").agg(rnd(F.avg(F.abs("contribution")), 4).alias("mean_abs_contribution"))
+
+
+# ------------------------------------------------------- ledger & messages
+
+@register("chat_history_first5", "S12 S11", """
+SELECT conv_id, turn, sender, message FROM (
+  SELECT conv_id, turn, role AS sender, text AS message,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn
+  FROM conversations) t WHERE rn <= 5""")
+def q_chat_history_first5(spark, sf_dir):
+    from tidemark.sources.tables import read_table
+    msgs = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("role").alias("sender"), F.col("text").alias("message"))
+    w_order = F.struct("turn", "sender", "message")
+    return ledger.first_messages(msgs.withColumn("_o", w_order), 5, key="conv_id", order="_o").drop("_o")
+
+
+@register("events_latest_status", "S9 S10", """
+SELECT user_id, event_type AS status, ts, first_ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
+         min(ts) OVER (PARTITION BY user_id) AS first_ts FROM events) t WHERE rn = 1""")
+def q_events_latest_status(spark, sf_dir):
+    from tidemark.sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    cur = ledger.latest_status(ev, key="user_id", status="event_type", ts="ts", tie="event_id", keep=())
+    return ledger.list_runs(cur.withColumnRenamed("event_type", "status"))
+
+
+# ---------------------------------------------------------------- throttle
+
+def _throttle_query(capacity: float, rate: float):
+    def build(spark, sf_dir):
+        from tidemark.sources.tables import read_table
+        ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+        out = throttle.token_bucket(ev, "user_id", "ts", "event_id", capacity, rate)
+        return out.select("event_id", "user_id", "allowed", rnd("tokens", 6).alias("tokens"))
+    sql = throttle.token_bucket_sql(capacity, rate) + f"""
+SELECT tie AS event_id, k AS user_id, allowed, {R('tok', 6)} AS tokens FROM tb"""
+    return build, sql
+
+
+_b, _s = _throttle_query(2.0, 1.0 / 3600.0)
+register("events_throttle_tight", "T2 (2 tokens, 1 per hour)", _s)(_b)
+_b, _s = _throttle_query(CFG.bucket_capacity, CFG.bucket_rate_per_sec)
+register("events_throttle_default", "T2 (10 tokens, 1 per 5 s)", _s)(_b)

@@ -448,3 +448,56 @@ _b, _s = _throttle_query(2.0, 1.0 / 3600.0)
 register("events_throttle_tight", "T2 (2 tokens, 1 per hour)", _s)(_b)
 _b, _s = _throttle_query(CFG.bucket_capacity, CFG.bucket_rate_per_sec)
 register("events_throttle_default", "T2 (10 tokens, 1 per 5 s)", _s)(_b)
+
+
+# ------------------------------------------- model-based (no SQL oracle)
+
+from tidemark.operators import forecast as _fc, iforest, stl  # noqa: E402
+from tidemark.plans import pipeline  # noqa: E402
+
+
+@register("stl_decompose", "M1")
+def q_stl_decompose(spark, sf_dir):
+    m = series.monthly_series(sales_fact(spark, sf_dir, ["order_date", "sales", "region"]), "region",
+                              with_counts=False)
+    d = stl.decompose(m)
+    return d.select("series_key", F.date_format("period", "yyyy-MM").alias("period"),
+                    rnd("stl_trend", 2).alias("stl_trend"), rnd("stl_seasonal", 2).alias("stl_seasonal"),
+                    rnd("stl_resid", 2).alias("stl_resid"))
+
+
+def _model_features(spark, sf_dir, key="region"):
+    roles = ["order_date", "sales"] + ([key] if key else [])
+    return pipeline.build_features(sales_fact(spark, sf_dir, roles), key, CFG)
+
+
+@register("isolation_flags", "AN2 AN3")
+def q_isolation_flags(spark, sf_dir):
+    iso = iforest.isolation_flags(_model_features(spark, sf_dir))
+    return iso.select("series_key", F.date_format("period", "yyyy-MM").alias("period"),
+                      rnd("iso_score", 4).alias("iso_score"), "iso_flag")
+
+
+@register("forecast_model_metrics", "F1 F2 F3 F4 F5 F6 F7 F8")
+def q_forecast_model_metrics(spark, sf_dir):
+    fe = _model_features(spark, sf_dir).cache()
+    return _fc.backtest(fe, CFG)[1].drop("rmse_raw")
+
+
+@register("forecast_future", "F9 F10 (model)")
+def q_forecast_future(spark, sf_dir):
+    fe = _model_features(spark, sf_dir).cache()
+    _, metrics = _fc.backtest(fe, CFG)
+    return _fc.recursive_forecast(fe, _fc.fit_models(fe, CFG), metrics, CFG)
+
+
+@register("feature_importance", "F11 K3 X2")
+def q_feature_importance(spark, sf_dir):
+    fe = _model_features(spark, sf_dir).cache()
+    return _fc.feature_importances(_fc.fit_models(fe, CFG)[1], spark=spark)
+
+
+@register("anomaly_confirmed_full", "AN1-AN7 E1 (three detectors)")
+def q_anomaly_confirmed_full(spark, sf_dir):
+    txn = sales_fact(spark, sf_dir, ["order_date", "sales", "region"])
+    return pipeline.run_pipeline(txn, CFG, key="region")["anomaly_monthly_scores"]

@@ -85,7 +85,8 @@ def bind_roles(columns, aliases=ROLE_ALIASES, required=REQUIRED_ROLES) -> RoleBi
     return RoleBinding(roles)
 
 
-def canonical_frame(df: DataFrame, binding: RoleBinding, keep_extra=("quantity", "discount")) -> DataFrame:
+def canonical_frame(df: DataFrame, binding: RoleBinding, keep_extra=("quantity", "discount"),
+                    carry=()) -> DataFrame:
     """Select role columns under their role names with typed values.
 
     Dates are parsed (C1); rows are NOT dropped here, see ``drop_unusable``.
@@ -101,6 +102,7 @@ def canonical_frame(df: DataFrame, binding: RoleBinding, keep_extra=("quantity",
     for extra in keep_extra:
         if extra in df.columns and extra not in binding.roles:
             out.append(F.col(extra).cast("double").alias(extra))
+    out += [F.col(c) for c in carry]
     return df.select(*out)
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 OUT_SCHEMA = "user_id long, event_id long, ts timestamp_ntz, allowed boolean, tokens double"
@@ -55,7 +56,9 @@ def _fn(key: str, ts: str, tie: str, capacity: float, rate: float):
 
 def throttle_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id",
                     capacity: float = 10.0, rate: float = 0.2, watermark: str = "1 hour") -> DataFrame:
-    src = events.withWatermark(ts, watermark).select(key, tie, ts)
+    # watermarks need an instant type; with the session in UTC the cast keeps wall-clock values
+    src = (events.withColumn(ts, F.col(ts).cast("timestamp"))
+                 .withWatermark(ts, watermark).select(key, tie, ts))
     return src.groupBy(key).applyInPandasWithState(
         _fn(key, ts, tie, float(capacity), float(rate)), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout)

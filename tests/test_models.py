@@ -141,3 +141,19 @@ def test_landing_ingest_stream(spark, tmp_path):
     assert k == {"a.csv": (15.0, 2), "b.csv": (7.0, 1)}
     st = {r.run_id.rsplit("/", 1)[-1]: r.status for r in store.current_runs(spark, base).collect()}
     assert st == {"a.csv": "COMPLETED", "b.csv": "COMPLETED"}
+
+
+def test_tree_shap_additive_on_spark_forest(spark):
+    from tidemark.config import MODEL_FEATURES
+    from tidemark.operators import treeshap
+    from tidemark.plans.pipeline import build_features
+    from tidemark.sources.tables import sales_fact
+    cfg = PipelineConfig(gbt_iter=2, rf_trees=8)
+    fe = build_features(sales_fact(spark, SF_SMALL, ["order_date", "sales", "region"]), "region", cfg).cache()
+    _, rf = forecast.fit_models(fe, cfg)
+    scores = treeshap.shap_scores(fe, rf, MODEL_FEATURES)
+    total = scores.groupBy("series_key", "period").agg(F.sum("contribution").alias("phi"))
+    base = treeshap.expected_value(treeshap.forest_arrays(spark, rf))
+    pred = rf.transform(forecast.assembler().transform(fe)).select("series_key", "period", F.col("p_rf").alias("prediction"))
+    rows = total.join(pred, ["series_key", "period"]).collect()
+    assert rows and all(abs(r.phi + base - r.prediction) < 1e-6 for r in rows)

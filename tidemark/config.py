@@ -58,7 +58,8 @@ class PipelineConfig:
     contamination: float = 0.1
     risk_steps: int = 6
     risk_k: float = 2.0
-    # explanation
+    # explanation: "deviation" (the source's effective path) or "tree_shap"
+    explain_method: str = "deviation"
     top_contrib: int = 6
     # token bucket (upload limiter: burst of 10, then one per 5 s)
     bucket_capacity: float = 10.0

@@ -32,9 +32,9 @@ def forest_arrays(spark: SparkSession, model) -> list[dict]:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/forest-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
-        "treeID", "nodeData.id", "nodeData.prediction", F.element_at("nodeData.impurityStats", 1).alias("cover"),
+        "treeID", "nodeData.id", "nodeData.prediction", F.try_element_at("nodeData.impurityStats", F.lit(1)).alias("cover"),
         "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-        F.element_at("nodeData.split.leftCategoriesOrThreshold", 1).alias("threshold")).toPandas()
+        F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold")).toPandas()
     trees = []
     for _, t in nodes.groupby("treeID"):
         t = t.sort_values("id")

@@ -501,3 +501,15 @@ def q_feature_importance(spark, sf_dir):
 def q_anomaly_confirmed_full(spark, sf_dir):
     txn = sales_fact(spark, sf_dir, ["order_date", "sales", "region"])
     return pipeline.run_pipeline(txn, CFG, key="region")["anomaly_monthly_scores"]
+
+
+@register("tree_shap_top", "X1 K4 (Tree SHAP of the fitted forest)")
+def q_tree_shap_top(spark, sf_dir):
+    from tidemark.config import MODEL_FEATURES
+    from tidemark.operators import explain as _ex
+    from tidemark.operators import treeshap
+    fe = pipeline.model_rows(_model_features(spark, sf_dir), CFG).cache()
+    rf = _fc.fit_models(fe, CFG)[1]
+    top = _ex.top_contributions(treeshap.shap_scores(fe, rf, MODEL_FEATURES), CFG.top_contrib)
+    return top.select("series_key", F.col("period_label").alias("period"), "rank", "feature",
+                      "value", "contribution")

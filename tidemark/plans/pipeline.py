@@ -10,22 +10,38 @@ every downstream step.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import MODEL_FEATURES, PipelineConfig
 from tidemark.operators import (anomaly, eda, evaluation, explain, forecast, iforest, profile,
-                                series, stl)
+                                series, stl, treeshap)
 
 CFG = PipelineConfig()
 
 
 def build_features(txn: DataFrame, key: str | None = None, cfg: PipelineConfig = CFG) -> DataFrame:
+    """Monthly series + STL + window features; ``n_months`` per series is kept
+    so model steps can skip series that are too short (SN4)."""
     m = series.monthly_series(txn, key, cfg)
+    m = m.withColumn("n_months", F.count(F.lit(1)).over(Window.partitionBy("series_key")))
     m = stl.with_stl(m)
     return series.add_features(m)
 
 
+def series_status(fe: DataFrame, cfg: PipelineConfig = CFG) -> DataFrame:
+    """SN4: per series, months, usable feature rows and whether it is long
+    enough for the models; short series are reported, others go on."""
+    g = fe.groupBy("series_key").agg(F.max("n_months").alias("n_months"),
+                                     F.count(F.lit(1)).alias("n_feature_rows"))
+    return g.withColumn("status", F.when(F.col("n_months") >= cfg.min_months, "ok")
+                                   .otherwise("too_short"))
+
+
+def model_rows(fe: DataFrame, cfg: PipelineConfig = CFG) -> DataFrame:
+    return fe.where(F.col("n_months") >= cfg.min_months)
+
+
 def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = None,
                  raw: DataFrame | None = None, with_models: bool = True) -> dict:
     out = {}
@@ -36,6 +52,7 @@ def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = No
         out[f"eda_{name}"] = df
     fe = build_features(txn, key, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     out["features"] = fe
+    out["series_status"] = series_status(fe, cfg)
 
     st = anomaly.stat_flags(fe, cfg)
     iso = iforest.isolation_flags(fe, cfg)
@@ -44,16 +61,22 @@ def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = No
     detectors = ["stat_flag", "iso_flag"]
 
     if with_models:
-        pred, metrics = forecast.backtest(fe, cfg)
-        models = forecast.fit_models(fe, cfg)
+        mf = model_rows(fe, cfg)
+        pred, metrics = forecast.backtest(mf, cfg)
+        models = forecast.fit_models(mf, cfg)
         out["forecast_metrics"] = metrics.drop("rmse_raw")
         out["forecast_backtest"] = evaluation.backtest_rows(pred)
-        fc = forecast.recursive_forecast(fe, models, metrics, cfg)
+        fc = forecast.recursive_forecast(mf, models, metrics, cfg)
         out["forecast_future"] = fc
         imp = forecast.feature_importances(models[1], MODEL_FEATURES, txn.sparkSession)
         out["feature_importance"] = imp
         out["explain_global"] = explain.global_importance(imp, cfg)
-        scores = explain.deviation_scores(fe, imp, MODEL_FEATURES, cfg)
+        if cfg.explain_method == "tree_shap":
+            scores = treeshap.shap_scores(mf, models[1], MODEL_FEATURES)
+            out["explain_global"] = scores.groupBy("feature").agg(
+                F.round(F.avg(F.abs("contribution")), 4).alias("shap"))
+        else:
+            scores = explain.deviation_scores(mf, imp, MODEL_FEATURES, cfg)
         top = explain.top_contributions(scores, cfg.top_contrib)
         out["explain_top"] = top
         out["explain_top_maps"] = explain.top_feature_maps(top)

@@ -157,3 +157,22 @@ def test_tree_shap_additive_on_spark_forest(spark):
     pred = rf.transform(forecast.assembler().transform(fe)).select("series_key", "period", F.col("p_rf").alias("prediction"))
     rows = total.join(pred, ["series_key", "period"]).collect()
     assert rows and all(abs(r.phi + base - r.prediction) < 1e-6 for r in rows)
+
+
+def test_stl_train_only_has_no_look_ahead(spark):
+    rows = [("k", dt.date(2000 + i // 12, i % 12 + 1, 1), float(100 + i + 20 * np.sin(i))) for i in range(48)]
+    m = spark.createDataFrame(rows, "series_key string, period date, sales double")
+    a = {r.period: r.stl_trend for r in stl.with_stl_train_only(m).collect()}
+    changed = rows[:-1] + [(rows[-1][0], rows[-1][1], 99999.0)]
+    b = {r.period: r.stl_trend for r in stl.with_stl_train_only(
+        spark.createDataFrame(changed, "series_key string, period date, sales double")).collect()}
+    assert a == b  # a holdout value never reaches the STL columns
+
+
+def test_rolling_origin_cv(spark):
+    from tidemark.plans.pipeline import build_features
+    from tidemark.sources.tables import sales_fact
+    cfg = PipelineConfig(gbt_iter=2, rf_trees=3)
+    fe = build_features(sales_fact(spark, SF_SMALL, ["order_date", "sales"]), None, cfg).cache()
+    cv = forecast.rolling_origin_cv(fe, cfg, folds=2).collect()
+    assert sorted(r.fold for r in cv) == [1, 2] and all(r.n_test == 12 for r in cv)

@@ -107,3 +107,36 @@ def test_money_rounding_is_order_independent(spark):
     from tidemark.functions.numeric import money
     # 0.145 has no exact binary form; both engines must show 0.15
     assert spark.range(1).select(money(F.lit(0.145)).alias("m")).first().m == 0.15
+
+
+def test_constant_series_not_flagged(spark):
+    from tidemark.operators import anomaly
+    rows = [("k", dt.date(2020 + i // 12, i % 12 + 1, 1), 5.0) for i in range(20)]
+    m = spark.createDataFrame(rows, "series_key string, period date, sales double")
+    st = anomaly.stat_flags(m).collect()
+    assert all(r.z_score is None and r.stat_flag is False and r.direction == "pattern" for r in st)
+
+
+def test_missing_optional_columns(spark):
+    txn = spark.createDataFrame([(dt.datetime(2020, 1, 1), 5.0)], "order_date timestamp, sales double")
+    assert eda.category_breakdown(txn).count() == 0
+    assert eda.share_breakdown(txn, "segment").count() == 0
+    assert eda.ship_lead_times(txn).count() == 0
+    assert eda.top_entities_report(txn).count() == 0
+    k = eda.kpi_summary(txn).first()
+    assert k.total_orders == 1 and k.profit_is_estimated
+    k_old = eda.kpi_summary(txn, id_fallback="sales").first()
+    assert k_old.total_orders == 1
+
+
+def test_messages_store_first_n(spark, tmp_path):
+    from tidemark.sources import store
+    base = str(tmp_path / "s")
+    msgs = spark.createDataFrame([("r1", i, "user" if i % 2 else "bot", f"m{i}") for i in range(10)]
+                                 + [("r2", 0, "user", "hello")],
+                                 "run_id string, seq long, sender string, message string") \
+                .withColumn("ts", F.current_timestamp())
+    store.append_messages(msgs, base)
+    got = store.chat_history(spark, base, "r1", limit=3).orderBy("seq").collect()
+    assert [r.message for r in got] == ["m0", "m1", "m2"]
+    assert store.chat_history(spark, base, limit=3).count() == 4

@@ -41,7 +41,9 @@ class PipelineConfig:
     # series
     fill_gaps: bool = False
     min_months: int = 30
-    # forecast
+    # forecast; stl_scope "train": backtest STL fitted on train months only (SN2),
+    # "full": on all months as the source does
+    stl_scope: str = "train"
     holdout: int = 12
     short_extra: int = 6
     horizon: int = 12

@@ -20,6 +20,8 @@ key ``'ALL'`` the training rows are the source pipeline's.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
@@ -51,7 +53,11 @@ def fit_models(rows: DataFrame, cfg: PipelineConfig = CFG, features=MODEL_FEATUR
     rf = RandomForestRegressor(numTrees=cfg.rf_trees, featureSubsetStrategy="all", maxDepth=12,
                                seed=cfg.seed, labelCol="label", featuresCol="features",
                                predictionCol="p_rf")
-    g, r = gbt.fit(data), rf.fit(data)
+    # the two learners are independent: submit both fits at once (each is a
+    # sequence of small jobs, so they share the executors instead of queueing)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fg, fr = pool.submit(gbt.fit, data), pool.submit(rf.fit, data)
+        g, r = fg.result(), fr.result()
     data.unpersist()
     return g, r
 
@@ -154,23 +160,22 @@ def recursive_forecast(fe: DataFrame, models, metrics: DataFrame, cfg: PipelineC
                .select("series_key", F.col("period").alias("last_period"), "hist", "trend_hist",
                        "season_hist"))
     ensure_checkpoint_dir(fe.sparkSession)
-    steps = []
+    state = state.withColumn("fc", F.array().cast("array<double>"))
     for step in range(1, cfg.horizon + 1):
         x = step_features(state, legacy_features)
         x = predict(models, x).withColumn(
             "forecast_raw", F.greatest(F.col("predicted"), F.lit(cfg.forecast_floor)))
-        steps.append(x.select("series_key", F.lit(step).alias("step"),
-                              F.col("next_period").alias("period"), "forecast_raw"))
+        # one row per series; the forecasts so far travel in the state
         state = x.select("series_key", F.col("next_period").alias("last_period"),
                          F.concat("hist", F.array("forecast_raw")).alias("hist"),
                          F.concat("trend_hist", F.array("stl_trend")).alias("trend_hist"),
-                         F.concat("season_hist", F.array("stl_seasonal")).alias("season_hist"))
-        if step % checkpoint_every == 0:
+                         F.concat("season_hist", F.array("stl_seasonal")).alias("season_hist"),
+                         F.concat("fc", F.array("forecast_raw")).alias("fc"))
+        if step % checkpoint_every == 0 and step < cfg.horizon:
             state = state.checkpoint(eager=True)
-            steps = [s.checkpoint(eager=True) for s in steps]
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
+    out = state.select("series_key", "last_period", F.posexplode("fc").alias("i", "forecast_raw")).select(
+        "series_key", (F.col("i") + 1).cast("int").alias("step"),
+        F.add_months("last_period", F.col("i") + 1 - cfg.horizon).alias("period"), "forecast_raw")
     return evaluation.forecast_bands(out, metrics, cfg)
 
 

@@ -129,3 +129,41 @@ def decompose(monthly: DataFrame) -> DataFrame:
 def with_stl(monthly: DataFrame) -> DataFrame:
     """Monthly frame with stl_trend / stl_seasonal joined back (same key)."""
     return monthly.join(decompose(monthly).drop("stl_resid"), ["series_key", "period"], "left")
+
+
+def _train_then_extend(holdout: int, short_extra: int, max_lag: int):
+    """STL on the train months of a series, extended over its holdout months
+    the way the recursive forecast extends it: trend linear from the last two
+    values, seasonal repeated from 12 rows earlier."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("period")
+        y = pdf["sales"].to_numpy(dtype=float)
+        n = len(y)
+        n_fe = n - max_lag
+        hold = holdout if n_fe > holdout + short_extra else max(2, n_fe // 4)
+        n_train = n - hold
+        out = pd.DataFrame({"series_key": pdf["series_key"].to_numpy(), "period": pdf["period"].to_numpy()})
+        p = stl_period(n_train)
+        if n_fe <= 0 or n_train < 2 * p or n_train < 4:
+            out["stl_trend"] = np.nan
+            out["stl_seasonal"] = np.nan
+            out["stl_resid"] = np.nan
+            return out
+        t, s, _ = stl(y[:n_train], p)
+        trend, season = list(t), list(s)
+        for _ in range(hold):
+            trend.append(trend[-1] + (trend[-1] - trend[-2] if len(trend) >= 2 else 0.0))
+            season.append(season[-12] if len(season) >= 12 else season[-1])
+        out["stl_trend"] = trend
+        out["stl_seasonal"] = season
+        out["stl_resid"] = y - out["stl_trend"].to_numpy() - out["stl_seasonal"].to_numpy()
+        return out
+    return run
+
+
+def with_stl_train_only(monthly: DataFrame, holdout: int = 12, short_extra: int = 6,
+                        max_lag: int = 12) -> DataFrame:
+    """SN2: STL features for a backtest without look-ahead into the holdout."""
+    d = (monthly.select("series_key", "period", "sales").groupBy("series_key")
+                .applyInPandas(_train_then_extend(holdout, short_extra, max_lag), STL_SCHEMA))
+    return monthly.join(d.drop("stl_resid"), ["series_key", "period"], "left")

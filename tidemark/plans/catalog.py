@@ -471,6 +471,14 @@ def _model_features(spark, sf_dir, key="region"):
     return pipeline.build_features(sales_fact(spark, sf_dir, roles), key, CFG)
 
 
+def _model_frames(spark, sf_dir, key="region"):
+    """(monthly, feature rows of model-length series, backtest rows)."""
+    roles = ["order_date", "sales"] + ([key] if key else [])
+    m = pipeline.build_monthly(sales_fact(spark, sf_dir, roles), key, CFG).cache()
+    fe = pipeline.features_from_monthly(m).cache()
+    return m, pipeline.model_rows(fe, CFG), pipeline.backtest_rows(m, fe, CFG)
+
+
 @register("isolation_flags", "AN2 AN3")
 def q_isolation_flags(spark, sf_dir):
     iso = iforest.isolation_flags(_model_features(spark, sf_dir))
@@ -480,21 +488,21 @@ def q_isolation_flags(spark, sf_dir):
 
 @register("forecast_model_metrics", "F1 F2 F3 F4 F5 F6 F7 F8")
 def q_forecast_model_metrics(spark, sf_dir):
-    fe = _model_features(spark, sf_dir).cache()
-    return _fc.backtest(fe, CFG)[1].drop("rmse_raw")
+    _, _, bt = _model_frames(spark, sf_dir)
+    return _fc.backtest(bt, CFG)[1].drop("rmse_raw")
 
 
 @register("forecast_future", "F9 F10 (model)")
 def q_forecast_future(spark, sf_dir):
-    fe = _model_features(spark, sf_dir).cache()
-    _, metrics = _fc.backtest(fe, CFG)
-    return _fc.recursive_forecast(fe, _fc.fit_models(fe, CFG), metrics, CFG)
+    _, mf, bt = _model_frames(spark, sf_dir)
+    _, metrics = _fc.backtest(bt, CFG)
+    return _fc.recursive_forecast(mf, _fc.fit_models(mf, CFG), metrics, CFG)
 
 
 @register("feature_importance", "F11 K3 X2")
 def q_feature_importance(spark, sf_dir):
-    fe = _model_features(spark, sf_dir).cache()
-    return _fc.feature_importances(_fc.fit_models(fe, CFG)[1], spark=spark)
+    _, mf, _ = _model_frames(spark, sf_dir)
+    return _fc.feature_importances(_fc.fit_models(mf, CFG)[1], spark=spark)
 
 
 @register("anomaly_confirmed_full", "AN1-AN7 E1 (three detectors)")
@@ -508,8 +516,8 @@ def q_tree_shap_top(spark, sf_dir):
     from tidemark.config import MODEL_FEATURES
     from tidemark.operators import explain as _ex
     from tidemark.operators import treeshap
-    fe = pipeline.model_rows(_model_features(spark, sf_dir), CFG).cache()
-    rf = _fc.fit_models(fe, CFG)[1]
-    top = _ex.top_contributions(treeshap.shap_scores(fe, rf, MODEL_FEATURES), CFG.top_contrib)
+    _, mf, _ = _model_frames(spark, sf_dir)
+    rf = _fc.fit_models(mf, CFG)[1]
+    top = _ex.top_contributions(treeshap.shap_scores(mf, rf, MODEL_FEATURES), CFG.top_contrib)
     return top.select("series_key", F.col("period_label").alias("period"), "rank", "feature",
                       "value", "contribution")

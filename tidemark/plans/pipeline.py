@@ -9,6 +9,8 @@ every downstream step.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,20 +22,28 @@ from tidemark.operators import (anomaly, eda, evaluation, explain, forecast, ifo
 CFG = PipelineConfig()
 
 
-def build_features(txn: DataFrame, key: str | None = None, cfg: PipelineConfig = CFG) -> DataFrame:
-    """Monthly series + STL + window features; ``n_months`` per series is kept
-    so model steps can skip series that are too short (SN4)."""
+def build_monthly(txn: DataFrame, key: str | None = None, cfg: PipelineConfig = CFG) -> DataFrame:
+    """Monthly series with ``n_months`` per series (kept so model steps can
+    skip series that are too short, SN4)."""
     m = series.monthly_series(txn, key, cfg)
-    m = m.withColumn("n_months", F.count(F.lit(1)).over(Window.partitionBy("series_key")))
-    m = stl.with_stl(m)
-    return series.add_features(m)
+    return m.withColumn("n_months", F.count(F.lit(1)).over(Window.partitionBy("series_key")))
+
 
+def features_from_monthly(m: DataFrame) -> DataFrame:
+    """STL + window features (C6 drops rows missing a model feature)."""
+    return series.add_features(stl.with_stl(m))
 
-def series_status(fe: DataFrame, cfg: PipelineConfig = CFG) -> DataFrame:
+
+def build_features(txn: DataFrame, key: str | None = None, cfg: PipelineConfig = CFG) -> DataFrame:
+    return features_from_monthly(build_monthly(txn, key, cfg))
+
+
+def series_status(m: DataFrame, fe: DataFrame, cfg: PipelineConfig = CFG) -> DataFrame:
     """SN4: per series, months, usable feature rows and whether it is long
     enough for the models; short series are reported, others go on."""
-    g = fe.groupBy("series_key").agg(F.max("n_months").alias("n_months"),
-                                     F.count(F.lit(1)).alias("n_feature_rows"))
+    months = m.groupBy("series_key").agg(F.count(F.lit(1)).alias("n_months"))
+    rows = fe.groupBy("series_key").agg(F.count(F.lit(1)).alias("n_feature_rows"))
+    g = months.join(rows, "series_key", "left").fillna(0, ["n_feature_rows"])
     return g.withColumn("status", F.when(F.col("n_months") >= cfg.min_months, "ok")
                                    .otherwise("too_short"))
 
@@ -42,6 +52,15 @@ def model_rows(fe: DataFrame, cfg: PipelineConfig = CFG) -> DataFrame:
     return fe.where(F.col("n_months") >= cfg.min_months)
 
 
+def backtest_rows(m: DataFrame, fe: DataFrame, cfg: PipelineConfig = CFG) -> DataFrame:
+    """Feature rows for the backtest: with ``stl_scope="train"`` the STL
+    columns come from a fit on train months only (SN2)."""
+    if cfg.stl_scope == "train":
+        return model_rows(series.add_features(
+            stl.with_stl_train_only(m, cfg.holdout, cfg.short_extra)), cfg)
+    return model_rows(fe, cfg)
+
+
 def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = None,
                  raw: DataFrame | None = None, with_models: bool = True) -> dict:
     out = {}
@@ -50,9 +69,11 @@ def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = No
         out["schema_table"] = profile.profile_table(raw)
     for name, df in eda.eda_report(txn, cfg).items():
         out[f"eda_{name}"] = df
-    fe = build_features(txn, key, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    m = build_monthly(txn, key, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    fe = features_from_monthly(m).persist(StorageLevel.MEMORY_AND_DISK)
+    out["monthly"] = m
     out["features"] = fe
-    out["series_status"] = series_status(fe, cfg)
+    out["series_status"] = series_status(m, fe, cfg)
 
     st = anomaly.stat_flags(fe, cfg)
     iso = iforest.isolation_flags(fe, cfg)
@@ -62,8 +83,11 @@ def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = No
 
     if with_models:
         mf = model_rows(fe, cfg)
-        pred, metrics = forecast.backtest(mf, cfg)
-        models = forecast.fit_models(mf, cfg)
+        # backtest fit (train rows) and final fit (all rows) are independent
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            f_bt = pool.submit(forecast.backtest, backtest_rows(m, fe, cfg), cfg)
+            f_full = pool.submit(forecast.fit_models, mf, cfg)
+            (pred, metrics), models = f_bt.result(), f_full.result()
         out["forecast_metrics"] = metrics.drop("rmse_raw")
         out["forecast_backtest"] = evaluation.backtest_rows(pred)
         fc = forecast.recursive_forecast(mf, models, metrics, cfg)

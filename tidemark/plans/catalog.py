@@ -521,3 +521,29 @@ def q_tree_shap_top(spark, sf_dir):
     top = _ex.top_contributions(treeshap.shap_scores(mf, rf, MODEL_FEATURES), CFG.top_contrib)
     return top.select("series_key", F.col("period_label").alias("period"), "rank", "feature",
                       "value", "contribution")
+
+
+# ------------------------------------------------- many series at once
+
+@register("series_features_customer", "W1-W7 C6 (one series per customer)",
+          S.chain("customer_id") + "\n" + S.features_select())
+def q_series_features_customer(spark, sf_dir):
+    return present_features(feature_frame(spark, sf_dir, "customer_id"))
+
+
+@register("monthly_txn_region", "A7 J1 (per region)", S.monthly_counts_cte("region"))
+def q_monthly_txn_region(spark, sf_dir):
+    roles = ["order_date", "sales", "order_id", "product_id", "customer_id", "region"]
+    m = series.monthly_series(sales_fact(spark, sf_dir, roles), "region")
+    return m.select("series_key", F.col("period_label").alias("period"), money("sales").alias("sales"),
+                    "n_orders", "n_products", "n_customers", rnd("avg_txn_sale", 2).alias("avg_txn_sale"))
+
+
+@register("monthly_gapfill_customer", "SN10 calendar spine per series (C3 A6)",
+          S.gapfill_sql("customer_id"))
+def q_monthly_gapfill_customer(spark, sf_dir):
+    m = series.monthly_series(sales_fact(spark, sf_dir, ["order_date", "sales", "customer_id"]),
+                              "customer_id", with_counts=False)
+    filled = series.fill_month_gaps(m.drop("period_label"))
+    return filled.select("series_key", F.date_format("period", "yyyy-MM").alias("period"),
+                         money("sales").alias("sales"))

@@ -133,3 +133,22 @@ def chain(key: str | None, *parts: str) -> str:
         ctes.append({"stats": stats_cte, "naive": naive_ctes, "bands": bands_ctes,
                      "votes": votes_ctes}[p]())
     return "WITH " + ",\n".join(ctes)
+
+
+def monthly_counts_cte(key: str | None) -> str:
+    roles = ["order_date", "sales", "order_id", "product_id", "customer_id"] + ([key] if key else [])
+    k = f"CAST({key} AS VARCHAR)" if key else "'ALL'"
+    where = f"WHERE {key} IS NOT NULL" if key else ""
+    return f"""SELECT {k} AS series_key, strftime(date_trunc('month', order_date), '%Y-%m') AS period,
+       {M('SUM(sales)')} AS sales, COUNT(DISTINCT order_id) AS n_orders,
+       COUNT(DISTINCT product_id) AS n_products, COUNT(DISTINCT customer_id) AS n_customers,
+       {R('AVG(sales)', 2)} AS avg_txn_sale
+FROM {sales_fact_sql(roles)} f {where} GROUP BY 1, 2"""
+
+
+def gapfill_sql(key: str) -> str:
+    return f"""WITH {monthly_cte(key)},
+b AS (SELECT series_key, MIN(period) AS a, MAX(period) AS z FROM m GROUP BY 1),
+sp AS (SELECT series_key, CAST(UNNEST(generate_series(a, z, INTERVAL 1 MONTH)) AS DATE) AS period FROM b)
+SELECT sp.series_key, strftime(sp.period, '%Y-%m') AS period, {M('COALESCE(m.sales, 0.0)')} AS sales
+FROM sp LEFT JOIN m ON sp.series_key = m.series_key AND sp.period = m.period"""

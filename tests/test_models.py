@@ -176,3 +176,20 @@ def test_rolling_origin_cv(spark):
     fe = build_features(sales_fact(spark, SF_SMALL, ["order_date", "sales"]), None, cfg).cache()
     cv = forecast.rolling_origin_cv(fe, cfg, folds=2).collect()
     assert sorted(r.fold for r in cv) == [1, 2] and all(r.n_test == 12 for r in cv)
+
+
+def test_token_bucket_segments_split_hot_key(spark):
+    from tidemark.operators.throttle import _epoch_micros, refill_segments
+    base = dt.datetime(2024, 1, 1)
+    rows, eid = [], 0
+    for c in range(6):  # six bursts of 30 events, three hours apart (> full refill)
+        for k in range(30):
+            rows.append((eid, 7, base + dt.timedelta(hours=3 * c, seconds=k)))
+            eid += 1
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+    seg = refill_segments(ev.withColumn("_us", _epoch_micros("ts")), "user_id", "_us", "event_id", 2.0, 1 / 3600.0)
+    assert seg.select("_seg").distinct().count() == 6
+    a = {r.event_id: (r.allowed, r.tokens) for r in throttle.token_bucket(ev, capacity=2.0, rate=1 / 3600.0).collect()}
+    b = {r.event_id: (r.allowed, r.tokens) for r in throttle.token_bucket(
+        ev, capacity=2.0, rate=1 / 3600.0, split_segments=False).collect()}
+    assert a == b and sum(x[0] for x in a.values()) == 6 * 2

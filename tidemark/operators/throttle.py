@@ -6,23 +6,25 @@ allowed when at least one token is left, which it then spends. With one
 constant key this is the single global upload limiter of the source
 (burst of 10, then one per 5 s).
 
-The recurrence is sequential per key (a denied event does not spend), so
-it has no closed form as a window expression. The plan is: hash-partition
-by key, sort inside partitions by (key, ts, tie), then one streaming pass
-per partition in ``mapInPandas`` with O(1) state per key, carried across
-Arrow batches. No group is ever materialised: a key holding a third of all
-events is scanned in order by one task with constant memory.
+The recurrence is sequential per key (a denied event does not spend),
+so it has no closed form as a window expression. The plan: cut every key's
+events at full-refill points into independent segments
+(``refill_segments``), hash-partition on (key, segment), sort inside
+partitions, then one streaming pass per partition in ``mapInPandas`` with
+O(1) state carried across Arrow batches. No group is materialised, and a
+hot key is spread over as many tasks as it has idle gaps; only a segment
+with no full refill at all is one task's sequential work.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 
-def _scan(key: str, ts: str, capacity: float, rate: float):
+def _scan(key: str, seg: str, ts_us: str, capacity: float, rate: float):
     def run(batches):
         cur = None
         tokens = capacity
@@ -30,13 +32,14 @@ def _scan(key: str, ts: str, capacity: float, rate: float):
         for pdf in batches:
             n = len(pdf)
             keys = pdf[key].to_numpy()
-            micros = pdf[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+            segs = pdf[seg].to_numpy()
+            micros = pdf[ts_us].to_numpy(dtype=np.int64)
             allowed = np.zeros(n, dtype=bool)
             left = np.zeros(n, dtype=np.float64)
             for i in range(n):
-                k = keys[i]
-                if cur is None or k != cur:
-                    cur, tokens, last = k, capacity, micros[i]
+                g = (keys[i], segs[i])
+                if cur is None or g != cur:
+                    cur, tokens, last = g, capacity, micros[i]
                 elapsed = (micros[i] - last) / 1000000.0
                 tokens = min(capacity, tokens + elapsed * rate)
                 last = micros[i]
@@ -44,19 +47,62 @@ def _scan(key: str, ts: str, capacity: float, rate: float):
                     tokens -= 1.0
                     allowed[i] = True
                 left[i] = tokens
-            yield pdf.assign(allowed=allowed, tokens=left)
+            yield pdf.assign(allowed=allowed, tokens=left).drop(columns=[seg, ts_us])
     return run
 
 
+def _epoch_micros(ts: str):
+    """Wall-clock microseconds since 1970 (time-zone independent)."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            F.col(ts).cast("timestamp_ntz"))
+
+
+def refill_segments(events: DataFrame, key: str, ts_us: str, tie: str,
+                    capacity: float, rate: float) -> DataFrame:
+    """Adds ``_seg``: events of a key split where the bucket is provably full.
+
+    After a gap g with g * rate >= capacity the bucket holds ``capacity``
+    tokens whatever happened before, so the events from there on form an
+    independent segment. Events are put in buckets of width capacity / rate;
+    only the first event of a bucket can start a segment, and its exact
+    predecessor is the last event of the previous occupied bucket, found
+    with ``lag`` over ONE ROW PER OCCUPIED BUCKET (bounded by the time span,
+    not by the number of events). The test uses the same floating-point
+    expression as the scan, so segment starts are exact."""
+    width = capacity / rate * 1_000_000.0
+    ev = events.withColumn("_bucket", F.floor(F.col(ts_us) / F.lit(width)).cast("long"))
+    g = ev.groupBy(key, "_bucket").agg(F.min(ts_us).alias("_first"), F.max(ts_us).alias("_last"))
+    w = Window.partitionBy(key).orderBy("_bucket")
+    prev = F.lag("_last").over(w)
+    reset = prev.isNull() | ((F.col("_first") - prev) / F.lit(1000000.0) * F.lit(rate) >= F.lit(capacity))
+    g = g.withColumn("_reset", reset)
+    g = g.withColumn("_seg", F.max(F.when(F.col("_reset"), F.col("_bucket"))).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)))
+    return ev.join(g.select(key, "_bucket", "_seg"), [key, "_bucket"]).drop("_bucket")
+
+
 def token_bucket(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id",
-                 capacity: float = 10.0, rate: float = 0.2, num_partitions: int | None = None) -> DataFrame:
-    """Adds ``allowed`` (bool) and ``tokens`` (left after the event)."""
+                 capacity: float = 10.0, rate: float = 0.2, num_partitions: int | None = None,
+                 split_segments: bool = True) -> DataFrame:
+    """Adds ``allowed`` (bool) and ``tokens`` (left after the event).
+
+    With ``split_segments`` (default) a key's events are cut at full-refill
+    points into independent segments, which are hash-partitioned on
+    (key, segment): a hot key with idle gaps is spread over many tasks.
+    Within a segment the scan is sequential and exact."""
     src = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    parts = (src.repartition(num_partitions, key) if num_partitions else src.repartition(key))
-    parts = parts.sortWithinPartitions(key, ts, tie)
-    schema = StructType(list(src.schema.fields) + [StructField("allowed", BooleanType()),
-                                                   StructField("tokens", DoubleType())])
-    return parts.mapInPandas(_scan(key, ts, float(capacity), float(rate)), schema)
+    out_fields = list(src.schema.fields) + [StructField("allowed", BooleanType()),
+                                            StructField("tokens", DoubleType())]
+    src = src.withColumn("_us", _epoch_micros(ts))
+    if split_segments and rate > 0:
+        src = refill_segments(src, key, "_us", tie, float(capacity), float(rate))
+    else:
+        src = src.withColumn("_seg", F.lit(0).cast("long"))
+    cols = [key, "_seg"]
+    parts = src.repartition(num_partitions, *cols) if num_partitions else src.repartition(*cols)
+    parts = parts.sortWithinPartitions(key, "_seg", "_us", tie)
+    return parts.mapInPandas(_scan(key, "_seg", "_us", float(capacity), float(rate)),
+                             StructType(out_fields))
 
 
 def token_bucket_sql(capacity: float, rate: float, table: str = "events", key: str = "user_id",

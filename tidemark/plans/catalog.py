@@ -508,7 +508,7 @@ def q_feature_importance(spark, sf_dir):
 @register("anomaly_confirmed_full", "AN1-AN7 E1 (three detectors)")
 def q_anomaly_confirmed_full(spark, sf_dir):
     txn = sales_fact(spark, sf_dir, ["order_date", "sales", "region"])
-    return pipeline.run_pipeline(txn, CFG, key="region")["anomaly_monthly_scores"]
+    return pipeline.run_pipeline(txn, CFG, key="region")["anomaly_confirmed"]
 
 
 @register("tree_shap_top", "X1 K4 (Tree SHAP of the fitted forest)")

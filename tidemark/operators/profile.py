@@ -1,5 +1,9 @@
 """Column profile (P1-P4) on raw rows, before dates are parsed.
 
+A string column whose non-null values all read as numbers counts as
+numeric (as a type-inferring CSV reader would see it), so it can be an
+identifier but not a high-cardinality string.
+
 One aggregate pass computes null count and distinct count of every column;
 the one-row result is turned into one row per column with ``inline``.
 Exact distinct counts on many columns make Spark expand each row once per
@@ -49,11 +53,20 @@ def profile_columns(raw: DataFrame, cfg: PipelineConfig = CFG, exact: bool | Non
         col = F.col(f"`{c}`")
         distinct = F.countDistinct(col) if exact else F.approx_count_distinct(col)
         aggs += [F.count_if(_null_test(raw, c)).alias(f"n{i}"), distinct.alias(f"u{i}")]
+        if isinstance(raw.schema[c].dataType, StringType):
+            # a CSV reader that infers types would read an all-numeric column as numbers
+            aggs.append(F.count_if(col.isNotNull() & col.try_cast("double").isNull()).alias(f"t{i}"))
     one = raw.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+
+    def is_text(i, c):
+        if not isinstance(raw.schema[c].dataType, StringType):
+            return F.lit(False)
+        return F.col(f"t{i}") > 0
+
     rows = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("name"),
                  F.lit(normalise_name(c)).alias("column"),
-                 F.lit(isinstance(raw.schema[c].dataType, StringType)).alias("_is_string"),
+                 is_text(i, c).alias("_is_string"),
                  F.col(f"n{i}").cast("long").alias("null_count"),
                  F.col(f"u{i}").cast("long").alias("unique_count"))
         for i, c in enumerate(cols)])

@@ -168,9 +168,11 @@ def _profile_sql() -> str:
         n = normalise_name(h)
         is_string = h not in ("Sales", "Quantity", "Discount")
         null_test = f'"{h}" IS NULL' + (f' OR isnan("{h}")' if not is_string else "")
+        text = (f'COUNT(*) FILTER (WHERE "{h}" IS NOT NULL AND TRY_CAST("{h}" AS DOUBLE) IS NULL) > 0'
+                if is_string else "FALSE")
         parts.append(f"""SELECT {i} AS position, '{h}' AS name, '{n}' AS "column",
        CAST(COUNT(*) FILTER (WHERE {null_test}) AS BIGINT) AS null_count,
-       CAST(COUNT(DISTINCT "{h}") AS BIGINT) AS unique_count, {str(is_string).upper()} AS is_string,
+       CAST(COUNT(DISTINCT "{h}") AS BIGINT) AS unique_count, {text} AS is_string,
        COUNT(*) AS n_rows FROM r""")
     body = "\nUNION ALL ".join(parts)
     return f"""
@@ -494,9 +496,11 @@ def q_forecast_model_metrics(spark, sf_dir):
 
 @register("forecast_future", "F9 F10 (model)")
 def q_forecast_future(spark, sf_dir):
-    _, mf, bt = _model_frames(spark, sf_dir)
-    _, metrics = _fc.backtest(bt, CFG)
-    return _fc.recursive_forecast(mf, _fc.fit_models(mf, CFG), metrics, CFG)
+    roles = ["order_date", "sales", "region"]
+    m = pipeline.build_monthly(sales_fact(spark, sf_dir, roles), "region", CFG).cache()
+    fe = pipeline.features_from_monthly(m).cache()
+    mf, _, metrics, models = pipeline.fit_backtest_and_final(m, fe, CFG)
+    return _fc.recursive_forecast(mf, models, metrics, CFG)
 
 
 @register("feature_importance", "F11 K3 X2")

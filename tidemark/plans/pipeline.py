@@ -61,6 +61,18 @@ def backtest_rows(m: DataFrame, fe: DataFrame, cfg: PipelineConfig = CFG) -> Dat
     return model_rows(fe, cfg)
 
 
+def fit_backtest_and_final(m: DataFrame, fe: DataFrame, cfg: PipelineConfig = CFG):
+    """Backtest fit (train rows) and final fit (all rows) are independent:
+    both are submitted at once. Returns (model rows, predictions, metrics,
+    final models)."""
+    mf = model_rows(fe, cfg)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f_bt = pool.submit(forecast.backtest, backtest_rows(m, fe, cfg), cfg)
+        f_full = pool.submit(forecast.fit_models, mf, cfg)
+        (pred, metrics), models = f_bt.result(), f_full.result()
+    return mf, pred, metrics, models
+
+
 def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = None,
                  raw: DataFrame | None = None, with_models: bool = True) -> dict:
     out = {}
@@ -82,12 +94,7 @@ def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = No
     detectors = ["stat_flag", "iso_flag"]
 
     if with_models:
-        mf = model_rows(fe, cfg)
-        # backtest fit (train rows) and final fit (all rows) are independent
-        with ThreadPoolExecutor(max_workers=2) as pool:
-            f_bt = pool.submit(forecast.backtest, backtest_rows(m, fe, cfg), cfg)
-            f_full = pool.submit(forecast.fit_models, mf, cfg)
-            (pred, metrics), models = f_bt.result(), f_full.result()
+        mf, pred, metrics, models = fit_backtest_and_final(m, fe, cfg)
         out["forecast_metrics"] = metrics.drop("rmse_raw")
         out["forecast_backtest"] = evaluation.backtest_rows(pred)
         fc = forecast.recursive_forecast(mf, models, metrics, cfg)

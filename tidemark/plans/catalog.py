@@ -551,3 +551,25 @@ def q_monthly_gapfill_customer(spark, sf_dir):
     filled = series.fill_month_gaps(m.drop("period_label"))
     return filled.select("series_key", F.date_format("period", "yyyy-MM").alias("period"),
                          money("sales").alias("sales"))
+
+
+def _throttle_keyed(capacity: float, rate: float, key: str | None):
+    """Token bucket per ``key`` of ``events``; ``None`` = ONE global bucket
+    (the source's upload limiter), every event on the same key."""
+    def build(spark, sf_dir):
+        from tidemark.sources.tables import read_table
+        ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+        ev = ev.withColumn("bucket_key", F.lit("ALL") if key is None else F.col(key).cast("string"))
+        out = throttle.token_bucket(ev.drop("event_type"), "bucket_key", "ts", "event_id", capacity, rate)
+        return out.select("event_id", "bucket_key", "allowed", rnd("tokens", 6).alias("tokens"))
+    k = "'ALL'" if key is None else f"CAST({key} AS VARCHAR)"
+    table = f"(SELECT event_id, ts, {k} AS bucket_key FROM events) e0"
+    sql = throttle.token_bucket_sql(capacity, rate, table=table, key="bucket_key") + f"""
+SELECT tie AS event_id, k AS bucket_key, allowed, {R('tok', 6)} AS tokens FROM tb"""
+    return build, sql
+
+
+_b, _s = _throttle_keyed(CFG.bucket_capacity, CFG.bucket_rate_per_sec, None)
+register("events_throttle_global", "T2 one global bucket (10 tokens, 1 per 5 s)", _s)(_b)
+_b, _s = _throttle_keyed(2.0, 1.0 / 3600.0, "event_type")
+register("events_throttle_by_type", "T2 per event type: few hot keys (2 tokens, 1 per hour)", _s)(_b)

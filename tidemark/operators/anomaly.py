@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import PipelineConfig
 from tidemark.functions.numeric import money, ratio, rnd
+from tidemark.operators.series import zscore
 
 CFG = PipelineConfig()
 
@@ -30,8 +31,7 @@ def stat_flags(m: DataFrame, cfg: PipelineConfig = CFG) -> DataFrame:
     out = out.select(
         "*",
         F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"),
-        ratio(F.col("sales") - F.avg("sales").over(_p()),
-              F.stddev_samp("sales").over(_p())).alias("z_score"),
+        zscore("sales").alias("z_score"),
     ).drop("_q")
     iqr = F.col("q3") - F.col("q1")
     out = out.withColumn("iqr_lo", F.col("q1") - F.lit(cfg.iqr_k) * iqr) \

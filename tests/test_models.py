@@ -113,9 +113,10 @@ def test_store_roundtrip_and_ledger(spark, tmp_path):
     store.save_run_results("r1", {"monthly": df}, base)
     store.save_run_results("r2", {"monthly": df}, base)
     store.save_run_results("r1", {"monthly": df.withColumn("sales", F.lit(2.0))}, base)
-    got = store.get_run_results(spark, base, "r1", ["monthly"])["monthly"].collect()
+    got = store.get_run_results(spark, base, "r1", ["monthly"], marker="monthly")["monthly"].collect()
     assert [r.sales for r in got] == [2.0]
-    assert store.get_run_results(spark, base, "r2", ["monthly"])["monthly"].count() == 1
+    assert store.get_run_results(spark, base, "r2", ["monthly"], marker="monthly")["monthly"].count() == 1
+    assert store.get_run_results(spark, base, "r3", ["monthly"], marker="monthly") is None
     store.append_status(spark, base, "r1", "RUNNING", "a.csv")
     store.append_status(spark, base, "r1", "COMPLETED", "a.csv")
     cur = store.current_runs(spark, base).collect()
@@ -137,10 +138,12 @@ def test_landing_ingest_stream(spark, tmp_path):
                              schema="`Order Date` string, Sales string, `Order ID` string")
     q.awaitTermination(120)
     k = {r.run_id.rsplit("/", 1)[-1]: (r.total_sales, r.total_orders)
-         for r in spark.read.parquet(base + "/kpis").collect()}
+         for r in spark.read.parquet(base + "/eda_summary").collect()}
     assert k == {"a.csv": (15.0, 2), "b.csv": (7.0, 1)}
     st = {r.run_id.rsplit("/", 1)[-1]: r.status for r in store.current_runs(spark, base).collect()}
     assert st == {"a.csv": "COMPLETED", "b.csv": "COMPLETED"}
+    months = spark.read.parquet(base + "/eda_monthly_trend").where(F.col("run_id").endswith("a.csv")).count()
+    assert months == 1
 
 
 def test_tree_shap_additive_on_spark_forest(spark):

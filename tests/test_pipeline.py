@@ -99,3 +99,19 @@ def test_explanations_and_importances(docs):
     assert top and all(r["count"] == 6 for r in top)
     maps = out["explain_top_maps"].first().top_features
     assert len(maps) == 6
+
+
+def test_job_lifecycle_and_failure(spark, tmp_path):
+    from tidemark.plans.job import get_run, run_csv_job
+    from tidemark.sources import store
+    base = str(tmp_path / "results")
+    ok = run_csv_job(spark, _write(tmp_path), base, run_id="r-ok", key="region", cfg=CFG)
+    bad_path = tmp_path / "bad.csv"
+    bad_path.write_text("Foo,Bar\n1,2\n")
+    bad = run_csv_job(spark, str(bad_path), base, run_id="r-bad", cfg=CFG)
+    assert (ok, bad) == ("COMPLETED", "FAILED")
+    st = {r.run_id: r.status for r in store.current_runs(spark, base).collect()}
+    assert st == {"r-ok": "COMPLETED", "r-bad": "FAILED"}
+    docs = get_run(spark, base, "r-ok")
+    assert docs["eda_summary"].count() == 1 and docs["anomaly_summary"].count() == 1
+    assert get_run(spark, base, "r-ok", ["forecast_future"])["forecast_future"].count() == 12

@@ -16,7 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.errors import AnalysisException
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from tidemark.operators import ledger
 
@@ -50,15 +51,23 @@ def save_results_by_run(docs: dict, base: str) -> None:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
-def get_run_results(spark: SparkSession, base: str, run_id: str, names) -> dict | None:
-    """The stored documents of one run (partition-pruned), None if absent."""
+def get_run_results(spark: SparkSession, base: str, run_id: str, names,
+                    marker: str = "eda_summary") -> dict | None:
+    """The stored documents of one run (partition-pruned); None when the
+    run has no stored results (``marker`` holds one row per stored run). A
+    document that was empty when stored comes back as an empty frame."""
+    try:
+        present = spark.read.parquet(_path(base, marker)).where(F.col("run_id") == run_id).limit(1).count()
+    except AnalysisException:
+        return None
+    if not present:
+        return None
     out = {}
     for name in names:
         try:
-            df = spark.read.parquet(_path(base, name)).where(F.col("run_id") == run_id)
-        except Exception:  # table never written
-            return None
-        out[name] = df
+            out[name] = spark.read.parquet(_path(base, name)).where(F.col("run_id") == run_id)
+        except AnalysisException:  # stored while empty: no data files
+            out[name] = spark.createDataFrame([], StructType([]))
     return out
 
 

@@ -3,10 +3,10 @@
 New CSV files in a landing folder are picked up by a file stream; the run
 id of a row is its source file (``_metadata.file_path``), so re-processing
 a file overwrites its results instead of duplicating them. Each micro-batch
-(``foreachBatch``) records RUNNING for its files, computes the report
-pieces PER RUN (grouping by ``run_id``) in one pass over the batch, writes
-them partitioned by run id and records COMPLETED, or FAILED on error.
-Progress and exactly-once bookkeeping live in the stream checkpoint.
+(``foreachBatch``, one file by default) runs ``plans.job.run_job`` per file:
+RUNNING, the whole analysis, results written partitioned by run id, then
+COMPLETED or FAILED. Progress and exactly-once bookkeeping live in the
+stream checkpoint; a replayed batch rewrites the same run partitions.
 """
 
 from __future__ import annotations
@@ -14,46 +14,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import month_label
-from tidemark.functions.numeric import money, snap
-from tidemark.operators import eda, ledger
-from tidemark.sources import store
-from tidemark.sources.binding import bind_roles, canonical_frame, drop_unusable, normalise_headers
 from tidemark.sources.tables import RAW_HEADERS
 
 DEFAULT_SCHEMA = ", ".join(f"`{h}` string" for h in RAW_HEADERS)
 
 
-def _process(base: str):
+def _process(base: str, key: str | None, cfg, with_models: bool):
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        runs = batch.select("run_id").distinct()
-        now = F.current_timestamp()
-        store.append_status_frame(runs.select("run_id", F.col("run_id").alias("file_name"),
-                                              F.lit(ledger.RUNNING).alias("status"), now.alias("ts")), base)
-        try:
-            norm = normalise_headers(batch)
-            binding = bind_roles([c for c in norm.columns if c != "run_id"])
-            txn = drop_unusable(canonical_frame(norm, binding, carry=("run_id",)))
-            kpis = eda.kpi_summary(txn, group_cols=["run_id"])
-            monthly = (txn.groupBy("run_id", month_label("order_date").alias("period"))
-                          .agg(money(snap(F.sum("sales"))).alias("sales")))
-            store.save_results_by_run({"kpis": kpis, "monthly_trend": monthly}, base)
-            status = ledger.COMPLETED
-        except Exception:
-            status = ledger.FAILED
-        store.append_status_frame(runs.select("run_id", F.col("run_id").alias("file_name"),
-                                              F.lit(status).alias("status"), now.alias("ts")), base)
-        spark.catalog.clearCache()
+        from tidemark.plans.job import run_job
+        batch = batch.persist()
+        # one run per landed file; a micro-batch holds maxFilesPerTrigger files
+        run_ids = [r.run_id for r in batch.select("run_id").distinct().collect()]
+        for run_id in sorted(run_ids):
+            raw = batch.where(F.col("run_id") == run_id).drop("run_id")
+            run_job(raw, base, run_id, run_id.rsplit("/", 1)[-1], key, cfg, with_models)
+        batch.unpersist()
     return run
 
 
 def start_landing_ingest(spark: SparkSession, landing_dir: str, base: str, checkpoint_location: str,
-                         schema: str = DEFAULT_SCHEMA, available_now: bool = True):
+                         schema: str = DEFAULT_SCHEMA, available_now: bool = True,
+                         files_per_batch: int = 1, key: str | None = None, cfg=None,
+                         with_models: bool = False):
+    """Every new ``*.csv`` in ``landing_dir`` becomes one run: the whole
+    analysis (with the models if ``with_models``) stored under its run id,
+    with RUNNING then COMPLETED / FAILED in the ledger."""
+    from tidemark.config import PipelineConfig
+    cfg = cfg or PipelineConfig()
     stream = (spark.readStream.option("header", True).option("pathGlobFilter", "*.csv")
+                   .option("maxFilesPerTrigger", files_per_batch)
                    .schema(schema).csv(landing_dir)
                    .withColumn("run_id", F.col("_metadata.file_path")))
-    writer = (stream.writeStream.foreachBatch(_process(base))
+    writer = (stream.writeStream.foreachBatch(_process(base, key, cfg, with_models))
                     .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

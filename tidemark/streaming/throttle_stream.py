@@ -31,8 +31,8 @@ def _fn(key: str, ts: str, tie: str, capacity: float, rate: float):
             outs.append(pdf)
         if not outs:
             return
-        pdf = pd.concat(outs).sort_values([ts, tie])
-        micros = pdf[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+        pdf = pd.concat(outs).sort_values(["_us", tie])
+        micros = pdf["_us"].to_numpy(dtype=np.int64)
         keep = np.ones(len(pdf), dtype=bool)
         allowed = np.zeros(len(pdf), dtype=bool)
         left = np.zeros(len(pdf))
@@ -49,16 +49,20 @@ def _fn(key: str, ts: str, tie: str, capacity: float, rate: float):
             left[i] = tokens
         state.update((float(tokens), int(last)))
         out = pd.DataFrame({"user_id": pdf[key].to_numpy(), "event_id": pdf[tie].to_numpy(),
-                            "ts": pdf[ts].to_numpy(), "allowed": allowed, "tokens": left})
+                            "ts": pdf["_wall"].to_numpy(), "allowed": allowed, "tokens": left})
         yield out[keep]
     return run
 
 
 def throttle_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "event_id",
                     capacity: float = 10.0, rate: float = 0.2, watermark: str = "1 hour") -> DataFrame:
-    # watermarks need an instant type; with the session in UTC the cast keeps wall-clock values
-    src = (events.withColumn(ts, F.col(ts).cast("timestamp"))
-                 .withWatermark(ts, watermark).select(key, tie, ts))
+    # elapsed time comes from wall-clock microseconds (time-zone independent);
+    # the watermark needs an instant type, so it runs on a cast copy
+    from tidemark.operators.throttle import _epoch_micros
+    src = (events.withColumn("_us", _epoch_micros(ts))
+                 .withColumn("_wall", F.col(ts).cast("timestamp_ntz"))
+                 .withColumn(ts, F.col(ts).cast("timestamp"))
+                 .withWatermark(ts, watermark).select(key, tie, ts, "_us", "_wall"))
     return src.groupBy(key).applyInPandasWithState(
         _fn(key, ts, tie, float(capacity), float(rate)), OUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.NoTimeout)

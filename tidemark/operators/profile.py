@@ -25,6 +25,8 @@ CFG = PipelineConfig()
 
 # Names that are always numeric features.
 NUMERIC_FEATURE_NAMES = ("sales", "profit", "discount", "quantity")
+# A decimal number as text (regex test: no exception path per failed cast).
+NUMERIC_TEXT = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def _null_test(df: DataFrame, c: str):
@@ -55,7 +57,7 @@ def profile_columns(raw: DataFrame, cfg: PipelineConfig = CFG, exact: bool | Non
         aggs += [F.count_if(_null_test(raw, c)).alias(f"n{i}"), distinct.alias(f"u{i}")]
         if isinstance(raw.schema[c].dataType, StringType):
             # a CSV reader that infers types would read an all-numeric column as numbers
-            aggs.append(F.count_if(col.isNotNull() & col.try_cast("double").isNull()).alias(f"t{i}"))
+            aggs.append(F.count_if(col.isNotNull() & ~col.rlike(NUMERIC_TEXT)).alias(f"t{i}"))
     one = raw.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
 
     def is_text(i, c):

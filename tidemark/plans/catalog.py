@@ -161,6 +161,7 @@ def q_sales_histogram(spark, sf_dir):
 # ----------------------------------------------------------------- profile
 
 def _profile_sql() -> str:
+    from tidemark.operators.profile import NUMERIC_TEXT
     from tidemark.sources.binding import normalise_name
     from tidemark.sources.tables import RAW_HEADERS
     parts = []
@@ -168,7 +169,7 @@ def _profile_sql() -> str:
         n = normalise_name(h)
         is_string = h not in ("Sales", "Quantity", "Discount")
         null_test = f'"{h}" IS NULL' + (f' OR isnan("{h}")' if not is_string else "")
-        text = (f'COUNT(*) FILTER (WHERE "{h}" IS NOT NULL AND TRY_CAST("{h}" AS DOUBLE) IS NULL) > 0'
+        text = (f'COUNT(*) FILTER (WHERE "{h}" IS NOT NULL AND NOT regexp_matches("{h}", \'{NUMERIC_TEXT}\')) > 0'
                 if is_string else "FALSE")
         parts.append(f"""SELECT {i} AS position, '{h}' AS name, '{n}' AS "column",
        CAST(COUNT(*) FILTER (WHERE {null_test}) AS BIGINT) AS null_count,

@@ -165,3 +165,29 @@ def test_materialized_fact_prunes_partitions(spark, tmp_path):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "1996-03" in plan
     assert q.count() > 0
+
+
+def test_fill_gaps_spine_shifts_lags(spark):
+    from tidemark.config import PipelineConfig
+    txn = spark.createDataFrame([(dt.datetime(2020, 1, 5), 10.0), (dt.datetime(2020, 3, 5), 30.0)],
+                                "order_date timestamp, sales double")
+    plain = series.monthly_series(txn, with_counts=False).orderBy("period").collect()
+    filled = series.monthly_series(txn, cfg=PipelineConfig(fill_gaps=True)).orderBy("period").collect()
+    assert [r.sales for r in plain] == [10.0, 30.0]
+    assert [(r.period_label, r.sales, r.n_orders) for r in filled] == \
+        [("2020-01", 10.0, 1), ("2020-02", 0.0, 0), ("2020-03", 30.0, 1)]
+
+
+def test_forecast_step_features_legacy_and_default(spark):
+    from tidemark.operators.forecast import step_features
+    st = spark.createDataFrame([("k", dt.date(2020, 12, 1), [1.0, 2.0, 3.0, 4.0, 5.0, 6.0],
+                                 [10.0, 12.0], [0.5] * 12)],
+                               "series_key string, last_period date, hist array<double>, "
+                               "trend_hist array<double>, season_hist array<double>")
+    new = step_features(st).first()
+    old = step_features(st, legacy_features=True).first()
+    assert (new.lag1, new.lag3, new.lag12) == (6.0, 4.0, 6.0)   # lag beyond history -> lag1
+    assert new.roll3_mean == pytest.approx(5.0)
+    assert new.roll3_std == pytest.approx(1.0) and old.roll3_std == pytest.approx((2 / 3) ** 0.5)
+    assert old.ema3 == pytest.approx(5.0) and new.ema3 == pytest.approx(5.03125)
+    assert (new.month, new.quarter, new.is_q4, new.stl_trend, new.stl_seasonal) == (1, 1, 0, 14.0, 0.5)

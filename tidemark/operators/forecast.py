@@ -97,18 +97,19 @@ def feature_importances(rf_model, features=MODEL_FEATURES, spark=None) -> DataFr
 # ------------------------------------------------------------- recursion
 
 def _mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x), F.size(a))
 
 
 def _std_samp(a: Column) -> Column:
     m = _mean(a)
     ss = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))
-    return F.sqrt(ss / (F.size(a) - 1))
+    return F.sqrt(F.try_divide(ss, F.size(a) - 1))
 
 
 def _std_pop(a: Column) -> Column:
     m = _mean(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(a))
+    return F.sqrt(F.try_divide(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)),
+                               F.size(a)))
 
 
 def _ema(a: Column, span: int) -> Column:
@@ -125,7 +126,8 @@ def step_features(state: DataFrame, legacy_features: bool = False) -> DataFrame:
     """Feature row for the next month of every series from its history."""
     h = F.col("hist")
     nxt = F.add_months("last_period", 1)
-    tail = lambda k: F.slice(h, -k, k)
+    # the last k values, or all of them when the history is shorter
+    tail = lambda k: F.slice(h, F.greatest(-F.size(h), F.lit(-k)), F.lit(k))
     std = _std_pop if legacy_features else _std_samp
     cols = {
         "lag1": F.element_at(h, -1), "lag2": _lag(h, 2), "lag3": _lag(h, 3),

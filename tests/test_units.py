@@ -191,3 +191,15 @@ def test_forecast_step_features_legacy_and_default(spark):
     assert new.roll3_std == pytest.approx(1.0) and old.roll3_std == pytest.approx((2 / 3) ** 0.5)
     assert old.ema3 == pytest.approx(5.0) and new.ema3 == pytest.approx(5.03125)
     assert (new.month, new.quarter, new.is_q4, new.stl_trend, new.stl_seasonal) == (1, 1, 0, 14.0, 0.5)
+
+
+def test_histogram_matches_numpy(spark):
+    import numpy as np
+    from tests.conftest import SF_MID
+    from tidemark.sources.tables import sales_fact
+    txn = sales_fact(spark, SF_MID, ["order_date", "sales"])
+    sales = np.array([r.sales for r in txn.select("sales").collect()])
+    counts, edges = np.histogram(np.log1p(sales), bins=15)
+    got = eda.sales_histogram(txn).orderBy("bin").collect()
+    assert [r["count"] for r in got] == counts.tolist()
+    assert [r.lower for r in got] == [round(float(np.expm1(e)), 2) for e in edges[:-1]]

@@ -199,12 +199,17 @@ def sales_histogram(txn: DataFrame, bins: int = CFG.hist_bins) -> DataFrame:
         F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     lo = stats.select("lo").scalar()
     hi = stats.select("hi").scalar()
-    idx = F.floor((F.col("x") - lo) * F.lit(float(bins)) / (hi - lo)).cast("int")
-    counts = (x.select(F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1)).alias("bin"))
-               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     step = (hi - lo) / F.lit(float(bins))
-    spine = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     edge = lambda i: F.when(i >= F.lit(bins), hi).otherwise(lo + i.cast("double") * step)
+    # numpy's rule: index from (x - lo) * (bins / (hi - lo)), then corrected
+    # against the actual edges so that edge[i] <= x < edge[i + 1]
+    x_ = F.col("x")
+    i0 = F.floor((x_ - lo) * (F.lit(float(bins)) / (hi - lo))).cast("int")
+    i0 = F.when(i0 >= bins, F.lit(bins - 1)).otherwise(i0)
+    i1 = i0 - F.when(x_ < edge(i0), 1).otherwise(0)
+    i2 = i1 + F.when((x_ >= edge(i1 + 1)) & (i1 != bins - 1), 1).otherwise(0)
+    counts = x.select(i2.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    spine = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (spine.join(counts, "bin", "left")
                  .select("bin",
                          F.coalesce("count", F.lit(0)).cast("long").alias("count"),

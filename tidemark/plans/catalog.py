@@ -137,18 +137,25 @@ def q_top_entities(spark, sf_dir):
 
 
 def _hist_sql(bins: int = CFG.hist_bins) -> str:
+    b = float(bins)
+    def edge(i):
+        return f"(CASE WHEN {i} >= {bins} THEN s.hi ELSE s.lo + CAST({i} AS DOUBLE) * ((s.hi - s.lo) / {b!r}) END)"
     return f"""
 WITH x AS (SELECT ln(1 + sales) AS x FROM {fact(['order_date', 'sales'])} f WHERE sales > -1),
      s0 AS (SELECT MIN(x) AS lo, MAX(x) AS hi FROM x),
      s AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo,
                   CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM s0),
-     c AS (SELECT LEAST(GREATEST(CAST(floor((x.x - s.lo) * {float(bins)} / (s.hi - s.lo)) AS INTEGER), 0),
-                        {bins - 1}) AS bin, COUNT(*) AS n
-           FROM x, s GROUP BY 1),
+     i0 AS (SELECT x.x, s.lo, s.hi,
+                   LEAST(CAST(floor((x.x - s.lo) * ({b!r} / (s.hi - s.lo))) AS INTEGER), {bins - 1}) AS i0
+            FROM x, s),
+     i1 AS (SELECT *, i0 - CASE WHEN x < {edge('i0').replace('s.', '')} THEN 1 ELSE 0 END AS i1 FROM i0),
+     i2 AS (SELECT i1 + CASE WHEN x >= {edge('(i1 + 1)').replace('s.', '')} AND i1 <> {bins - 1}
+                             THEN 1 ELSE 0 END AS bin FROM i1),
+     c AS (SELECT bin, COUNT(*) AS n FROM i2 GROUP BY 1),
      spine AS (SELECT CAST(range AS INTEGER) AS bin FROM range({bins}))
 SELECT spine.bin AS bin, CAST(COALESCE(c.n, 0) AS BIGINT) AS count,
-       {R('exp(s.lo + CAST(spine.bin AS DOUBLE) * ((s.hi - s.lo) / ' + repr(float(bins)) + ')) - 1', 2)} AS lower,
-       {R('exp(CASE WHEN spine.bin + 1 >= ' + str(bins) + ' THEN s.hi ELSE s.lo + CAST(spine.bin + 1 AS DOUBLE) * ((s.hi - s.lo) / ' + repr(float(bins)) + ') END) - 1', 2)} AS upper
+       {R('exp(' + edge('spine.bin') + ') - 1', 2)} AS lower,
+       {R('exp(' + edge('(spine.bin + 1)') + ') - 1', 2)} AS upper
 FROM spine CROSS JOIN s LEFT JOIN c ON spine.bin = c.bin
 WHERE s.lo IS NOT NULL"""
 

@@ -581,3 +581,10 @@ _b, _s = _throttle_keyed(CFG.bucket_capacity, CFG.bucket_rate_per_sec, None)
 register("events_throttle_global", "T2 one global bucket (10 tokens, 1 per 5 s)", _s)(_b)
 _b, _s = _throttle_keyed(2.0, 1.0 / 3600.0, "event_type")
 register("events_throttle_by_type", "T2 per event type: few hot keys (2 tokens, 1 per hour)", _s)(_b)
+
+
+@register("forecast_rolling_cv", "F12 rolling-origin evaluation (3 cut-offs)")
+def q_forecast_rolling_cv(spark, sf_dir):
+    _, mf, _ = _model_frames(spark, sf_dir)
+    cv = _fc.rolling_origin_cv(mf, CFG, folds=3)
+    return cv.select("series_key", "fold", "n_test", "mape", "rmse", "r2", "mase")

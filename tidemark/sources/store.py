@@ -39,18 +39,6 @@ def save_run_results(run_id: str, docs: dict, base: str) -> None:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
-def save_results_by_run(docs: dict, base: str) -> None:
-    """S6 for frames that already carry a ``run_id`` column (several runs)."""
-    for name, df in docs.items():
-        spark = df.sparkSession
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            df.write.mode("overwrite").partitionBy("run_id").parquet(_path(base, name))
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-
-
 def get_run_results(spark: SparkSession, base: str, run_id: str, names,
                     marker: str = "eda_summary") -> dict | None:
     """The stored documents of one run (partition-pruned); None when the
@@ -78,10 +66,6 @@ def append_status(spark: SparkSession, base: str, run_id: str, status: str,
         _path(base, "_ledger"))
 
 
-def append_status_frame(events: DataFrame, base: str) -> None:
-    events.write.mode("append").parquet(_path(base, "_ledger"))
-
-
 def current_runs(spark: SparkSession, base: str) -> DataFrame:
     """Current status per run, newest first."""
     log = spark.read.parquet(_path(base, "_ledger"))

@@ -57,3 +57,26 @@ RESULT_DOCS = ("schema_columns", "schema_table", "eda_summary", "eda_monthly_tre
 def get_run(spark: SparkSession, base: str, run_id: str, names=RESULT_DOCS) -> dict | None:
     """The stored documents of one run (None while absent)."""
     return store.get_run_results(spark, base, run_id, names)
+
+
+def main(argv=None) -> int:
+    """python -m tidemark.plans.job INPUT.csv RESULTS_DIR [--run-id ID] [--key COL] [--no-models]"""
+    import argparse
+
+    from tidemark.session import get_spark
+
+    ap = argparse.ArgumentParser(prog="tidemark.plans.job")
+    ap.add_argument("input")
+    ap.add_argument("results")
+    ap.add_argument("--run-id")
+    ap.add_argument("--key", help="series key column (role name), e.g. region")
+    ap.add_argument("--no-models", action="store_true")
+    a = ap.parse_args(argv)
+    spark = get_spark()
+    status = run_csv_job(spark, a.input, a.results, a.run_id, a.key, CFG, not a.no_models)
+    print(status)
+    return 0 if status == ledger.COMPLETED else 1
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

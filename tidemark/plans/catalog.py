@@ -14,14 +14,22 @@ from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.config import PipelineConfig
+from tidemark.config import LAGS, MODEL_FEATURES, PipelineConfig
+from tidemark.functions.money import money_times_sql
+from tidemark.functions.numeric import money, rnd
 from tidemark.functions.numeric import money_sql as M
 from tidemark.functions.numeric import rnd_sql as R
-from tidemark.functions.money import money_times_sql
-from tidemark.operators import eda, profile, series
-from tidemark.sources.tables import (raw_transactions, raw_transactions_sql, sales_fact,
-                                     sales_fact_sql)
+from tidemark.operators import (anomaly, eda, evaluation, explain, iforest, ledger, profile, series,
+                                stl, throttle, treeshap)
+from tidemark.operators import forecast as _fc
+from tidemark.plans import pipeline
+from tidemark.operators.profile import NUMERIC_TEXT
+from tidemark.plans import series_sql as S
+from tidemark.sources.binding import normalise_name
+from tidemark.sources.tables import (RAW_HEADERS, raw_transactions, raw_transactions_sql,
+                                     read_table, sales_fact, sales_fact_sql)
 
 CFG = PipelineConfig()
 
@@ -168,9 +176,6 @@ def q_sales_histogram(spark, sf_dir):
 # ----------------------------------------------------------------- profile
 
 def _profile_sql() -> str:
-    from tidemark.operators.profile import NUMERIC_TEXT
-    from tidemark.sources.binding import normalise_name
-    from tidemark.sources.tables import RAW_HEADERS
     parts = []
     for i, h in enumerate(RAW_HEADERS):
         n = normalise_name(h)
@@ -215,8 +220,6 @@ SELECT strftime(order_date, '%Y-%m') AS period, {M('SUM(sales)')} AS sales,
 FROM {fact(['order_date', 'sales', 'order_id', 'product_id', 'customer_id'])} f
 GROUP BY 1""")
 def q_monthly_txn(spark, sf_dir):
-    from pyspark.sql import functions as F
-    from tidemark.functions.numeric import money, rnd
     txn = sales_fact(spark, sf_dir, ["order_date", "sales", "order_id", "product_id", "customer_id"])
     m = series.monthly_series(txn)
     return m.select(F.col("period_label").alias("period"), money("sales").alias("sales"),
@@ -226,12 +229,7 @@ def q_monthly_txn(spark, sf_dir):
 
 # ------------------------------------------------- series features & stats
 
-from pyspark.sql import functions as F  # noqa: E402
 
-from tidemark.config import LAGS  # noqa: E402
-from tidemark.functions.numeric import money, rnd  # noqa: E402
-from tidemark.operators import anomaly, evaluation  # noqa: E402
-from tidemark.plans import series_sql as S  # noqa: E402
 
 
 def feature_frame(spark, sf_dir, key: str | None):
@@ -361,7 +359,6 @@ def q_anomaly_summary_naive(spark, sf_dir):
 
 # ------------------------------------------------------------- explanation
 
-from tidemark.operators import explain, ledger, throttle  # noqa: E402
 
 # The 16 model features with a SQL form (the two STL features have none).
 SQL_FEATURES = ("lag1", "lag2", "lag3", "lag6", "lag12", "roll3_mean", "roll3_std", "roll6_mean",
@@ -423,7 +420,6 @@ SELECT conv_id, turn, sender, message FROM (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn
   FROM conversations) t WHERE rn <= 5""")
 def q_chat_history_first5(spark, sf_dir):
-    from tidemark.sources.tables import read_table
     msgs = read_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.col("role").alias("sender"), F.col("text").alias("message"))
     w_order = F.struct("turn", "sender", "message")
@@ -435,7 +431,6 @@ SELECT user_id, event_type AS status, ts, first_ts FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn,
          min(ts) OVER (PARTITION BY user_id) AS first_ts FROM events) t WHERE rn = 1""")
 def q_events_latest_status(spark, sf_dir):
-    from tidemark.sources.tables import read_table
     ev = read_table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
     cur = ledger.latest_status(ev, key="user_id", status="event_type", ts="ts", tie="event_id", keep=())
     return ledger.list_runs(cur.withColumnRenamed("event_type", "status"))
@@ -445,7 +440,6 @@ def q_events_latest_status(spark, sf_dir):
 
 def _throttle_query(capacity: float, rate: float):
     def build(spark, sf_dir):
-        from tidemark.sources.tables import read_table
         ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
         out = throttle.token_bucket(ev, "user_id", "ts", "event_id", capacity, rate)
         return out.select("event_id", "user_id", "allowed", rnd("tokens", 6).alias("tokens"))
@@ -462,8 +456,6 @@ register("events_throttle_default", "T2 (10 tokens, 1 per 5 s)", _s)(_b)
 
 # ------------------------------------------- model-based (no SQL oracle)
 
-from tidemark.operators import forecast as _fc, iforest, stl  # noqa: E402
-from tidemark.plans import pipeline  # noqa: E402
 
 
 @register("stl_decompose", "M1")
@@ -525,12 +517,9 @@ def q_anomaly_confirmed_full(spark, sf_dir):
 
 @register("tree_shap_top", "X1 K4 (Tree SHAP of the fitted forest)")
 def q_tree_shap_top(spark, sf_dir):
-    from tidemark.config import MODEL_FEATURES
-    from tidemark.operators import explain as _ex
-    from tidemark.operators import treeshap
     _, mf, _ = _model_frames(spark, sf_dir)
     rf = _fc.fit_models(mf, CFG)[1]
-    top = _ex.top_contributions(treeshap.shap_scores(mf, rf, MODEL_FEATURES), CFG.top_contrib)
+    top = explain.top_contributions(treeshap.shap_scores(mf, rf, MODEL_FEATURES), CFG.top_contrib)
     return top.select("series_key", F.col("period_label").alias("period"), "rank", "feature",
                       "value", "contribution")
 
@@ -565,7 +554,6 @@ def _throttle_keyed(capacity: float, rate: float, key: str | None):
     """Token bucket per ``key`` of ``events``; ``None`` = ONE global bucket
     (the source's upload limiter), every event on the same key."""
     def build(spark, sf_dir):
-        from tidemark.sources.tables import read_table
         ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
         ev = ev.withColumn("bucket_key", F.lit("ALL") if key is None else F.col(key).cast("string"))
         out = throttle.token_bucket(ev.drop("event_type"), "bucket_key", "ts", "event_id", capacity, rate)

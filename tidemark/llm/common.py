@@ -57,11 +57,18 @@ def without(docs: DataFrame, bad: DataFrame, how: str = "left_anti") -> DataFram
     """Rows of ``docs`` whose (doc_id, text) is not among ``bad`` (doc_id,
     text_key; a written table), or with ``left_semi`` those that are. Nulls
     are equal to nulls."""
-    bad = small(bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")))
-    on = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_key"))
+    bad = small(bad.select("doc_id", "text_key"))
+    on = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_key"])
     return docs.join(bad, on, how)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that is no column of ``df``."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def arrow_rows(df: DataFrame, fn: Callable[[dict], dict | None], schema: str) -> DataFrame:
     """``mapInArrow`` with columns as a dict of arrays in and a dict of
     lists or arrays out (None: no rows)."""

@@ -18,7 +18,8 @@ from tidemark.llm.quality_rules import trusted_ids
 ORDER = 5  # bytes; up to 7 fit a long
 PACK_BYTES = 16 << 20  # text of the documents that ask for probabilities together
 HELD_OUT = 10  # one trusted text in so many calibrates the thresholds
-QUANTILES, FENCE = (0.25, 0.75), 4.0  # reject above q75 + FENCE * (q75 - q25) of the language
+FENCE = 4.0  # reject above q75 + FENCE * (q75 - q25) of the language
+PRIOR_BYTES = 100.0  # bytes at the language's median that are added to a text's own
 GRID = 1000  # quantiles are taken of bits rounded to 1 / GRID
 PACKS = ("pack long,ids array<long>,keys array<long>,langs array<string>,roles array<long>,"
          "sizes array<long>,texts binary,grams array<long>,counts array<long>")
@@ -159,25 +160,40 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
     return texts.groupBy("pack").cogroup(answers.groupBy("pack_id")).applyInArrow(score, out)
 
 
+def _quantiles(scored: DataFrame, value: Column, *at: float) -> DataFrame:
+    """(_lang, q): quantiles of the held-out trusted texts of each language,
+    exact on a grid of 1 / GRID."""
+    grid = (scored.where("role = 2 and bits is not null").groupBy("lang", F.round(value * GRID).alias("at"))
+            .agg(F.count("*").alias("n")))
+    return grid.groupBy(F.col("lang").alias("_lang")).agg(
+        (F.transform(F.percentile("at", F.array(*map(F.lit, at)), F.col("n")), lambda x: x / GRID)).alias("q"))
+
+
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = ORDER, fence: float = FENCE) -> DataFrame:
-    """doc_id, text_key, lang, n_bytes, bits, perplexity, threshold, kept.
-
-    A document is rejected if its bits a byte exceed its language's
-    threshold, q75 + ``fence`` * (q75 - q25) over the held-out trusted texts
-    of that language. Null and empty texts have no perplexity and are
-    rejected; a language (null is one) without held-out trusted texts has no
-    threshold and its texts are kept; rows with null or repeated ids are
-    judged one by one; other columns are ignored; an empty table gives no
-    rows."""
+    """doc_id, text_key, lang, n_bytes, bits, perplexity, score, threshold,
+    kept.
+
+    bits is the mean over a text's bytes; score is that mean with
+    PRIOR_BYTES more bytes at the language's median, so that a few words
+    alone don't decide. A document is rejected if its score exceeds its
+    language's threshold, q75 + ``fence`` * (q75 - q25) over the scores of
+    the held-out trusted texts of that language. Null and empty texts have
+    no perplexity and are rejected; a language (null is one) without
+    held-out trusted texts has no threshold and its texts are kept; rows
+    with null or repeated ids are judged one by one; other columns are
+    ignored; an empty table gives no rows."""
     scored = written(spark, perplexities(spark, docs, labels, order), "scored")
-    grid = (scored.where("role = 2 and bits is not null").groupBy("lang", F.round(F.col("bits") * GRID).alias("at"))
-            .agg(F.count("*").alias("n")))
-    q = grid.groupBy("lang").agg(F.percentile("at", F.array(*map(F.lit, QUANTILES)), F.col("n")).alias("q"))
-    limits = q.select(F.col("lang").alias("_lang"), (
-        (F.col("q")[1] + fence * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1.0))) / GRID).alias("threshold"))
+    centre = _quantiles(scored, F.col("bits"), 0.5).select("_lang", F.col("q")[0].alias("centre"))
+    score = (F.col("bits") * F.col("n_bytes") + PRIOR_BYTES * F.col("centre")) / (F.col("n_bytes") + PRIOR_BYTES)
+    scored = written(spark, scored.join(centre, scored["lang"].eqNullSafe(centre["_lang"]), "left")
+                     .withColumn("score", score).drop("_lang", "centre"), "scored")
+    q = _quantiles(scored, F.col("score"), 0.25, 0.75)
+    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1 / GRID))
+    limits = q.select("_lang", (F.col("q")[1] + fence * spread).alias("threshold"))
+    passed = F.col("threshold").isNull() | (F.col("score") <= F.col("threshold"))
     return scored.join(limits, scored["lang"].eqNullSafe(limits["_lang"]), "left").select(
-        "doc_id", "text_key", "lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "threshold",
-        F.when(F.col("bits").isNull(), False).otherwise(F.col("threshold").isNull() | (F.col("bits") <= F.col("threshold"))).alias("kept"))
+        "doc_id", "text_key", "lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "score", "threshold",
+        (F.col("bits").isNotNull() & passed).alias("kept"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, table, written
+from tidemark.llm.common import prepare, table, unused, written
 
 RATIO = 0.01  # lines on more than this share of a host's pages are dropped
 MIN_PAGES = 4  # and on at least so many pages
@@ -46,19 +46,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, host: str = "source", rati
     Lines are parts between ``\\n``; blank lines are never dropped. Every
     row stays, with an empty text if all its lines go. A null text stays
     null; null hosts are one host; repeated rows count as one page and are
-    all rewritten; an empty table gives no rows; other columns pass."""
+    all rewritten; an empty table gives no rows; other columns pass, but for
+    one named n_dropped, which is replaced."""
     prepare(spark)
-    bad = boilerplate(spark, docs, host, ratio, min_pages).select(F.col("host").alias("_host"), F.col("codes").alias("_codes"))
-    joined = docs.join(bad, docs[host].eqNullSafe(F.col("_host")), "left")
-    here = F.array_intersect(F.transform(_lines(), _code), F.col("_codes"))
-    joined = joined.withColumn("_here", F.when(F.col("text").isNotNull() & F.col("_codes").isNotNull(), here))
-    kept = F.filter(_lines(), lambda x: ~F.array_contains(F.col("_here"), _code(x)))
-    some = F.size("_here") > 0
-    out = (joined.withColumn("n_dropped", F.when(some, F.size(_lines()) - F.size(kept)).otherwise(0).cast("long"))
-           .withColumn("_text", F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text"))))
-    made = {"text": F.col("_text")} | ({"n_chars": F.when(some, F.char_length("_text").cast(docs.schema["n_chars"].dataType))
-                                        .otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return out.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns], "n_dropped")
+    bad = boilerplate(spark, docs, host, ratio, min_pages)
+    codes, here, text = (unused(docs, x) for x in ("codes", "here", "kept_text"))
+    bad = bad.select(F.col("host").alias(unused(docs, "bad_host")), F.col("codes").alias(codes))
+    joined = docs.join(bad, docs[host].eqNullSafe(bad[0]), "left")
+    found = F.array_intersect(F.transform(_lines(), _code), F.col(codes))
+    joined = joined.withColumn(here, F.when(F.col("text").isNotNull() & F.col(codes).isNotNull(), found))
+    some = F.size(here) > 0
+    rest = F.filter(_lines(), lambda x: ~F.array_contains(F.col(here), _code(x)))
+    joined = joined.withColumn(text, F.when(some, F.array_join(rest, "\n")).otherwise(F.col("text")))
+    made = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        chars = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(some, chars).otherwise(F.col("n_chars"))
+    dropped = F.when(some, F.size(_lines()) - F.size(rest)).otherwise(0).cast("long")
+    return joined.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns if c != "n_dropped"], dropped.alias("n_dropped"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ bad AS (SELECT f.source, list(line) AS lines FROM f JOIN t ON f.source = t.sourc
 k AS (
   SELECT doc_id, d.source, string_split(text, chr(10)) AS parts, coalesce(lines, []) AS lines
   FROM documents d LEFT JOIN bad ON d.source = bad.source)
-SELECT doc_id, source, len(list_filter(parts, x -> list_contains(lines, x))) AS n_dropped,
-  array_to_string(list_filter(parts, x -> NOT list_contains(lines, x)), chr(10)) AS text
+SELECT doc_id, source, len([x for x in parts if list_contains(lines, x)]) AS n_dropped,
+  array_to_string([x for x in parts if NOT list_contains(lines, x)], chr(10)) AS text
 FROM k
 """

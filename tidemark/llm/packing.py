@@ -6,6 +6,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +23,24 @@ SCHEMA = ("doc_id long,start long,length long,ids_crc32 long,doc_tokens long,"
           "sequence_id long,offset long")
 
 
+@lru_cache(maxsize=8)
+def _sizes(capacity: int, slack: float) -> list[int]:
+    """For every rest r, the largest size up to r whose class k = capacity //
+    size fills its bins with k pieces but for ``slack`` of a bin."""
+    good = [0]
+    for r in range(1, capacity + 1):
+        good.append(r if capacity % r <= slack * capacity or not good[-1] else good[-1])
+    return good
+
+
 def cuts(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[int]:
-    """Piece lengths of a document of ``n`` ids. Whole bins first; a rest r
-    belongs to class k = capacity // r, whose bins hold k pieces. A rest
-    that would leave more than ``slack`` of such a bin empty gives up a
-    piece of the next class's full size, capacity // (k + 1)."""
+    """Piece lengths of a document of ``n`` ids: whole bins first, then the
+    largest sizes whose classes leave little of a bin empty."""
     out = [capacity] * (n // capacity)
-    r = n % capacity
+    r, sizes = n % capacity, _sizes(capacity, slack)
     while r:
-        k = capacity // r
-        if capacity - k * r <= slack * capacity:
-            out.append(r)
-            break
-        piece = capacity // (k + 1)
-        if not piece:
-            out.append(r)
-            break
-        out.append(piece)
-        r -= piece
+        out.append(sizes[r])
+        r -= sizes[r]
     return out
 
 

@@ -14,7 +14,7 @@ from tidemark.llm.common import keyed, pa_schema, prepare, small, table, written
 
 ORDER, BITS = 4, 18  # bytes of an n-gram; 2^BITS buckets, whatever the corpus
 ALPHA = 0.5  # added to every bucket
-MIN_RATIO = -0.25  # nats for each n-gram; documents below are dropped
+MIN_RATIO = -0.5  # nats for each n-gram; documents below are dropped
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"

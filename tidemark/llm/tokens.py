@@ -7,17 +7,23 @@ long as the bounded cache of a worker holds it."""
 
 from __future__ import annotations
 
-import re
+import sys
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_WORDS = 300_000  # a worker's cache is emptied beyond this
+CACHE_WORDS = 800_000  # a worker's cache is emptied beyond this
 JOIN_WORDS = 4_000  # new words encoded in one call
 LONG_WORD = 64  # characters; longer words are encoded but not cached
-#: White space beside a space, or a space at the end: the whole text is encoded at once.
-_LOOSE = re.compile(r"\s | \s| \Z")
+#: A word of letters below LATIN and at most one of TAILS is two pieces to
+#: the pre-tokenizer, so the model is asked for the letters alone.
+LATIN, TAILS = "\u0250", ".,!?;:"
+#: White space beside a space: such a text is encoded at once.
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+_LOOSE = [x for c in _SPACES for x in (c + " ", " " + c)]
 
 
 def default_tokenizer() -> str:
@@ -36,13 +42,54 @@ class Encoder:
         size = self._lib.get_vocab_size()
         self._opens = np.array([(self._lib.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self._words: dict[str, bytes] = {}
+        self._model = self._lib.model
+        # byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self._alphabet = {b: 256 + i for i, b in enumerate(odd)}
+        self._tails = {t: self._plain(t) for t in TAILS} | {"": b""}
+        self._line = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
         return np.array(self._lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words joined by their spaces; a word's ids begin with
-        the one id whose token begins with a space."""
+    def _letters(self, word: str, space: str = "Ġ") -> bytes:
+        """Ids of letters after a space: one piece, whose merges the model does."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self._alphabet)
+        ids = array("I", [t.id for t in self._model.tokenize(space + mapped)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _simple(self, word: str, space: str) -> bytes | None:
+        """Ids of a word of letters and at most one of TAILS, else None."""
+        tail = word[-1:] if word[-1:] in self._tails else ""
+        core = word[:-1] if tail else word
+        if not core.isalpha() or not core.isascii() and max(core) >= LATIN:
+            return None
+        if not space:
+            return self._letters(core, space) + self._tails[tail]
+        if core not in self._words:
+            self._words[core] = self._letters(core)
+        return self._words[core] + self._tails[tail]
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Put new words (a space before each) into the cache."""
+        others = []
+        for w in words:
+            ids = self._simple(w, "Ġ")
+            if ids is None and w.count("\n") == 1:  # a line end is a piece alone
+                left, right = w.split("\n")
+                if (a := self._simple(left, "Ġ")) is not None and (b := self._simple(right, "")) is not None:
+                    ids = a + self._line + b
+            if ids is None:
+                others.append(w)
+            else:
+                self._words[w] = ids
+        self._learn_joined(others)
+
+    def _learn_joined(self, words: list[str]) -> None:
+        """Encode words joined by their spaces; a word's ids begin with the
+        one id whose token begins with a space."""
         for i in range(0, len(words), JOIN_WORDS):
             part = words[i:i + JOIN_WORDS]
             ids = np.frombuffer(self._plain("".join(" " + w for w in part)), "<u4")
@@ -59,20 +106,18 @@ class Encoder:
         return [self._encode(t) for t in texts]
 
     def _encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _LOOSE.search(text):
-            return self._plain(text)
         first, *rest = text.split(" ")
+        if "" in rest or any(x in text for x in _LOOSE):
+            return self._plain(text)
         if len(self._words) > CACHE_WORDS:
             self._words.clear()
         known = self._words
-        try:
-            body = b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            new = [w for w in set(rest) if w not in known]
-            self._learn([w for w in new if len(w) <= LONG_WORD])
-            body = b"".join([known[w] if w in known else self._plain(" " + w) for w in rest])
+        if new := set(rest).difference(known):
+            self._learn(new)
+        body = b"".join(map(known.__getitem__, rest))
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
         return (self._plain(first) if first else b"") + body
 
 

@@ -125,23 +125,50 @@ def test_store_roundtrip_and_ledger(spark, tmp_path):
     assert '"sales":1.0' in js
 
 
+def test_empty_rerun_leaves_no_rows(spark, tmp_path):
+    from tidemark.sources import store
+    base = str(tmp_path / "out")
+    df = spark.createDataFrame([("ALL", 1.0)], "series_key string, sales double")
+    for run in ("a/b=1", "r2"):
+        store.save_run_results(run, {"monthly": df}, base)
+    store.save_run_results("a/b=1", {"monthly": df.limit(0)}, base)
+    assert [r.run_id for r in spark.read.parquet(base + "/monthly").collect()] == ["r2"]
+
+
+def test_naive_projection_has_every_step(spark):
+    from tidemark.operators import evaluation
+    months = [("S", i, float(i)) for i in range(5)] + [("L", i, float(i)) for i in range(20)]
+    fe = spark.createDataFrame(months, "series_key string, i int, sales double").select(
+        "series_key", F.expr("add_months(date'2020-01-01', i)").alias("period"), "sales")
+    got = {}
+    for r in evaluation.seasonal_naive_projection(fe, 18).orderBy("step").collect():
+        got.setdefault(r.series_key, []).append(r.forecast_raw)
+    assert got == {"S": [float(h % 5) for h in range(18)], "L": [8.0 + h % 12 for h in range(18)]}
+
+
 def test_landing_ingest_stream(spark, tmp_path):
     from tidemark.sources import store
     from tidemark.streaming.landing import start_landing_ingest
     land = tmp_path / "land"
     land.mkdir()
     (land / "a.csv").write_text("Order Date,Sales,Order ID\n01/02/2017,10,o1\n03/02/2017,5,o2\n")
-    (land / "b.csv").write_text("Order Date,Sales,Order ID\n01/03/2017,7,o9\n")
+    (land / "b.csv").write_text("Revenue,Order ID,Order Date\n7,o9,01/03/2017\nN/A,o8,01/03/2017\n2,o7,never\n")
+    (land / "c.csv").write_text("Sales,Order Date\nN/A,01/03/2017\n")
+    (land / "d.csv").write_text("Nothing\n1\n")
     (land / "skip.txt").write_text("not csv")
     base = str(tmp_path / "out")
-    q = start_landing_ingest(spark, str(land), base, str(tmp_path / "ck"),
-                             schema="`Order Date` string, Sales string, `Order ID` string")
-    q.awaitTermination(120)
+    q = start_landing_ingest(spark, str(land), base, str(tmp_path / "ck"))
+    q.awaitTermination(240)
     k = {r.run_id.rsplit("/", 1)[-1]: (r.total_sales, r.total_orders)
          for r in spark.read.parquet(base + "/eda_summary").collect()}
     assert k == {"a.csv": (15.0, 2), "b.csv": (7.0, 1)}
     st = {r.run_id.rsplit("/", 1)[-1]: r.status for r in store.current_runs(spark, base).collect()}
-    assert st == {"a.csv": "COMPLETED", "b.csv": "COMPLETED"}
+    assert st == {"a.csv": "COMPLETED", "b.csv": "COMPLETED", "c.csv": "FAILED", "d.csv": "FAILED"}
+    why = {r.run_id.rsplit("/", 1)[-1]: r.reason for r in spark.read.parquet(base + "/failure").collect()}
+    assert "no usable row" in why["c.csv"] and "order_date" in why["d.csv"]
+    bad = {r.run_id.rsplit("/", 1)[-1]: (r.bad_date, r.bad_sales, r.n_rows)
+           for r in spark.read.parquet(base + "/rejected_rows").collect()}
+    assert bad == {"a.csv": (0, 0, 2), "b.csv": (1, 1, 3)}
     months = spark.read.parquet(base + "/eda_monthly_trend").where(F.col("run_id").endswith("a.csv")).count()
     assert months == 1
 

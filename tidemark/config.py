@@ -7,7 +7,7 @@ flagged as such in the output.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Fixed values that must equal the source pipeline's for identical results.
 MODEL_FEATURES = (
@@ -40,7 +40,9 @@ class PipelineConfig:
     top_others: int = 5
     # series
     fill_gaps: bool = False
-    min_months: int = 30
+    # 12 months of lags and three feature rows: the holdout of a short series
+    # (two rows) leaves one to train on
+    min_months: int = 15
     # forecast; stl_scope "train": backtest STL fitted on train months only (SN2),
     # "full": on all months as the source does
     stl_scope: str = "train"
@@ -49,7 +51,12 @@ class PipelineConfig:
     horizon: int = 12
     z_band: float = 1.645
     gbt_iter: int = 100
+    gbt_depth: int = 5
+    gbt_min_instances: int = 20
     rf_trees: int = 100
+    rf_depth: int = 30
+    # training rows are dealt by (series_key, period) to so many partitions
+    train_partitions: int = 4
     seed: int = 42
     # anomaly
     iqr_k: float = 1.5
@@ -68,4 +75,3 @@ class PipelineConfig:
     bucket_rate_per_sec: float = 1.0 / 5.0
     # exact distinct counts in profile/EDA; False switches to HLL sketches
     exact_distinct: bool = True
-    extra: dict = field(default_factory=dict)

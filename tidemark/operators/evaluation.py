@@ -68,18 +68,20 @@ def backtest_rows(pred: DataFrame) -> DataFrame:
 
 
 def seasonal_naive_projection(fe: DataFrame, horizon: int = 12) -> DataFrame:
-    """Fixed forecast: step h repeats the value 12 rows before it, i.e. the
-    last 12 observed values in order (for h <= 12)."""
+    """Fixed forecast: the last 12 observed values in order (all of a series
+    that has fewer), over and over for ``horizon`` steps."""
     desc = Window.partitionBy("series_key").orderBy(F.desc("period"))
     last = Window.partitionBy("series_key")
     r = (fe.select("series_key", "period", "sales")
            .withColumn("_rd", F.row_number().over(desc))
            .withColumn("_last", F.max("period").over(last))
-           .where(F.col("_rd") <= 12))
-    step = (F.lit(13) - F.col("_rd")).cast("int")
-    return r.select("series_key", step.alias("step"),
-                    F.add_months("_last", step).alias("period"),
-                    F.col("sales").alias("forecast_raw")).where(F.col("step") <= horizon)
+           .withColumn("_cycle", F.least(F.lit(12), F.count(F.lit(1)).over(last)).cast("int"))
+           .where(F.col("_rd") <= F.col("_cycle"))
+           .withColumn("_first", F.col("_cycle") - F.col("_rd") + 1)
+           .where(F.col("_first") <= horizon)
+           .withColumn("step", F.explode(F.sequence(F.col("_first").cast("int"), F.lit(horizon), F.col("_cycle")))))
+    return r.select("series_key", "step", F.add_months("_last", F.col("step")).alias("period"),
+                    F.col("sales").alias("forecast_raw"))
 
 
 def forecast_bands(fc: DataFrame, metrics: DataFrame, cfg: PipelineConfig = CFG) -> DataFrame:

@@ -32,7 +32,6 @@ from tidemark.operators import evaluation
 from tidemark.session import ensure_checkpoint_dir
 
 CFG = PipelineConfig()
-ROWS_PER_PART = 200_000
 
 
 def assembler(features=MODEL_FEATURES) -> VectorAssembler:
@@ -41,16 +40,14 @@ def assembler(features=MODEL_FEATURES) -> VectorAssembler:
 
 def fit_models(rows: DataFrame, cfg: PipelineConfig = CFG, features=MODEL_FEATURES):
     """fit both learners on log1p(sales)."""
-    data = assembler(features).transform(rows).select("features", F.log1p("sales").alias("label"))
-    # one partition per ROWS_PER_PART training rows: the tree learners run one job per
-    # round, so tiny inputs should not pay for many near-empty tasks
-    n = data.count()
-    parts = max(1, min(data.sparkSession.sparkContext.defaultParallelism * 4, n // ROWS_PER_PART + 1))
-    data = data.repartition(parts).cache()
-    gbt = GBTRegressor(maxIter=cfg.gbt_iter, stepSize=0.1, maxDepth=5, minInstancesPerNode=20,
+    # the layout is a parameter, so a model depends neither on row counts nor on the cluster
+    rows = rows.repartition(cfg.train_partitions, "series_key", "period").sortWithinPartitions("series_key", "period")
+    data = assembler(features).transform(rows).select("features", F.log1p("sales").alias("label")).cache()
+    gbt = GBTRegressor(maxIter=cfg.gbt_iter, stepSize=0.1, maxDepth=cfg.gbt_depth,
+                       minInstancesPerNode=cfg.gbt_min_instances,
                        seed=cfg.seed,
                        labelCol="label", featuresCol="features", predictionCol="p_gbt")
-    rf = RandomForestRegressor(numTrees=cfg.rf_trees, featureSubsetStrategy="all", maxDepth=12,
+    rf = RandomForestRegressor(numTrees=cfg.rf_trees, featureSubsetStrategy="all", maxDepth=cfg.rf_depth,
                                seed=cfg.seed, labelCol="label", featuresCol="features",
                                predictionCol="p_rf")
     # the two learners are independent: submit both fits at once (each is a

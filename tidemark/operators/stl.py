@@ -150,13 +150,11 @@ def _train_then_extend(holdout: int, short_extra: int, max_lag: int):
             out["stl_resid"] = np.nan
             return out
         t, s, _ = stl(y[:n_train], p)
-        trend, season = list(t), list(s)
-        for _ in range(hold):
-            trend.append(trend[-1] + (trend[-1] - trend[-2] if len(trend) >= 2 else 0.0))
-            season.append(season[-12] if len(season) >= 12 else season[-1])
-        out["stl_trend"] = trend
-        out["stl_seasonal"] = season
-        out["stl_resid"] = y - out["stl_trend"].to_numpy() - out["stl_seasonal"].to_numpy()
+        ahead = np.arange(1, hold + 1)  # n_train is 4 at least, so a slope exists
+        trend = np.concatenate([t, t[-1] + (t[-1] - t[-2]) * ahead])
+        cycle = s[-12:] if n_train >= 12 else s[-1:]
+        season = np.concatenate([s, np.resize(cycle, hold)])
+        out["stl_trend"], out["stl_seasonal"], out["stl_resid"] = trend, season, y - trend - season
         return out
     return run
 

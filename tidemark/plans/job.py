@@ -1,6 +1,7 @@
 """One analysis run over one input, as the source's upload lifecycle:
 register RUNNING -> bind and clean -> whole analysis (E1) -> store every
-result document under the run id (S6) -> COMPLETED, or FAILED on error.
+result document under the run id (S6) -> COMPLETED, or FAILED with the
+reason in the document ``failure``.
 
     from tidemark.plans.job import run_csv_job
     run_csv_job(spark, "s3://bucket/landing/train.csv", "s3://bucket/results")
@@ -12,11 +13,13 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.config import PipelineConfig
 from tidemark.operators import ledger
 from tidemark.plans.pipeline import run_pipeline
 from tidemark.sources import store
+from tidemark.sources.binding import canonical_frame, rejected_rows
 from tidemark.sources.csv_source import prepare, read_transactions_csv
 
 CFG = PipelineConfig()
@@ -27,15 +30,25 @@ def run_job(raw: DataFrame, base: str, run_id: str, file_name: str | None = None
     """Runs the analysis on raw rows and stores it; returns the final status."""
     spark = raw.sparkSession
     store.append_status(spark, base, run_id, ledger.RUNNING, file_name)
+    docs: dict[str, DataFrame] = {}
     try:
-        _, txn, _ = prepare(raw)
-        docs = run_pipeline(txn, cfg, key=key, raw=raw, with_models=with_models)
+        normalised, txn, binding = prepare(raw)
+        rejected = rejected_rows(canonical_frame(normalised, binding)).persist()
+        docs["rejected_rows"] = rejected
+        counts = rejected.first()
+        if counts.rejected == counts.n_rows:
+            raise ValueError(f"no usable row: {counts.bad_date} without a date, {counts.bad_sales} without sales")
+        docs |= run_pipeline(txn, cfg, key=key, raw=raw, with_models=with_models)
         store.save_run_results(run_id, docs, base)
         status = ledger.COMPLETED
-    except Exception:
+    except Exception as e:
         status = ledger.FAILED
+        reason = F.lit(f"{type(e).__name__}: {e}"[:2000]).alias("reason")
+        store.save_run_results(run_id, {"failure": spark.range(1).select(reason)}, base)
     finally:
-        spark.catalog.clearCache()
+        for name in ("rejected_rows", "monthly", "features"):  # what this run persisted
+            if name in docs:
+                docs[name].unpersist()
     store.append_status(spark, base, run_id, status, file_name)
     return status
 
@@ -50,8 +63,10 @@ def run_csv_job(spark: SparkSession, path: str, base: str, run_id: str | None =
 RESULT_DOCS = ("schema_columns", "schema_table", "eda_summary", "eda_monthly_trend",
                "eda_category_breakdown", "eda_segment_breakdown", "eda_regional_breakdown",
                "eda_shipping_lead_times", "eda_top_entities", "eda_sales_distribution",
-               "monthly", "features", "series_status", "anomaly_monthly_scores",
-               "anomaly_confirmed", "anomaly_summary")
+               "monthly", "features", "series_status", "rejected_rows",
+               "forecast_metrics", "forecast_backtest", "forecast_future", "feature_importance",
+               "explain_global", "explain_all", "explain_top", "explain_top_maps",
+               "anomaly_monthly_scores", "anomaly_confirmed", "anomaly_summary", "anomaly_future_risks")
 
 
 def get_run(spark: SparkSession, base: str, run_id: str, names=RESULT_DOCS) -> dict | None:

@@ -93,7 +93,7 @@ def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = No
                 .withColumn("iso_flag", F.coalesce("iso_flag", F.lit(False)))
     detectors = ["stat_flag", "iso_flag"]
 
-    if with_models:
+    if with_models and not model_rows(fe, cfg).isEmpty():  # some series has a row to train on
         mf, pred, metrics, models = fit_backtest_and_final(m, fe, cfg)
         out["forecast_metrics"] = metrics.drop("rmse_raw")
         out["forecast_backtest"] = evaluation.backtest_rows(pred)
@@ -108,6 +108,7 @@ def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = No
                 F.round(F.avg(F.abs("contribution")), 4).alias("shap"))
         else:
             scores = explain.deviation_scores(mf, imp, MODEL_FEATURES, cfg)
+        out["explain_all"] = explain.top_contributions(scores, len(MODEL_FEATURES))
         top = explain.top_contributions(scores, cfg.top_contrib)
         out["explain_top"] = top
         out["explain_top_maps"] = explain.top_feature_maps(top)

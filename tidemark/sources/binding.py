@@ -80,8 +80,8 @@ def bind_roles(columns, aliases=ROLE_ALIASES, required=REQUIRED_ROLES) -> RoleBi
             roles[role] = hit
     missing = [r for r in required if r not in roles]
     if missing:
-        raise SchemaError("input must contain a date column and a numeric sales column; "
-                          f"missing roles: {missing}")
+        raise SchemaError(f"no column is bound to {' or '.join(missing)}; known headers: "
+                          + "; ".join(f"{r}: {', '.join(aliases[r])}" for r in missing))
     return RoleBinding(roles)
 
 
@@ -96,12 +96,12 @@ def canonical_frame(df: DataFrame, binding: RoleBinding, keep_extra=("quantity",
         if role in TIME_ROLES:
             out.append(as_timestamp(df, name).alias(role))
         elif role in DOUBLE_ROLES:
-            out.append(F.col(name).cast("double").alias(role))
+            out.append(F.col(name).try_cast("double").alias(role))
         else:
             out.append(F.col(name).alias(role))
     for extra in keep_extra:
         if extra in df.columns and extra not in binding.roles:
-            out.append(F.col(extra).cast("double").alias(extra))
+            out.append(F.col(extra).try_cast("double").alias(extra))
     out += [F.col(c) for c in carry]
     return df.select(*out)
 

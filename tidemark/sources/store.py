@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql.types import DoubleType, FloatType, StructType
@@ -27,16 +27,22 @@ def _path(base: str, name: str) -> str:
 
 
 def save_run_results(run_id: str, docs: dict, base: str) -> None:
-    """Write every result DataFrame of a run; replaces that run only."""
+    """Write every result DataFrame of a run; replaces that run only,
+    also with a document that is now empty."""
     for name, df in docs.items():
-        spark = df.sparkSession
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
-               .partitionBy("run_id").parquet(_path(base, name)))
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        written = Observation()
+        (df.observe(written, F.count(F.lit(1)).alias("n")).withColumn("run_id", F.lit(run_id))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("run_id").parquet(_path(base, name)))
+        if not written.get["n"]:  # no row, so the overwrite touched no partition
+            _drop_partition(df.sparkSession, _path(base, name), run_id)
+
+
+def _drop_partition(spark: SparkSession, path: str, run_id: str) -> None:
+    jvm = spark._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+    folder = jvm.org.apache.hadoop.fs.Path(path, f"run_id={name}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def get_run_results(spark: SparkSession, base: str, run_id: str, names,

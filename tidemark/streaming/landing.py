@@ -1,9 +1,10 @@
 """Landing-folder ingest (T1), Structured Streaming.
 
-New CSV files in a landing folder are picked up by a file stream; the run
-id of a row is its source file (``_metadata.file_path``), so re-processing
-a file overwrites its results instead of duplicating them. Each micro-batch
-(``foreachBatch``, one file by default) runs ``plans.job.run_job`` per file:
+The stream only discovers the paths of new CSV files; each is then read
+with its own header, so columns are bound by name in any order (S2, S3). The
+path is the run id, so re-processing a file overwrites its results instead
+of duplicating them. Each micro-batch (``foreachBatch``, one file by
+default) runs ``plans.job.run_job`` per file:
 RUNNING, the whole analysis, results written partitioned by run id, then
 COMPLETED or FAILED. Progress and exactly-once bookkeeping live in the
 stream checkpoint; a replayed batch rewrites the same run partitions.
@@ -12,39 +13,33 @@ stream checkpoint; a replayed batch rewrites the same run partitions.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.sources.tables import RAW_HEADERS
-
-DEFAULT_SCHEMA = ", ".join(f"`{h}` string" for h in RAW_HEADERS)
+from tidemark.sources.csv_source import read_transactions_csv
 
 
 def _process(base: str, key: str | None, cfg, with_models: bool):
     def run(batch: DataFrame, epoch_id: int) -> None:
         from tidemark.plans.job import run_job
-        batch = batch.persist()
-        # one run per landed file; a micro-batch holds maxFilesPerTrigger files
-        run_ids = [r.run_id for r in batch.select("run_id").distinct().collect()]
-        for run_id in sorted(run_ids):
-            raw = batch.where(F.col("run_id") == run_id).drop("run_id")
+        # one run per landed file; a micro-batch holds maxFilesPerTrigger paths
+        for run_id in sorted(r.path for r in batch.collect()):
+            raw = read_transactions_csv(batch.sparkSession, run_id)
             run_job(raw, base, run_id, run_id.rsplit("/", 1)[-1], key, cfg, with_models)
-        batch.unpersist()
     return run
 
 
 def start_landing_ingest(spark: SparkSession, landing_dir: str, base: str, checkpoint_location: str,
-                         schema: str = DEFAULT_SCHEMA, available_now: bool = True,
+                         available_now: bool = True,
                          files_per_batch: int = 1, key: str | None = None, cfg=None,
-                         with_models: bool = False):
+                         with_models: bool = True):
     """Every new ``*.csv`` in ``landing_dir`` becomes one run: the whole
     analysis (with the models if ``with_models``) stored under its run id,
     with RUNNING then COMPLETED / FAILED in the ledger."""
     from tidemark.config import PipelineConfig
     cfg = cfg or PipelineConfig()
-    stream = (spark.readStream.option("header", True).option("pathGlobFilter", "*.csv")
+    stream = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv")
                    .option("maxFilesPerTrigger", files_per_batch)
-                   .schema(schema).csv(landing_dir)
-                   .withColumn("run_id", F.col("_metadata.file_path")))
+                   .schema("path string, modificationTime timestamp, length long, content binary")
+                   .load(landing_dir).select("path"))
     writer = (stream.writeStream.foreachBatch(_process(base, key, cfg, with_models))
                     .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -37,7 +37,9 @@ def grams(raw: bytes, order: int = ORDER) -> np.ndarray:
 
 
 def _distinct(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    joined = np.sort(np.concatenate(arrays)) if arrays else np.zeros(0, np.int64)
+    joined = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    arrays.clear()
+    joined.sort()
     first = np.flatnonzero(np.concatenate([[True], joined[1:] != joined[:-1]])) if len(joined) else np.zeros(0, np.int64)
     return joined[first], np.diff(np.append(first, len(joined)))
 

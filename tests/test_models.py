@@ -223,3 +223,16 @@ def test_token_bucket_segments_split_hot_key(spark):
     b = {r.event_id: (r.allowed, r.tokens) for r in throttle.token_bucket(
         ev, capacity=2.0, rate=1 / 3600.0, split_segments=False).collect()}
     assert a == b and sum(x[0] for x in a.values()) == 6 * 2
+
+
+def test_step_features_continue_the_training_features(spark):
+    from tidemark.operators import series
+    rows = [("A", dt.date(2020 + i // 12, i % 12 + 1, 1), 100.0 + (i * 37) % 50) for i in range(25)]
+    m = spark.createDataFrame(rows, "series_key string, period date, sales double")
+    last = series.add_features(m).orderBy(F.desc("period")).first()
+    state = spark.createDataFrame([("A", rows[-2][1], [r[2] for r in rows[:-1]], [0.0, 0.0], [0.0])],
+                                  "series_key string, last_period date, hist array<double>, "
+                                  "trend_hist array<double>, season_hist array<double>")
+    step = forecast.step_features(state).first()
+    for name in ("lag1", "lag12", "roll3_mean", "roll6_std", "roll12_mean", "ema3", "ema6", "ema12", "month", "is_q4"):
+        assert abs(step[name] - last[name]) < 1e-9, name

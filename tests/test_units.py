@@ -203,3 +203,19 @@ def test_histogram_matches_numpy(spark):
     got = eda.sales_histogram(txn).orderBy("bin").collect()
     assert [r["count"] for r in got] == counts.tolist()
     assert [r.lower for r in got] == [round(float(np.expm1(e)), 2) for e in edges[:-1]]
+
+
+def test_money_sums_are_exact_at_any_size_and_layout(spark):
+    from tidemark.functions.numeric import exact_total
+    rows = spark.range(20_000).select(
+        (F.lit(3_000_000_000_000.0) + F.col("id") * 0.01 + 0.0001).alias("sales"))
+    expected = {exact for parts in (1, 7, 64)
+                for exact, in rows.repartition(parts).agg(exact_total("sales")).collect()}
+    assert len(expected) == 1
+    assert abs(float(expected.pop()) - (20_000 * 3e12 + 0.01 * 19_999 * 10_000)) < 64
+
+
+def test_money_sum_leaves_out_nan(spark):
+    from tidemark.functions.numeric import total
+    df = spark.createDataFrame([(1.5,), (float("nan"),), (None,)], "sales double")
+    assert df.agg(total("sales")).first()[0] == 1.5

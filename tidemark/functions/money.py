@@ -15,7 +15,7 @@ def snapped(c) -> Column:
 
 
 def money_times(c, factor: float, scale: int = 2) -> Column:
-    """round(snap(c) * factor, scale) in exact decimal arithmetic."""
+    """round(c * factor, scale) of the snapped value in exact decimal arithmetic."""
     f = Decimal(repr(factor))
     return F.round(snapped(c) * F.lit(f), scale).cast("double")
 

@@ -4,10 +4,10 @@ All of them are built-in Spark expressions, so they stay inside
 whole-stage codegen.
 
 Rounding rule: sums computed on a cluster are added in an order that
-changes from run to run, so the last bits of a double sum vary. Money sums
-are therefore snapped to the data's native scale (4 decimals: cents times a
-two-decimal discount) with ``snap``, which yields the same double whatever
-the order. Displayed values are then rounded half-up as decimals
+changes from run to run, so the last bits of a double sum vary. Money is
+therefore added as decimals of the data's native scale (4 decimals: cents
+times a two-decimal discount) with ``total``: the sum is exact whatever the
+order and the size. Displayed values are then rounded half-up as decimals
 (``money``), so the shown digits are also order-independent. Averages of
 k snapped values are exact at a few more decimals (``native`` argument).
 """
@@ -24,14 +24,23 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def snap(c, native: int = NATIVE_SCALE) -> Column:
-    """Round a sum to the data's native scale; the result no longer depends
-    on the order the parts were added in."""
-    return F.round(col_of(c), native)
+#: Amounts as decimals: 24 digits before the point, and sums of 34.
+MONEY_TYPE = f"decimal(28,{NATIVE_SCALE})"
 
 
-def snap_sql(expr: str, native: int = NATIVE_SCALE) -> str:
-    return f"ROUND({expr}, {native})"
+def exact_total(c) -> Column:
+    """Exact decimal sum of amounts; NaN and infinite amounts are left out."""
+    return F.sum(col_of(c).try_cast(MONEY_TYPE))
+
+
+def total(c) -> Column:
+    """``exact_total`` as the nearest double."""
+    return exact_total(c).cast("double")
+
+
+def total_sql(expr: str) -> str:
+    """The same rule as ``total`` in SQL (used by the oracle queries)."""
+    return f"CAST(SUM(TRY_CAST({expr} AS {MONEY_TYPE.upper()})) AS DOUBLE)"
 
 
 def money(c, scale: int = 2, native: int = NATIVE_SCALE) -> Column:

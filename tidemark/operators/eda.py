@@ -1,9 +1,8 @@
 """Exploratory report over the canonical transaction frame.
 
-Each function returns a DataFrame (lazy). Totals that a per-group row needs
-(share of total) are attached as an uncorrelated scalar subquery, which
-Spark runs once and embeds as a literal: no window over all groups, no
-join with a one-row table.
+Each function returns a DataFrame (lazy). The total that a share needs is
+the sum of the group rows (one for each category, segment or region), so
+the transactions are read and aggregated once.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.config import PipelineConfig
 from tidemark.functions.dates import lead_days, month_label
 from tidemark.functions.money import money_times
-from tidemark.functions.numeric import money, pct, ratio, rnd, snap
+from tidemark.functions.numeric import exact_total, money, pct, ratio, rnd, total
 
 CFG = PipelineConfig()
 
@@ -39,9 +38,9 @@ def kpi_summary(txn: DataFrame, cfg: PipelineConfig = CFG, id_fallback: str = "r
     several landed files in one micro-batch)."""
     has_profit = "profit" in txn.columns
     agg = txn.groupBy(*group_cols).agg(
-        snap(F.sum("sales")).alias("_sales"),
+        total("sales").alias("_sales"),
         _orders_expr(txn, cfg.exact_distinct, id_fallback).alias("total_orders"),
-        (snap(F.sum("profit")) if has_profit else F.lit(None).cast("double")).alias("_profit"),
+        (total("profit") if has_profit else F.lit(None).cast("double")).alias("_profit"),
         F.min("order_date").alias("_dmin"),
         F.max("order_date").alias("_dmax"),
     )
@@ -65,11 +64,16 @@ def kpi_summary(txn: DataFrame, cfg: PipelineConfig = CFG, id_fallback: str = "r
 def monthly_sales(txn: DataFrame) -> DataFrame:
     """Sales per calendar month, YYYY-MM label, rounded to cents."""
     return (txn.groupBy(month_label("order_date").alias("period"))
-               .agg(money(F.sum("sales")).alias("sales")))
+               .agg(money(total("sales")).alias("sales")))
 
 
-def _total_sales(txn: DataFrame):
-    return txn.agg(snap(F.sum("sales"))).scalar()
+def _grouped(txn: DataFrame, key: str, *aggs) -> DataFrame:
+    """One row per named value of ``key`` with _s (exact sales) and _total
+    (over all groups, the rows without a name among them)."""
+    g = txn.groupBy(F.col(key).cast("string").alias(key)).agg(exact_total("sales").alias("_d"), *aggs)
+    every = F.sum("_d").over(Window.partitionBy())  # over one row per group
+    return (g.withColumn("_total", every.cast("double")).withColumn("_s", F.col("_d").cast("double"))
+             .where(F.col(key).isNotNull()).drop("_d"))
 
 
 def category_breakdown(txn: DataFrame, cfg: PipelineConfig = CFG, key: str = "category") -> DataFrame:
@@ -80,13 +84,10 @@ def category_breakdown(txn: DataFrame, cfg: PipelineConfig = CFG, key: str = "ca
     if key not in txn.columns:
         return _empty_breakdown(txn, key, with_profit=True)
     has_profit = "profit" in txn.columns
-    total = _total_sales(txn)
-    g = txn.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias(key)).agg(
-        snap(F.sum("sales")).alias("_s"),
-        (snap(F.sum("profit")) if has_profit else F.lit(None).cast("double")).alias("_p"))
+    g = _grouped(txn, key, (total("profit") if has_profit else F.lit(None).cast("double")).alias("_p"))
     profit = money("_p") if has_profit else money_times("_s", cfg.profit_rate_estimate)
     return g.select(key, money("_s").alias("sales"), profit.alias("profit"),
-                    rnd(pct("_s", total), 2).alias("pct"),
+                    rnd(pct("_s", "_total"), 2).alias("pct"),
                     F.lit(not has_profit).alias("profit_is_estimated"))
 
 
@@ -94,10 +95,7 @@ def share_breakdown(txn: DataFrame, key: str) -> DataFrame:
     """Percent of total sales per value of ``key`` (segment, region)."""
     if key not in txn.columns:
         return _empty_breakdown(txn, key, with_profit=False)
-    total = _total_sales(txn)
-    g = (txn.where(F.col(key).isNotNull())
-            .groupBy(F.col(key).cast("string").alias(key)).agg(snap(F.sum("sales")).alias("_s")))
-    return g.select(key, rnd(pct("_s", total), 2).alias("pct"))
+    return _grouped(txn, key).select(key, rnd(pct("_s", "_total"), 2).alias("pct"))
 
 
 def _empty_breakdown(txn: DataFrame, key: str, with_profit: bool) -> DataFrame:
@@ -139,7 +137,7 @@ def top_entities(txn: DataFrame, column: str, k: int, kind: str | None = None) -
         return txn.sparkSession.createDataFrame([], "kind string, rank bigint, name string, sales double")
     g = (txn.where(F.col(column).isNotNull())
             .groupBy(F.col(column).cast("string").alias("name"))
-            .agg(snap(F.sum("sales")).alias("_s")))
+            .agg(total("sales").alias("_s")))
     top = g.orderBy(F.desc("_s"), F.asc("name")).limit(k)
     w = Window.orderBy(F.desc("_s"), F.asc("name"))  # over at most k rows
     return top.select(F.lit(kind).alias("kind"), F.row_number().over(w).cast("long").alias("rank"),
@@ -164,7 +162,7 @@ def top_entities_report(txn: DataFrame, specs=TOP_ENTITY_SPECS) -> DataFrame:
     names = [f"_n{i}" for i in range(len(chosen))]
     base = txn.select("sales", *cols)
     g = base.groupingSets([[n] for n in names], *names).agg(
-        snap(F.sum("sales")).alias("_s"), F.grouping_id().alias("_gid"))
+        total("sales").alias("_s"), F.grouping_id().alias("_gid"))
     # exactly one name column is set per grouping set; its grouping id tells which
     nbits = len(names)
     kind_of = F.lit(None).cast("string")

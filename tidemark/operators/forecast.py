@@ -145,8 +145,13 @@ def step_features(state: DataFrame, legacy_features: bool = False) -> DataFrame:
 
 
 def recursive_forecast(fe: DataFrame, models, metrics: DataFrame, cfg: PipelineConfig = CFG,
-                       legacy_features: bool = False, checkpoint_every: int = 4) -> DataFrame:
-    """F9 + F10 for every series: ``horizon`` months ahead with 90% bands."""
+                       monthly: DataFrame | None = None, legacy_features: bool = False,
+                       checkpoint_every: int = 4) -> DataFrame:
+    """F9 + F10 for every series: ``horizon`` months ahead with 90% bands.
+
+    ``monthly`` holds all months of the series: the EMAs go on from its
+    first month, as in training. Without it (or with the source's features)
+    the history starts at the first row that has every feature."""
     w = Window.partitionBy("series_key").orderBy("period")
     full = Window.partitionBy("series_key").orderBy("period").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
@@ -158,6 +163,11 @@ def recursive_forecast(fe: DataFrame, models, metrics: DataFrame, cfg: PipelineC
                .where(F.col("_rn") == F.col("_n"))
                .select("series_key", F.col("period").alias("last_period"), "hist", "trend_hist",
                        "season_hist"))
+    if monthly is not None and not legacy_features:
+        months = monthly.groupBy("series_key").agg(
+            F.sort_array(F.collect_list(F.struct("period", "sales"))).alias("months"))
+        state = (state.drop("hist").join(months, "series_key")
+                 .withColumn("hist", F.transform("months", lambda x: x["sales"])).drop("months"))
     ensure_checkpoint_dir(fe.sparkSession)
     state = state.withColumn("fc", F.array().cast("array<double>"))
     for step in range(1, cfg.horizon + 1):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import EMA_SPANS, LAGS, MODEL_FEATURES, ROLL_MEANS, ROLL_STDS, PipelineConfig
 from tidemark.functions.dates import month_label, month_start
-from tidemark.functions.numeric import pct, ratio, snap
+from tidemark.functions.numeric import pct, ratio, total
 
 CFG = PipelineConfig()
 
@@ -44,10 +44,10 @@ def monthly_series(txn: DataFrame, key: str | None = None, cfg: PipelineConfig =
                    id_fallback: str = "rows", with_counts: bool = True) -> DataFrame:
     """One row per (series_key, month with data): sales and transaction counts.
 
-    ``sales`` is snapped to 4 decimals so that every feature computed from
-    it is the same on every run. Rows with a NULL key form no series."""
+    ``sales`` is an exact decimal sum, so every feature computed from it is
+    the same on every run. Rows with a NULL key form no series."""
     src = txn.where(F.col(key).isNotNull()) if key is not None else txn
-    aggs = [snap(F.sum("sales")).alias("sales")]
+    aggs = [total("sales").alias("sales")]
     if with_counts:
         aggs += [
             _distinct(src, "order_id", cfg.exact_distinct, id_fallback).cast("long").alias("n_orders"),

@@ -10,10 +10,11 @@ engines show the same digits.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import LAGS, MODEL_FEATURES, PipelineConfig
@@ -21,13 +22,17 @@ from tidemark.functions.money import money_times_sql
 from tidemark.functions.numeric import money, rnd
 from tidemark.functions.numeric import money_sql as M
 from tidemark.functions.numeric import rnd_sql as R
+from tidemark.functions.numeric import total_sql as T
 from tidemark.operators import (anomaly, eda, evaluation, explain, iforest, ledger, profile, series,
                                 stl, throttle, treeshap)
 from tidemark.operators import forecast as _fc
 from tidemark.plans import pipeline
 from tidemark.operators.profile import NUMERIC_TEXT
 from tidemark.plans import series_sql as S
-from tidemark.sources.binding import normalise_name
+from tidemark.session import ensure_checkpoint_dir, written
+from tidemark.sources import store
+from tidemark.sources.binding import canonical_frame, normalise_name, rejected_rows
+from tidemark.sources.csv_source import prepare
 from tidemark.sources.tables import (RAW_HEADERS, raw_transactions, raw_transactions_sql,
                                      read_table, sales_fact, sales_fact_sql)
 
@@ -58,7 +63,7 @@ def fact(roles) -> str:
 # --------------------------------------------------------------------- EDA
 
 @register("monthly_sales", "A6 C3 C4 K1", f"""
-SELECT strftime(order_date, '%Y-%m') AS period, {M('SUM(sales)')} AS sales
+SELECT strftime(order_date, '%Y-%m') AS period, {M(T('sales'))} AS sales
 FROM {fact(['order_date', 'sales'])} f
 GROUP BY 1""")
 def q_monthly_sales(spark, sf_dir):
@@ -67,7 +72,7 @@ def q_monthly_sales(spark, sf_dir):
 
 @register("kpi_summary", "A1 A2 A3 A4 A5", f"""
 WITH a AS (
-  SELECT ROUND(SUM(sales), 4) AS s, COUNT(DISTINCT order_id) AS n,
+  SELECT {T('sales')} AS s, COUNT(DISTINCT order_id) AS n,
          MIN(order_date) AS dmin, MAX(order_date) AS dmax
   FROM {fact(['order_date', 'sales', 'order_id'])} f)
 SELECT {M('s')} AS total_sales, CAST(n AS BIGINT) AS total_orders,
@@ -84,8 +89,8 @@ def q_kpi_summary(spark, sf_dir):
 
 @register("category_breakdown", "A8", f"""
 WITH f AS {fact(['order_date', 'sales', 'category'])},
-     t AS (SELECT ROUND(SUM(sales), 4) AS total FROM f),
-     g AS (SELECT CAST(category AS VARCHAR) AS category, ROUND(SUM(sales), 4) AS s
+     t AS (SELECT {T('sales')} AS total FROM f),
+     g AS (SELECT CAST(category AS VARCHAR) AS category, {T('sales')} AS s
            FROM f WHERE category IS NOT NULL GROUP BY 1)
 SELECT category, {M('s')} AS sales, {money_times_sql('s', CFG.profit_rate_estimate)} AS profit,
        {R('s / NULLIF((SELECT total FROM t), 0) * 100.0', 2)} AS pct,
@@ -98,8 +103,8 @@ def q_category_breakdown(spark, sf_dir):
 def _share_sql(key: str) -> str:
     return f"""
 WITH f AS {fact(['order_date', 'sales', key])},
-     t AS (SELECT ROUND(SUM(sales), 4) AS total FROM f),
-     g AS (SELECT CAST({key} AS VARCHAR) AS {key}, ROUND(SUM(sales), 4) AS s
+     t AS (SELECT {T('sales')} AS total FROM f),
+     g AS (SELECT CAST({key} AS VARCHAR) AS {key}, {T('sales')} AS s
            FROM f WHERE {key} IS NOT NULL GROUP BY 1)
 SELECT {key}, {R('s / NULLIF((SELECT total FROM t), 0) * 100.0', 2)} AS pct FROM g"""
 
@@ -129,7 +134,7 @@ def _top_sql(kind: str, col: str, k: int) -> str:
     return f"""
 SELECT '{kind}' AS kind, CAST(row_number() OVER (ORDER BY s DESC, name ASC) AS BIGINT) AS rank,
        name, {M('s')} AS sales
-FROM (SELECT CAST({col} AS VARCHAR) AS name, ROUND(SUM(sales), 4) AS s
+FROM (SELECT CAST({col} AS VARCHAR) AS name, {T('sales')} AS s
       FROM {fact(['order_date', 'sales', col])} f WHERE {col} IS NOT NULL GROUP BY 1
       ORDER BY s DESC, name ASC LIMIT {k}) t"""
 
@@ -214,7 +219,7 @@ def q_profile_table(spark, sf_dir):
 # ------------------------------------------------------------------ series
 
 @register("monthly_txn", "A7 J1", f"""
-SELECT strftime(order_date, '%Y-%m') AS period, {M('SUM(sales)')} AS sales,
+SELECT strftime(order_date, '%Y-%m') AS period, {M(T('sales'))} AS sales,
        COUNT(DISTINCT order_id) AS n_orders, COUNT(DISTINCT product_id) AS n_products,
        COUNT(DISTINCT customer_id) AS n_customers, {R('AVG(sales)', 2)} AS avg_txn_sale
 FROM {fact(['order_date', 'sales', 'order_id', 'product_id', 'customer_id'])} f
@@ -357,6 +362,27 @@ def q_anomaly_summary_naive(spark, sf_dir):
     return anomaly.anomaly_summary(_voted(spark, sf_dir))
 
 
+#: A third detector by rule: months that change by more than this percentage.
+MOM_LIMIT = 12.0
+_THREE = _VOTES + f""",
+v3 AS (SELECT * EXCLUDE (votes, is_anomaly, severity),
+              votes + CAST(COALESCE(abs(mom_pct) > {S._dbl(MOM_LIMIT)}, FALSE) AS BIGINT) AS votes FROM vs)"""
+
+
+def _voted_three(spark, sf_dir):
+    two = _voted(spark, sf_dir).withColumn(
+        "mom_flag", F.coalesce(F.abs("mom_pct") > F.lit(MOM_LIMIT), F.lit(False)))
+    return anomaly.vote(two.drop("votes", "is_anomaly", "severity"), ["stat_flag", "resid_flag", "mom_flag"])
+
+
+@register("anomaly_scores_three", "AN5 AN7 (three detectors)", _THREE + f"""
+SELECT series_key, strftime(period, '%Y-%m') AS period, {M('sales')} AS sales, {R('z_score', 3)} AS z_score, votes,
+       CASE WHEN votes >= 3 THEN 'critical' WHEN votes = 2 THEN 'high' ELSE 'normal' END AS severity,
+       votes >= 2 AS is_anomaly FROM v3""")
+def q_anomaly_scores_three(spark, sf_dir):
+    return anomaly.monthly_scores(_voted_three(spark, sf_dir))
+
+
 # ------------------------------------------------------------- explanation
 
 
@@ -405,16 +431,82 @@ def q_explain_deviation_top(spark, sf_dir):
                       "value", "contribution")
 
 
-@register("explain_global_mean_abs", "A17 X2", _deviation_sql() + f"""
+@register("explain_deviation_all", "X3 (every feature of a month, sorted)", _deviation_sql() + """
+SELECT series_key, strftime(period, '%Y-%m') AS period,
+       CAST(row_number() OVER (PARTITION BY series_key, period ORDER BY abs(contribution) DESC, pos ASC) AS BIGINT) AS rank,
+       feature, value, contribution FROM cb""")
+def q_explain_deviation_all(spark, sf_dir):
+    every = explain.top_contributions(_deviation(spark, sf_dir), len(SQL_FEATURES))
+    return every.select("series_key", F.col("period_label").alias("period"), "rank", "feature",
+                        "value", "contribution")
+
+
+@register("explain_global_scaled", "X2 (importance: a feature's share of the correlations with sales)",
+          S.chain("region") + f""",
+lf AS (UNPIVOT (SELECT CAST(sales AS DOUBLE) AS target, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in SQL_FEATURES)}
+                FROM fe) ON {', '.join(SQL_FEATURES)} INTO NAME feature VALUE value),
+c AS (SELECT feature, abs(corr(value, target)) AS r FROM lf GROUP BY feature)
+SELECT feature, {R(f'r / (SELECT SUM(r) FROM c) * {S._dbl(CFG.explain_scale)}', 4)} AS shap FROM c""")
+def q_explain_global_scaled(spark, sf_dir):
+    fe = feature_frame(spark, sf_dir, "region")
+    r = explain.long_features(fe, SQL_FEATURES, ("series_key", "period", "sales")).groupBy("feature").agg(
+        F.abs(F.corr("value", "sales")).alias("r"))
+    every = Window.partitionBy()  # over one row per feature
+    return explain.global_importance(r.select("feature", (F.col("r") / F.sum("r").over(every)).alias("importance")))
+
+
+@register("explain_global_mean_abs", "A17", _deviation_sql() + f"""
 SELECT feature, {R('AVG(abs(contribution))', 4)} AS mean_abs_contribution FROM cb GROUP BY feature""")
 def q_explain_global_mean_abs(spark, sf_dir):
     sc = _deviation(spark, sf_dir).withColumn("contribution", rnd("contribution", 4))
     return sc.groupBy("feature").agg(rnd(F.avg(F.abs("contribution")), 4).alias("mean_abs_contribution"))
 
 
+# ------------------------------------------------------------------ ingest
+
+@register("bind_clean_monthly", "S2 S3 S4 C1 C2 A6", f"""
+SELECT strftime(strptime("Order Date", '%d/%m/%Y'), '%Y-%m') AS period, {M(T('"Sales"'))} AS sales
+FROM {raw_transactions_sql()} r GROUP BY 1""")
+def q_bind_clean_monthly(spark, sf_dir):
+    return eda.monthly_sales(prepare(raw_transactions(spark, sf_dir))[1])
+
+
+def _spoiled(raw: DataFrame) -> DataFrame:
+    """Raw rows with unreadable dates and amounts, by a rule on the order id."""
+    number = F.col("Order ID").cast("long")
+    return (raw.withColumn("Order Date", F.when(number % 97 == 0, "no date").otherwise(F.col("Order Date")))
+               .withColumn("Sales", F.when(number % 89 == 0, "N/A").otherwise(F.col("Sales").cast("string"))))
+
+
+@register("rejected_counts", "C2 (rows left out, by reason)", f"""
+WITH r AS (SELECT CAST("Order ID" AS BIGINT) AS id, "Sales" AS s, "Order Date" AS d FROM {raw_transactions_sql()} x),
+     b AS (SELECT id % 97 = 0 OR d IS NULL AS bad_d, id % 89 = 0 OR s IS NULL AS bad_s FROM r)
+SELECT COUNT(*) FILTER (WHERE bad_d) AS bad_date, COUNT(*) FILTER (WHERE bad_s) AS bad_sales,
+       COUNT(*) FILTER (WHERE bad_d OR bad_s) AS rejected, COUNT(*) AS n_rows FROM b""")
+def q_rejected_counts(spark, sf_dir):
+    normalised, _, binding = prepare(_spoiled(raw_transactions(spark, sf_dir)))
+    return rejected_rows(canonical_frame(normalised, binding))
+
+
+@register("store_roundtrip", "S6 S7 S13", f"""
+WITH m AS (SELECT strftime(order_date, '%Y-%m') AS period, {M(T('sales'))} AS sales
+           FROM {fact(['order_date', 'sales'])} f GROUP BY 1)
+SELECT 'first' AS run_id, period, sales FROM m WHERE right(period, 2) <= '06'
+UNION ALL SELECT 'second', period, sales FROM m""")
+def q_store_roundtrip(spark, sf_dir):
+    months = written(eda.monthly_sales(sales_fact(spark, sf_dir, ["order_date", "sales"])), "months")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    half = months.where(F.substring("period", 6, 2) <= "06")
+    for run, rows in (("first", months), ("second", months), ("first", half)):  # the last one replaces its run
+        store.save_run_results(run, {"trend": store.to_json_rows(rows)}, base)
+    back = [store.from_json_rows(store.get_run_results(spark, base, run, ["trend"], marker="trend")["trend"], months.schema)
+            .select(F.lit(run).alias("run_id"), "period", "sales") for run in ("first", "second")]
+    return back[0].unionByName(back[1])
+
+
 # ------------------------------------------------------- ledger & messages
 
-@register("chat_history_first5", "S12 S11", """
+@register("chat_history_first5", "S12", """
 SELECT conv_id, turn, sender, message FROM (
   SELECT conv_id, turn, role AS sender, text AS message,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn
@@ -500,10 +592,10 @@ def q_forecast_future(spark, sf_dir):
     m = pipeline.build_monthly(sales_fact(spark, sf_dir, roles), "region", CFG).cache()
     fe = pipeline.features_from_monthly(m).cache()
     mf, _, metrics, models = pipeline.fit_backtest_and_final(m, fe, CFG)
-    return _fc.recursive_forecast(mf, models, metrics, CFG)
+    return _fc.recursive_forecast(mf, models, metrics, CFG, m)
 
 
-@register("feature_importance", "F11 K3 X2")
+@register("feature_importance", "F11 K3")
 def q_feature_importance(spark, sf_dir):
     _, mf, _ = _model_frames(spark, sf_dir)
     return _fc.feature_importances(_fc.fit_models(mf, CFG)[1], spark=spark)

@@ -1,7 +1,8 @@
 """The whole analysis composed (E1): profile -> EDA -> monthly series ->
 STL -> features -> backtest + forecast -> explanation -> voted anomalies.
 
-``run_pipeline`` returns a dict of lazy DataFrames; actions happen only at
+``run_pipeline`` writes the transactions once to the shared folder and
+returns a dict of lazy DataFrames over them; further actions happen only at
 model fits and when the caller writes or collects. The monthly feature
 frame (one row per series and month) is persisted once and reused by
 every downstream step.
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.config import MODEL_FEATURES, PipelineConfig
 from tidemark.operators import (anomaly, eda, evaluation, explain, forecast, iforest, profile,
                                 series, stl, treeshap)
+from tidemark.session import written
 
 CFG = PipelineConfig()
 
@@ -76,6 +78,7 @@ def fit_backtest_and_final(m: DataFrame, fe: DataFrame, cfg: PipelineConfig = CF
 def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = None,
                  raw: DataFrame | None = None, with_models: bool = True) -> dict:
     out = {}
+    txn = written(txn, "fact")  # every output below reads it: one join of the fact a run
     if raw is not None:
         out["schema_columns"] = profile.profile_columns(raw, cfg)
         out["schema_table"] = profile.profile_table(raw)
@@ -97,7 +100,7 @@ def run_pipeline(txn: DataFrame, cfg: PipelineConfig = CFG, key: str | None = No
         mf, pred, metrics, models = fit_backtest_and_final(m, fe, cfg)
         out["forecast_metrics"] = metrics.drop("rmse_raw")
         out["forecast_backtest"] = evaluation.backtest_rows(pred)
-        fc = forecast.recursive_forecast(mf, models, metrics, cfg)
+        fc = forecast.recursive_forecast(mf, models, metrics, cfg, m)
         out["forecast_future"] = fc
         imp = forecast.feature_importances(models[1], MODEL_FEATURES, txn.sparkSession)
         out["feature_importance"] = imp

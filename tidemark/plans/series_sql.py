@@ -9,6 +9,7 @@ from __future__ import annotations
 from tidemark.config import EMA_SPANS, LAGS, ROLL_MEANS, ROLL_STDS, PipelineConfig
 from tidemark.functions.numeric import money_sql as M
 from tidemark.functions.numeric import rnd_sql as R
+from tidemark.functions.numeric import total_sql as T
 from tidemark.sources.tables import sales_fact_sql
 
 CFG = PipelineConfig()
@@ -25,7 +26,7 @@ def monthly_cte(key: str | None) -> str:
     where = f"WHERE {key} IS NOT NULL" if key else ""
     return f"""m AS (
   SELECT {k} AS series_key, CAST(date_trunc('month', order_date) AS DATE) AS period,
-         ROUND(SUM(sales), 4) AS sales
+         {T('sales')} AS sales
   FROM {sales_fact_sql(roles)} f {where} GROUP BY 1, 2)"""
 
 
@@ -140,7 +141,7 @@ def monthly_counts_cte(key: str | None) -> str:
     k = f"CAST({key} AS VARCHAR)" if key else "'ALL'"
     where = f"WHERE {key} IS NOT NULL" if key else ""
     return f"""SELECT {k} AS series_key, strftime(date_trunc('month', order_date), '%Y-%m') AS period,
-       {M('SUM(sales)')} AS sales, COUNT(DISTINCT order_id) AS n_orders,
+       {M(T('sales'))} AS sales, COUNT(DISTINCT order_id) AS n_orders,
        COUNT(DISTINCT product_id) AS n_products, COUNT(DISTINCT customer_id) AS n_customers,
        {R('AVG(sales)', 2)} AS avg_txn_sale
 FROM {sales_fact_sql(roles)} f {where} GROUP BY 1, 2"""

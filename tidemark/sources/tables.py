@@ -178,9 +178,12 @@ def raw_transactions_sql() -> str:
 
 def materialize_fact(spark: SparkSession, sf_dir: str, path: str, roles=None) -> DataFrame:
     """Write the joined fact once, partitioned by order month, and return a
-    reader over it. Later filters on ``order_month`` prune partitions."""
+    reader over it. Later filters on ``order_month`` prune partitions.
+
+    The rows are rebalanced, not hashed to one task for each month: AQE cuts
+    a month to tasks of the advisory size."""
     fact = sales_fact(spark, sf_dir, roles).withColumn(
         "order_month", F.date_format("order_date", "yyyy-MM"))
-    (fact.repartition("order_month").write.mode("overwrite")
+    (fact.hint("rebalance", "order_month").write.mode("overwrite")
          .partitionBy("order_month").parquet(path))
     return spark.read.parquet(path)

@@ -18,6 +18,10 @@ from tidemark.operators.series import zscore
 
 CFG = PipelineConfig()
 
+# Texts of a risk row.
+RISK_TYPE = "High Volatility"
+RISK_DESCRIPTION = "Forecast shows elevated variance and volatility bounds."
+
 
 def _p():
     return Window.partitionBy("series_key")
@@ -106,4 +110,5 @@ def future_risks(forecast: DataFrame, metrics: DataFrame, cfg: PipelineConfig =
     f = forecast.where(F.col("step") <= cfg.risk_steps).join(
         metrics.select("series_key", "rmse"), "series_key")
     return f.where((F.col("upper_90") - F.col("lower_90")) > F.col("rmse") * F.lit(cfg.risk_k)).select(
-        "series_key", "period", "forecast", F.lit("High Volatility").alias("risk_type"))
+        "series_key", "period", "forecast", F.lit(RISK_TYPE).alias("risk_type"),
+        F.lit(RISK_DESCRIPTION).alias("description"))

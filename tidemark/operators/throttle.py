@@ -24,29 +24,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 
+def spend(micros: np.ndarray, capacity: float, rate: float, level: float, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """(allowed, tokens left) for one key's events in time order, from a
+    bucket that held ``level`` tokens at ``since``."""
+    refill = np.diff(micros, prepend=since) / 1000000.0 * rate
+    left, allowed = np.empty(len(micros)), np.empty(len(micros), bool)
+    for i, more in enumerate(refill.tolist()):
+        level = min(capacity, level + more)
+        allowed[i] = level >= 1.0
+        level -= allowed[i]
+        left[i] = level
+    return allowed, left
+
+
 def _scan(key: str, seg: str, ts_us: str, capacity: float, rate: float):
     def run(batches):
-        cur = None
-        tokens = capacity
-        last = 0
+        held = None  # (group, level, time) after the last event of the batch before
         for pdf in batches:
-            n = len(pdf)
-            keys = pdf[key].to_numpy()
-            segs = pdf[seg].to_numpy()
             micros = pdf[ts_us].to_numpy(dtype=np.int64)
-            allowed = np.zeros(n, dtype=bool)
-            left = np.zeros(n, dtype=np.float64)
-            for i in range(n):
-                g = (keys[i], segs[i])
-                if cur is None or g != cur:
-                    cur, tokens, last = g, capacity, micros[i]
-                elapsed = (micros[i] - last) / 1000000.0
-                tokens = min(capacity, tokens + elapsed * rate)
-                last = micros[i]
-                if tokens >= 1.0:
-                    tokens -= 1.0
-                    allowed[i] = True
-                left[i] = tokens
+            groups = list(zip(pdf[key].to_numpy(), pdf[seg].to_numpy()))
+            starts = [i for i in range(len(groups)) if i == 0 or groups[i] != groups[i - 1]]
+            allowed, left = np.empty(len(pdf), bool), np.empty(len(pdf))
+            for a, z in zip(starts, [*starts[1:], len(pdf)]):
+                level, since = held[1:] if held and held[0] == groups[a] else (capacity, micros[a])
+                allowed[a:z], left[a:z] = spend(micros[a:z], capacity, rate, level, since)
+                held = groups[a], float(left[z - 1]), micros[z - 1]
             yield pdf.assign(allowed=allowed, tokens=left).drop(columns=[seg, ts_us])
     return run
 

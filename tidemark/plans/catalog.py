@@ -11,7 +11,7 @@ engines show the same digits.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -319,7 +319,8 @@ def q_forecast_bands_naive(spark, sf_dir):
 
 
 @register("future_risks_naive", "AN8 K5", S.chain("region", "naive", "bands") + f"""
-SELECT bd.series_key, bd.period, bd.forecast, 'High Volatility' AS risk_type
+SELECT bd.series_key, bd.period, bd.forecast, '{anomaly.RISK_TYPE}' AS risk_type,
+       '{anomaly.RISK_DESCRIPTION}' AS description
 FROM bd JOIN mt ON bd.series_key = mt.series_key
 WHERE bd.step <= {CFG.risk_steps} AND (bd.upper_90 - bd.lower_90) > mt.rmse * {S._dbl(CFG.risk_k)}""")
 def q_future_risks_naive(spark, sf_dir):
@@ -528,6 +529,37 @@ def q_events_latest_status(spark, sf_dir):
     return ledger.list_runs(cur.withColumnRenamed("event_type", "status"))
 
 
+@register("messages_store_first3", "S11 S12", """
+SELECT run_id, seq, sender, message FROM (
+  SELECT CAST(conv_id AS VARCHAR) AS run_id, turn AS seq, role AS sender, text AS message,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) t WHERE rn <= 3""")
+def q_messages_store_first3(spark, sf_dir):
+    msgs = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("seq"), F.col("role").alias("sender"),
+        F.col("text").alias("message"), F.lit(None).cast("timestamp").alias("ts"))
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chat-{uuid.uuid4().hex}"
+    odd = F.col("seq") % 2 == 1
+    for part in (msgs.where(odd), msgs.where(~odd)):  # two appends
+        store.append_messages(part, base)
+    return store.chat_history(spark, base, limit=3).drop("ts")
+
+
+@register("ledger_store_current", "S8 S9 S10", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, ts, min(ts) OVER (PARTITION BY user_id) AS first_ts FROM events)
+SELECT run_id, CASE WHEN max(ts) = first_ts THEN 'RUNNING' WHEN second(max(ts)) < 6 THEN 'FAILED' ELSE 'COMPLETED' END
+       AS status, max(ts) AS ts, first_ts FROM e GROUP BY run_id, first_ts""")
+def q_ledger_store_current(spark, sf_dir):
+    """A user's first event registers a run, every later one is an outcome."""
+    ev = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), "ts")
+    first = ev.groupBy("run_id").agg(F.min("ts").alias("ts"))
+    later = (ev.join(first.withColumnRenamed("ts", "_first"), "run_id").where(F.col("ts") > F.col("_first"))
+             .withColumn("status", F.when(F.second("ts") < 6, ledger.FAILED).otherwise(ledger.COMPLETED)))
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    for log in (first.withColumn("status", F.lit(ledger.RUNNING)), later):
+        store.append_log(log.select("run_id", F.lit(None).cast("string").alias("file_name"), "status", "ts"), base)
+    return store.current_runs(spark, base).drop("file_name")
+
+
 # ---------------------------------------------------------------- throttle
 
 def _throttle_query(capacity: float, rate: float):
@@ -668,3 +700,48 @@ def q_forecast_rolling_cv(spark, sf_dir):
     _, mf, _ = _model_frames(spark, sf_dir)
     cv = _fc.rolling_origin_cv(mf, CFG, folds=3)
     return cv.select("series_key", "fold", "n_test", "mape", "rmse", "r2", "mase")
+
+
+# ------------------------- what SQL can check of the model operators:
+# components add up, keys, actuals, band arithmetic. None of it depends on how
+# well a model fits, so these fit few rounds.
+
+FEW = replace(CFG, gbt_iter=5, rf_trees=5)
+
+
+@register("stl_components_sum", "M1 (trend + seasonal + residual = sales)", "WITH " + S.monthly_cte("region") + f"""
+SELECT series_key, strftime(period, '%Y-%m') AS period, {M('sales')} AS sales FROM m""")
+def q_stl_components_sum(spark, sf_dir):
+    m = series.monthly_series(sales_fact(spark, sf_dir, ["order_date", "sales", "region"]), "region", with_counts=False)
+    whole = F.col("stl_trend") + F.col("stl_seasonal") + F.col("stl_resid")
+    return stl.decompose(m).select("series_key", F.date_format("period", "yyyy-MM").alias("period"), money(whole).alias("sales"))
+
+
+@register("forecast_backtest_actuals", "F3 F8 (months and actuals of the fitted backtest)", S.chain("region", "naive") + f"""
+SELECT series_key, strftime(period, '%Y-%m') AS period, {M('actual')} AS actual, TRUE AS has_prediction FROM pr WHERE is_test""")
+def q_forecast_backtest_actuals(spark, sf_dir):
+    pred = _fc.backtest(_model_frames(spark, sf_dir)[2], FEW)[0]
+    return evaluation.backtest_rows(pred).select(
+        "series_key", F.col("period_label").alias("period"), "actual", F.col("predicted").isNotNull().alias("has_prediction"))
+
+
+@register("forecast_steps", "F9 F10 (months ahead; bands from the forecast and its RMSE)", S.chain("region") + f"""
+SELECT series_key, strftime(max(period) + to_months(CAST(s AS INTEGER)), '%Y-%m') AS period, CAST(s AS INTEGER) AS step,
+       TRUE AS band_holds FROM fe, range(1, {CFG.horizon + 1}) r(s) GROUP BY series_key, s""")
+def q_forecast_steps(spark, sf_dir):
+    m, mf, bt = _model_frames(spark, sf_dir)
+    metrics = _fc.backtest(bt, FEW)[1]
+    fc = _fc.recursive_forecast(mf, _fc.fit_models(mf, FEW), metrics, FEW, m)
+    # shown values: cents on both, so the width is known to a few cents
+    width = F.col("rmse") * F.lit(FEW.z_band) * F.sqrt(F.col("step").cast("double"))
+    lower = F.greatest(F.col("forecast") - width, F.lit(0.0))
+    holds = (F.abs(F.col("upper_90") - F.col("forecast") - width) < 0.05) & (F.abs(F.col("lower_90") - lower) < 0.05)
+    return fc.join(metrics.select("series_key", "rmse"), "series_key").select(
+        "series_key", "period", "step", holds.alias("band_holds"))
+
+
+@register("forecast_cv_folds", "F12 (rows of each fold)", S.chain("region", "naive") + f"""
+SELECT series_key, CAST(k AS INTEGER) AS fold, COUNT(*) AS n_test FROM sp, range(1, 4) r(k)
+WHERE rd > (k - 1) * {CFG.holdout} AND rd <= k * {CFG.holdout} GROUP BY series_key, k""")
+def q_forecast_cv_folds(spark, sf_dir):
+    return _fc.rolling_origin_cv(_model_frames(spark, sf_dir)[1], FEW, folds=3).select("series_key", "fold", "n_test")

@@ -68,8 +68,12 @@ def get_run_results(spark: SparkSession, base: str, run_id: str, names,
 def append_status(spark: SparkSession, base: str, run_id: str, status: str,
                   file_name: str | None = None) -> None:
     """S8 (status RUNNING) / S9 (COMPLETED, FAILED): append a status event."""
-    ledger.status_event(spark, run_id, file_name, status).write.mode("append").parquet(
-        _path(base, "_ledger"))
+    append_log(ledger.status_event(spark, run_id, file_name, status), base)
+
+
+def append_log(events: DataFrame, base: str) -> None:
+    """S8/S9 for many runs at once: append status events ``(run_id, file_name, status, ts)``."""
+    events.write.mode("append").parquet(_path(base, "_ledger"))
 
 
 def current_runs(spark: SparkSession, base: str) -> DataFrame:

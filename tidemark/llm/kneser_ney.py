@@ -4,7 +4,7 @@ n-grams, trained on trusted text; counts and requests meet in sharded joins."""
 from __future__ import annotations
 
 import bz2
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from tidemark.llm.common import keyed, pa_schema, prepare, table, without, writt
 from tidemark.llm.quality_rules import trusted_ids
 
 ORDER = 4  # bytes; up to 7 fit a long
+PIECE = 1 << 20  # n-grams that are sorted or looked up at a time
 PACK_BYTES = 16 << 20  # text of the documents that ask for probabilities together
 HELD_OUT = 10  # one trusted text in so many calibrates the thresholds
 FENCE = 5.0  # reject above q75 + FENCE * (q75 - q25) of the language
@@ -36,12 +37,35 @@ def grams(raw: bytes, order: int = ORDER) -> np.ndarray:
     return out
 
 
-def _distinct(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    joined = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-    arrays.clear()
-    joined.sort()
-    first = np.flatnonzero(np.concatenate([[True], joined[1:] != joined[:-1]])) if len(joined) else np.zeros(0, np.int64)
-    return joined[first], np.diff(np.append(first, len(joined)))
+def pieces(raw: bytes, order: int = ORDER) -> Iterator[np.ndarray]:
+    """The n-grams of a text, at most PIECE at a time."""
+    padded = b"\0" * (order - 1) + raw
+    for i in range(0, len(raw), PIECE):
+        yield grams(padded[i:i + PIECE + order - 1], order)[order - 1:]
+
+
+def _distinct(raws: Iterable[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts in order and their counts; besides them
+    holds the n-grams of about two pieces."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        both = np.union1d(keys, new)
+        total = np.zeros(len(both), np.int64)
+        total[np.searchsorted(both, keys)] += counts
+        total[np.searchsorted(both, new)] += n
+        return both, total
+
+    size = 0
+    for part in (p for raw in raws for p in pieces(raw, order)):
+        held.append(part)
+        size += len(part)
+        if size >= PIECE:
+            (keys, counts), size = fold(), 0
+    return fold() if held else (keys, counts)
 
 
 def packs(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -54,8 +78,8 @@ def packs(docs: DataFrame, order: int = ORDER) -> DataFrame:
         number, size, rows = TaskContext.get().partitionId() << 32, 0, []
 
         def seal() -> pa.RecordBatch:
-            every, _ = _distinct([grams(r[4], order) for r in rows])
-            mine, n = _distinct([grams(r[4], order) for r in rows if r[3] == 1])
+            mine, n = _distinct((r[4] for r in rows if r[3] == 1), order)
+            every = np.union1d(mine, _distinct((r[4] for r in rows if r[3] != 1), order)[0])
             counts = np.zeros(len(every), np.int64)
             counts[np.searchsorted(every, mine)] = n
             ids, keys, langs, roles, raws = zip(*rows)
@@ -153,7 +177,8 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
             for size in r["sizes"]:
                 text = raw[at:at + size]
                 at += size
-                cols["bits"].append(-float(bits[np.searchsorted(keys, grams(text, order))].mean()) if size else None)
+                total = sum(float(bits[np.searchsorted(keys, part)].sum()) for part in pieces(text, order))
+                cols["bits"].append(-total / size if size else None)
             for name, part in (("doc_id", "ids"), ("text_key", "keys"), ("lang", "langs"), ("role", "roles"), ("n_bytes", "sizes")):
                 cols[name].extend(r[part])
         return pa.table([pa.array(cols[f.name], type=f.type) for f in schema], schema=schema)

@@ -17,9 +17,18 @@ from tidemark.session import ensure_checkpoint_dir, ship_package
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of an Arrow batch that goes to a worker, where the session names none:
+#: rows are whole texts, and Spark's own 64 MB is held several times over.
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> str:
-    """Ship the package to the workers; return the shared folder."""
+    """Ship the package to the workers, bound their batches; return the
+    shared folder."""
     ship_package(spark)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if limit not in spark.conf.getAll:
+        spark.conf.set(limit, str(BATCH_BYTES))
     return ensure_checkpoint_dir(spark).rstrip("/")
 
 

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_WORDS = 800_000  # a worker's cache is emptied beyond this
+CACHE_WORDS = 400_000  # a worker's cache is emptied beyond this
 JOIN_WORDS = 4_000  # new words encoded in one call
 LONG_WORD = 64  # characters; longer words are encoded but not cached
 #: A word of letters below LATIN and at most one of TAILS is two pieces to

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import SF_MID, SF_SMALL
@@ -21,6 +22,7 @@ from tidemark.llm import (components, decontaminate, html_text, kneser_ney, line
 from tidemark.llm.catalog import QUERIES, SQL
 from tidemark.llm.common import new_dir, table
 
+SF_LABELS = "/root/testdata/sf0.1"  # enough labelled rows of each kind
 LONG = " ".join(f"word{i % 911} of{i % 97}" for i in range(15_000))
 PLAIN = "the quick brown fox jumps over the lazy dog while seven other animals look on and say nothing at all " * 3
 ODD = [
@@ -340,6 +342,16 @@ def test_classifier_on_labels(spark):
     assert len(got) == 1000 and np.mean(by[1]) > 0.97 and np.mean(by[0]) < 0.35
 
 
+def test_classifier_drops_toxic_prose(spark):
+    """Clean texts count only where the model was not trained on them."""
+    labels = table(spark, SF_LABELS, "labels")
+    scored = kneser_ney.classify(spark, table(spark, SF_LABELS, "documents"), labels).join(labels, "doc_id")
+    held_out = F.pmod("text_key", F.lit(kneser_ney.HELD_OUT)) == 0
+    got = scored.where(held_out | ~F.expr("quality = 1 and toxic = 0")).groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {(r.quality, r.toxic): r.kept for r in got.collect()}
+    assert kept[1, 0] > 0.95 and kept[1, 1] < 0.5 and kept[0, 0] < 0.06 and kept[0, 1] < 0.06
+
+
 def test_classifier_odd_rows(spark, odd, none, labels):
     got = kneser_ney.classify(spark, odd, labels).collect()
     assert len(got) == len(ODD)

@@ -19,7 +19,7 @@ ORDER = 4  # bytes; up to 7 fit a long
 PIECE = 1 << 20  # n-grams that are sorted or looked up at a time
 PACK_BYTES = 16 << 20  # text of the documents that ask for probabilities together
 HELD_OUT = 10  # one trusted text in so many calibrates the thresholds
-FENCE = 5.0  # reject above q75 + FENCE * (q75 - q25) of the language
+KEEP = 0.97  # reject above this quantile of the language's held-out scores
 PRIOR_BYTES = 100.0  # bytes at the language's median that are added to a text's own
 GRID = 1000  # quantiles are taken of bits rounded to 1 / GRID
 PACKS = ("pack long,ids array<long>,keys array<long>,langs array<string>,roles array<long>,"
@@ -196,15 +196,15 @@ def _quantiles(scored: DataFrame, value: Column, *at: float) -> DataFrame:
         (F.transform(F.percentile("at", F.array(*map(F.lit, at)), F.col("n")), lambda x: x / GRID)).alias("q"))
 
 
-def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = ORDER, fence: float = FENCE) -> DataFrame:
+def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = ORDER, keep: float = KEEP) -> DataFrame:
     """doc_id, text_key, lang, n_bytes, bits, perplexity, score, threshold,
     kept.
 
     bits is the mean over a text's bytes; score is that mean with
     PRIOR_BYTES more bytes at the language's median, so that a few words
     alone don't decide. A document is rejected if its score exceeds its
-    language's threshold, q75 + ``fence`` * (q75 - q25) over the scores of
-    the held-out trusted texts of that language. Null and empty texts have
+    language's threshold, the quantile ``keep`` of the scores of the
+    held-out trusted texts of that language. Null and empty texts have
     no perplexity and are rejected; a language (null is one) without
     held-out trusted texts has no threshold and its texts are kept; rows
     with null or repeated ids are judged one by one; other columns are
@@ -214,9 +214,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int
     score = (F.col("bits") * F.col("n_bytes") + PRIOR_BYTES * F.col("centre")) / (F.col("n_bytes") + PRIOR_BYTES)
     scored = written(spark, scored.join(centre, scored["lang"].eqNullSafe(centre["_lang"]), "left")
                      .withColumn("score", score).drop("_lang", "centre"), "scored")
-    q = _quantiles(scored, F.col("score"), 0.25, 0.75)
-    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1 / GRID))
-    limits = q.select("_lang", (F.col("q")[1] + fence * spread).alias("threshold"))
+    limits = _quantiles(scored, F.col("score"), keep).select("_lang", F.col("q")[0].alias("threshold"))
     passed = F.col("threshold").isNull() | (F.col("score") <= F.col("threshold"))
     return scored.join(limits, scored["lang"].eqNullSafe(limits["_lang"]), "left").select(
         "doc_id", "text_key", "lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "score", "threshold",

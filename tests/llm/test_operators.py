@@ -203,6 +203,13 @@ def test_quality_rules_keep_good_and_drop_junk(spark):
     assert np.mean(by[1]) > 0.99 and np.mean(by[0]) < 0.05
 
 
+def test_quality_rules_drop_toxic_prose(spark):
+    docs, labels = table(spark, SF_LABELS, "documents"), table(spark, SF_LABELS, "labels")
+    got = quality_rules.judge(spark, docs, labels).where("not base_failed").join(labels, "doc_id")
+    kept = {(r.quality, r.toxic): r.kept for r in got.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1, 0] > 0.99 and kept[1, 1] < 0.45 and kept[0, 0] < 0.01 and kept[0, 1] < 0.01
+
+
 def test_repeated_words_of_huge_vocabularies(monkeypatch):
     words = [b"a", b"b", b"c", b"d", b"a", b"b", b"c", b"e"]
     assert quality_rules.repeated_words(words) == 6

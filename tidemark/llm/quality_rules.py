@@ -14,7 +14,10 @@ from tidemark.llm.common import keyed, pa_schema, prepare, small, table, written
 
 ORDER, BITS = 4, 18  # bytes of an n-gram; 2^BITS buckets, whatever the corpus
 ALPHA = 0.5  # added to every bucket
-MIN_RATIO = -0.5  # nats for each n-gram; documents below are dropped
+MIN_RATIO = -0.5  # nats for each n-gram; documents below are dropped in any case
+LOW = 0.01  # and those below this quantile of trusted documents left out of the target counts
+MIN_TRUSTED = 100  # if there are so many
+GRID = 10_000  # that quantile is taken of ratios rounded to 1 / GRID
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -63,19 +66,48 @@ def count_buckets(docs: DataFrame) -> DataFrame:
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray | None:
-    """log p_target - log p_raw of each bucket; None without trusted text.
-    At most 2^BITS rows come to the driver."""
+def collected(counts: DataFrame) -> np.ndarray | None:
+    """Raw and target count of each bucket; None without trusted text. At
+    most 2^BITS rows come to the driver."""
     got = counts.toArrow()
     n = np.zeros((2, 1 << BITS))
     at = got["bucket"].to_numpy()
     n[0, at], n[1, at] = got["raw"].to_numpy(), got["target"].to_numpy()
-    if not n[1].any():
-        return None
+    return n if n[1].any() else None
+
+
+def log_ratios(n: np.ndarray) -> np.ndarray:
+    """log p_target - log p_raw of each bucket."""
     p = np.log(n + ALPHA) - np.log(n.sum(axis=1, keepdims=True) + ALPHA * (1 << BITS))
     return (p[1] - p[0]).astype(np.float32)
 
 
+def left_out_ratio(n: np.ndarray, totals: np.ndarray, at: np.ndarray) -> float:
+    """The ratio a trusted text with the buckets ``at`` would have if the
+    target counts did not hold it, as they don't hold other texts."""
+    found, times = np.unique(at, return_counts=True)
+    target = np.log(n[1, found] - times + ALPHA) - np.log(totals[1] - len(at) + ALPHA * (1 << BITS))
+    raw = np.log(n[0, found] + ALPHA) - np.log(totals[0] + ALPHA * (1 << BITS))
+    return float(times @ (target - raw)) / len(at)
+
+
+def lowest_ratio(trusted: DataFrame, n: np.ndarray, low: float = LOW) -> float | None:
+    """The quantile ``low`` of the left-out ratios of the trusted texts
+    (column raw) that pass the base rules, exact on a grid of 1 / GRID; None
+    for fewer than MIN_TRUSTED of them."""
+    totals = n.sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws = [r for r in (x.as_py() for x in b.column(0)) if not base_failed(*features(r))]
+            yield pa.RecordBatch.from_arrays([pa.array([left_out_ratio(n, totals, buckets(r)) for r in raws], pa.float64())], ["ratio"])
+
+    grid = (trusted.select("raw").mapInArrow(run, "ratio double").groupBy(F.round(F.col("ratio") * GRID).alias("at"))
+            .agg(F.count("*").alias("n")))
+    got = grid.agg(F.sum("n").alias("n"), F.percentile("at", F.lit(low), F.col("n")).alias("q")).first()
+    return got.q / GRID if (got.n or 0) >= MIN_TRUSTED else None
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words in those 3-word windows that the text holds twice or more."""
     if len(words) < 4:
@@ -108,20 +140,28 @@ def features(raw: bytes) -> tuple[int, int, int, int, int]:
             len(lines) - len(set(lines)), repeated_words(words))
 
 
+def base_failed(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat_words: int) -> bool:
+    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
+
+
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, log_ratio for every row of ``docs`` (doc_id, text).
 
     log_ratio is the mean over a text's n-grams (zero if it has none); kept
-    needs the base rules passed and log_ratio >= ``min_ratio``. The target
-    counts come from all trusted documents, the raw counts from all
-    documents. Null and empty texts have no words and fail the base rules;
+    needs the base rules passed and log_ratio >= ``min_ratio``, and with
+    MIN_TRUSTED trusted documents or more also log_ratio >= ``lowest_ratio``.
+    The target counts come from all trusted documents, the raw counts from
+    all documents. Null and empty texts have no words and fail the base rules;
     without any trusted document log_ratio is null and the base rules alone
     decide; ids that are null or repeated are judged row by row; other
     columns are ignored; an empty table gives no rows."""
     prepare(spark)
     flagged = keyed(docs).join(trusted_ids(spark, labels), "doc_id", "left")
-    ratios = log_ratios(count_buckets(flagged))
+    n_buckets = collected(count_buckets(flagged))
+    ratios = None if n_buckets is None else log_ratios(n_buckets)
+    if n_buckets is not None and (lowest := lowest_ratio(flagged.where("trusted"), n_buckets)) is not None:
+        min_ratio = max(min_ratio, lowest)
     out = ("doc_id long,n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long,"
            "base_failed boolean,kept boolean,log_ratio double")
     schema = pa_schema(out)
@@ -132,7 +172,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, min_ratio: fl
             for raw in b.column(1):
                 raw = raw.as_py()
                 n, chars, symbols, dup, again = features(raw)
-                failed = n < 50 or 100 * again > 50 * n
+                failed = base_failed(n, chars, symbols, dup, again)
                 at = buckets(raw)
                 score = None if ratios is None else float(ratios[at].mean(dtype=np.float64)) if len(at) else 0.0
                 rows.append((n, chars, symbols, dup, again, failed, not failed and (score is None or score >= min_ratio), score))

@@ -359,6 +359,16 @@ def test_classifier_drops_toxic_prose(spark):
     assert kept[1, 0] > 0.95 and kept[1, 1] < 0.5 and kept[0, 0] < 0.06 and kept[0, 1] < 0.06
 
 
+def test_model_grows_with_its_text(spark):
+    """Ten times the trusted text holds clearly more distinct n-grams."""
+    sizes = []
+    for sf in (SF_MID, SF_LABELS):
+        good = table(spark, sf, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+        raws = [r.text.encode() for r in table(spark, sf, "documents").join(good, "doc_id", "left_semi").select("text").collect()]
+        sizes.append(len(kneser_ney._distinct(raws, kneser_ney.ORDER)[0]))
+    assert sizes[1] > 1.7 * sizes[0], sizes
+
+
 def test_classifier_odd_rows(spark, odd, none, labels):
     got = kneser_ney.classify(spark, odd, labels).collect()
     assert len(got) == len(ODD)

@@ -369,6 +369,14 @@ def test_model_grows_with_its_text(spark):
     assert sizes[1] > 1.7 * sizes[0], sizes
 
 
+def test_small_languages_have_a_threshold(spark):
+    """Junk in a language without trusted texts is rejected."""
+    docs = table(spark, SF_MID, "documents").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(-1, "zq#%x0 }{|qj~ " * 60, "xx"), (-2, PLAIN, "xx")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in kneser_ney.classify(spark, docs.union(junk), table(spark, SF_MID, "labels")).collect()}
+    assert not got[-1].kept and got[-1].threshold is not None and got[-1].threshold == got[-2].threshold
+
+
 def test_classifier_odd_rows(spark, odd, none, labels):
     got = kneser_ney.classify(spark, odd, labels).collect()
     assert len(got) == len(ODD)

@@ -19,6 +19,7 @@ ORDER = 5  # bytes; up to 7 fit a long
 PIECE = 1 << 20  # n-grams that are sorted or looked up at a time
 PACK_BYTES = 16 << 20  # text of the documents that ask for probabilities together
 HELD_OUT = 10  # one trusted text in so many calibrates the thresholds
+MIN_HELD_OUT = 20  # a language with fewer held-out texts has the quantiles over all languages
 KEEP = 0.97  # reject above this quantile of the language's held-out scores
 PRIOR_BYTES = 100.0  # bytes at the language's median that are added to a text's own
 GRID = 1000  # quantiles are taken of bits rounded to 1 / GRID
@@ -187,13 +188,16 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
     return texts.groupBy("pack").cogroup(answers.groupBy("pack_id")).applyInArrow(score, out)
 
 
-def _quantiles(scored: DataFrame, value: Column, *at: float) -> DataFrame:
-    """(_lang, q): quantiles of the held-out trusted texts of each language,
-    exact on a grid of 1 / GRID."""
+def _with_quantile(scored: DataFrame, value: Column, at: float, name: str) -> DataFrame:
+    """``scored`` and a column ``name``: the quantile ``at`` of the held-out
+    trusted texts of a row's language, exact on a grid of 1 / GRID; of those
+    of all languages where it has fewer than MIN_HELD_OUT."""
     grid = (scored.where("role = 2 and bits is not null").groupBy("lang", F.round(value * GRID).alias("at"))
             .agg(F.count("*").alias("n")))
-    return grid.groupBy(F.col("lang").alias("_lang")).agg(
-        (F.transform(F.percentile("at", F.array(*map(F.lit, at)), F.col("n")), lambda x: x / GRID)).alias("q"))
+    q = F.percentile("at", F.lit(at), F.col("n")) / GRID
+    own = grid.groupBy(F.col("lang").alias("_lang")).agg(q.alias("_own"), F.sum("n").alias("_n")).where(F.col("_n") >= MIN_HELD_OUT)
+    joined = scored.join(own, scored["lang"].eqNullSafe(own["_lang"]), "left").crossJoin(F.broadcast(grid.agg(q.alias("_all"))))
+    return joined.withColumn(name, F.coalesce("_own", "_all")).drop("_lang", "_own", "_n", "_all")
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = ORDER, keep: float = KEEP) -> DataFrame:
@@ -205,18 +209,16 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int
     alone don't decide. A document is rejected if its score exceeds its
     language's threshold, the quantile ``keep`` of the scores of the
     held-out trusted texts of that language. Null and empty texts have
-    no perplexity and are rejected; a language (null is one) without
-    held-out trusted texts has no threshold and its texts are kept; rows
+    no perplexity and are rejected; a language (null is one) with fewer than
+    MIN_HELD_OUT held-out trusted texts has the median and threshold over
+    those of all languages, and only without any are all texts kept; rows
     with null or repeated ids are judged one by one; other columns are
     ignored; an empty table gives no rows."""
     scored = written(spark, perplexities(spark, docs, labels, order), "scored")
-    centre = _quantiles(scored, F.col("bits"), 0.5).select("_lang", F.col("q")[0].alias("centre"))
     score = (F.col("bits") * F.col("n_bytes") + PRIOR_BYTES * F.col("centre")) / (F.col("n_bytes") + PRIOR_BYTES)
-    scored = written(spark, scored.join(centre, scored["lang"].eqNullSafe(centre["_lang"]), "left")
-                     .withColumn("score", score).drop("_lang", "centre"), "scored")
-    limits = _quantiles(scored, F.col("score"), keep).select("_lang", F.col("q")[0].alias("threshold"))
+    scored = written(spark, _with_quantile(scored, F.col("bits"), 0.5, "centre").withColumn("score", score).drop("centre"), "scored")
     passed = F.col("threshold").isNull() | (F.col("score") <= F.col("threshold"))
-    return scored.join(limits, scored["lang"].eqNullSafe(limits["_lang"]), "left").select(
+    return _with_quantile(scored, F.col("score"), keep, "threshold").select(
         "doc_id", "text_key", "lang", "n_bytes", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "score", "threshold",
         (F.col("bits").isNotNull() & passed).alias("kept"))
 

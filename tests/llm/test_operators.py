@@ -513,6 +513,19 @@ def test_main_text():
             assert html_text.main_text(html) == text, html
 
 
+def test_articles_are_no_filter():
+    other = PARAGRAPH.replace("Long", "Other")
+    for html, text in [
+        (f"<div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><article><p>Teaser</p></article>", f"{PARAGRAPH} {PARAGRAPH}"),
+        (f"<aside><article><p>{other}</p></article></aside><div><p>{PARAGRAPH}</p></div>", PARAGRAPH),
+        (f"<ul class=comments><article>{other}</article></ul><p>{PARAGRAPH}</p>", PARAGRAPH),
+        (f"<nav><ul><li>x<article><p>{PARAGRAPH}</p></article>", PARAGRAPH),
+        (f"<div><nav><ul><li>x</div><p>{PARAGRAPH}</p>", PARAGRAPH),
+        (f"<body><form><div><p>{PARAGRAPH}</p></div></form></body>", PARAGRAPH),
+    ]:
+        assert html_text.main_text(html) == text, html
+
+
 def test_extraction_of_the_given_pages(spark):
     got = html_text.extract(spark, table(spark, SF_SMALL, "pages")).collect()
     html = {r.page_id: r.html for r in table(spark, SF_SMALL, "pages").collect()}

@@ -37,8 +37,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:
 SPACE = re.compile(r"\s+")
 
 
-def _is_chrome(name: str, attributes: str) -> bool:
-    if name in CHROME:
+def _is_chrome(name: str, attributes: str, chrome: frozenset[str] = CHROME) -> bool:
+    if name in chrome:
         return True
     if name in ("html", "body", "article", "main") or not attributes:
         return False
@@ -51,17 +51,35 @@ def _is_chrome(name: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(html: str, names: bool = True) -> tuple[list[str], list[int], bool]:
-    """A page without its markup: a line for each block element's text, with
-    the characters that count for it, and whether it has an article or main
-    element. Then only its lines remain; else lines of links count nothing.
-    A removed element leaves GAP empty lines. names: whether elements are
-    removed for their attributes too."""
+def _closes(html: str, at: int, name: str) -> bool:
+    """Whether the element ``name`` that is open at ``at`` has its end tag."""
+    depth = 1
+    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", html[at:], re.I):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return True
+    return False
+
+
+def lines_of(html: str, names: bool = True, chrome: frozenset[str] = CHROME) -> tuple[list[str], list[int], list[int]]:
+    """A page without its markup: a line for each block element's text, the
+    characters that count for it (none for lines of links outside articles),
+    and the number of the outermost article or main element it is in, or 0.
+    A removed element and the ends of an article leave GAP empty lines. A
+    removed element without end tag ends with its parent, or before an
+    article. names: whether elements are removed for their attributes too."""
     lines, sizes, text = [], [], []
     linked = plain = 0
     skip: list[str] = []  # open elements from the removed one on
-    anchors = main = 0
-    inside: list[bool] = []
+    parents: list[str] = []  # open elements around it
+    closes: bool | None = None  # whether the removed element has its end tag
+    anchors = main = articles = 0
+    inside: list[int] = []
+
+    def gap() -> None:
+        lines.extend([""] * GAP)
+        sizes.extend([0] * GAP)
+        inside.extend([0] * GAP)
 
     def flush() -> None:
         nonlocal linked, plain
@@ -69,8 +87,8 @@ def lines_of(html: str, names: bool = True) -> tuple[list[str], list[int], bool]
         text.clear()
         if line:
             lines.append(line)
-            sizes.append(len(line) if plain or not linked else 0)
-            inside.append(main > 0)
+            sizes.append(len(line) if plain or not linked or main else 0)
+            inside.append(articles if main else 0)
         linked = plain = 0
 
     def words(part: str) -> None:
@@ -95,34 +113,48 @@ def lines_of(html: str, names: bool = True) -> tuple[list[str], list[int], bool]
                 if name in skip:
                     while skip.pop() != name:
                         pass
-            elif name in ("article", "main", "body") and len(skip) == 1 and skip[0] not in ("div", "section"):
+                    continue
+                if name not in parents:
+                    continue
+                skip.clear()  # its parent ends
+            elif name in ("article", "main", "body"):
+                if closes is None:
+                    closes = _closes(html, m.end(), skip[0])
+                if closes:
+                    skip.append(name)
+                    continue
                 skip.clear()  # the removed element's end is missing
-                main += name != "body"
-            elif name not in VOID and not m["attributes"].endswith("/"):
-                skip.append(name)
-            continue
-        if not m["end"] and name not in VOID and _is_chrome(name, m["attributes"] if names else ""):
+            else:
+                if name not in VOID and not m["attributes"].endswith("/"):
+                    skip.append(name)
+                continue
+        if not m["end"] and name not in VOID and _is_chrome(name, m["attributes"] if names else "", chrome):
             flush()
-            lines.extend([""] * GAP)
-            sizes.extend([0] * GAP)
-            inside.extend([False] * GAP)
+            gap()
             if not m["attributes"].endswith("/"):
                 skip.append(name)
+                closes = None
             continue
         if name == "a":
             anchors = max(0, anchors - 1) if m["end"] else anchors + 1
         if name not in INLINE:
             flush()
             anchors = 0
+            if m["end"]:
+                if name in parents:
+                    while parents.pop() != name:
+                        pass
+            elif name not in VOID and name != "p":
+                parents.append(name)
         if name in ("article", "main"):
-            main = max(0, main - 1) if m["end"] else main + 1
+            before, main = main, max(0, main - 1) if m["end"] else main + 1
+            if not before or not main:
+                gap()
+                articles += not before
     if not skip:
         words(html[at:])
     flush()
-    if any(i and line for i, line in zip(inside, lines)):
-        lines = [line if i else "" for i, line in zip(inside, lines)]
-        return lines, [len(line) for line in lines], True
-    return lines, sizes, False
+    return lines, sizes, inside
 
 
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -132,12 +164,16 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     The block at a line is the sum of the sizes of the ``window`` lines from
     it on. A text starts where blocks rise from zero, ends where they fall
     back to zero, and is kept if its largest block reaches ``surge`` or it
-    is part of an article element; of a page without such a text, the one
-    with the most characters is kept. A page that is empty without the
-    elements removed for their attributes is read with them."""
-    for names in (True, False):
-        lines, sizes, article = lines_of(html, names)
-        if any(sizes):
+    is part of an article element with such a text; of a page without any,
+    all parts of its articles are kept, or the text with the most
+    characters. A page that is empty without the elements removed for their
+    attributes is read with them, and then with its forms."""
+    for chrome in (CHROME, CHROME - {"form"}):
+        for names in (True, False):
+            lines, sizes, inside = lines_of(html, names, chrome)
+            if any(sizes):
+                break
+        if any(sizes) or "<form" not in html.lower():
             break
     found, start = [], None
     blocks = [sum(sizes[i:i + window]) for i in range(len(sizes))]
@@ -147,9 +183,11 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
         if start is not None and not block:
             found.append((start, i))
             start = None
-    texts = [(max(blocks[a:z]), sum(sizes[a:z]), a, z) for a, z in found]
-    kept = [x for x in texts if article or x[0] >= surge] or [max(texts, key=lambda x: x[1])] if texts else []
-    return " ".join(line for _, _, a, z in kept for line in lines[a:z] if line)
+    texts = [(max(blocks[a:z]), sum(sizes[a:z]), inside[a], a, z) for a, z in found]
+    large = {x[2] for x in texts if x[0] >= surge}
+    articles = large - {0} if large else {x[2] for x in texts} - {0}
+    kept = [x for x in texts if x[0] >= surge or x[2] in articles] or [max(texts, key=lambda x: x[1])] if texts else []
+    return " ".join(line for *_, a, z in kept for line in lines[a:z] if line)
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:

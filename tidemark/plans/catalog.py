@@ -11,7 +11,7 @@ engines show the same digits.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -703,10 +703,7 @@ def q_forecast_rolling_cv(spark, sf_dir):
 
 
 # ------------------------- what SQL can check of the model operators:
-# components add up, keys, actuals, band arithmetic. None of it depends on how
-# well a model fits, so these fit few rounds.
-
-FEW = replace(CFG, gbt_iter=5, rf_trees=5)
+# components add up, keys, actuals, band arithmetic, of the production fit.
 
 
 @register("stl_components_sum", "M1 (trend + seasonal + residual = sales)", "WITH " + S.monthly_cte("region") + f"""
@@ -720,7 +717,7 @@ def q_stl_components_sum(spark, sf_dir):
 @register("forecast_backtest_actuals", "F3 F8 (months and actuals of the fitted backtest)", S.chain("region", "naive") + f"""
 SELECT series_key, strftime(period, '%Y-%m') AS period, {M('actual')} AS actual, TRUE AS has_prediction FROM pr WHERE is_test""")
 def q_forecast_backtest_actuals(spark, sf_dir):
-    pred = _fc.backtest(_model_frames(spark, sf_dir)[2], FEW)[0]
+    pred = _fc.backtest(_model_frames(spark, sf_dir)[2], CFG)[0]
     return evaluation.backtest_rows(pred).select(
         "series_key", F.col("period_label").alias("period"), "actual", F.col("predicted").isNotNull().alias("has_prediction"))
 
@@ -730,10 +727,10 @@ SELECT series_key, strftime(max(period) + to_months(CAST(s AS INTEGER)), '%Y-%m'
        TRUE AS band_holds FROM fe, range(1, {CFG.horizon + 1}) r(s) GROUP BY series_key, s""")
 def q_forecast_steps(spark, sf_dir):
     m, mf, bt = _model_frames(spark, sf_dir)
-    metrics = _fc.backtest(bt, FEW)[1]
-    fc = _fc.recursive_forecast(mf, _fc.fit_models(mf, FEW), metrics, FEW, m)
+    metrics = _fc.backtest(bt, CFG)[1]
+    fc = _fc.recursive_forecast(mf, _fc.fit_models(mf, CFG), metrics, CFG, m)
     # shown values: cents on both, so the width is known to a few cents
-    width = F.col("rmse") * F.lit(FEW.z_band) * F.sqrt(F.col("step").cast("double"))
+    width = F.col("rmse") * F.lit(CFG.z_band) * F.sqrt(F.col("step").cast("double"))
     lower = F.greatest(F.col("forecast") - width, F.lit(0.0))
     holds = (F.abs(F.col("upper_90") - F.col("forecast") - width) < 0.05) & (F.abs(F.col("lower_90") - lower) < 0.05)
     return fc.join(metrics.select("series_key", "rmse"), "series_key").select(
@@ -744,4 +741,4 @@ def q_forecast_steps(spark, sf_dir):
 SELECT series_key, CAST(k AS INTEGER) AS fold, COUNT(*) AS n_test FROM sp, range(1, 4) r(k)
 WHERE rd > (k - 1) * {CFG.holdout} AND rd <= k * {CFG.holdout} GROUP BY series_key, k""")
 def q_forecast_cv_folds(spark, sf_dir):
-    return _fc.rolling_origin_cv(_model_frames(spark, sf_dir)[1], FEW, folds=3).select("series_key", "fold", "n_test")
+    return _fc.rolling_origin_cv(_model_frames(spark, sf_dir)[1], CFG, folds=3).select("series_key", "fold", "n_test")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import (decontaminate, html_text, kneser_ney, line_dedup, packing, quality_rules, simhash, token_files,
-                          url_rules, warc)
+from tidemark.llm import (decontaminate, html_text, kneser_ney, lexical_search, line_dedup, packing, prefix_trie,
+                          quality_rules, simhash, superminhash, token_files, url_rules, warc)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,5 +16,9 @@ QUERIES = {
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_warc": warc.op9_warc,
     "op10_token_files": token_files.op10_token_files,
+    "op11_superminhash": superminhash.op11_superminhash,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
-SQL = {"op7_line_dedup": line_dedup.SQL, "op8_url_rules": url_rules.SQL, "op9_warc": warc.SQL}
+SQL = {"op7_line_dedup": line_dedup.SQL, "op8_url_rules": url_rules.SQL, "op9_warc": warc.SQL,
+       "op12_prefix_trie": prefix_trie.SQL, "op13_lexical_search": lexical_search.SQL}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import LAGS, MODEL_FEATURES, PipelineConfig
 from tidemark.functions.money import money_times_sql
-from tidemark.functions.numeric import money, rnd
+from tidemark.functions.numeric import exact_total, money, rnd
 from tidemark.functions.numeric import money_sql as M
 from tidemark.functions.numeric import rnd_sql as R
 from tidemark.functions.numeric import total_sql as T
@@ -505,6 +505,41 @@ def q_store_roundtrip(spark, sf_dir):
     return back[0].unionByName(back[1])
 
 
+@register("store_commit", "S6 S7 E1 (a rerun that fails half-way leaves the committed run)", f"""
+WITH m AS (SELECT region, strftime(order_date, '%Y-%m') AS period, {T('sales')} AS s
+           FROM {fact(['order_date', 'sales', 'region'])} f GROUP BY 1, 2),
+r(run_id, first, last) AS (VALUES ('kept', '01', '12'), ('replaced', '01', '06')),
+d AS (SELECT run_id, 'trend' AS document, period AS item, {M('SUM(s)')} AS sales FROM m, r
+      WHERE right(period, 2) BETWEEN first AND last GROUP BY run_id, period
+      UNION ALL SELECT run_id, 'regions', region, {M('SUM(s)')} FROM m, r
+      WHERE right(period, 2) BETWEEN first AND last GROUP BY run_id, region)
+SELECT run_id, document, item, sales FROM d""")
+def q_store_commit(spark, sf_dir):
+    """Two runs are committed whole; then one is replaced on half of the
+    months, and the other fails after its first document on the same half."""
+    txn = sales_fact(spark, sf_dir, ["order_date", "sales", "region"])
+    cells = written(txn.groupBy("region", F.date_format("order_date", "yyyy-MM").alias("period")).agg(exact_total("sales").alias("s")), "cells")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+
+    def documents(rows: DataFrame) -> dict:
+        return {d: rows.groupBy(F.col(c).alias("item")).agg(money(F.sum("s").cast("double")).alias("sales"))
+                for d, c in (("trend", "period"), ("regions", "region"))}
+
+    half = cells.where(F.substring("period", 6, 2) <= "06")
+    for run, rows in (("kept", cells), ("replaced", cells), ("replaced", half)):
+        store.save_run_results(run, documents(rows), base)
+    broken = documents(half)
+    broken["regions"] = broken["regions"].withColumn("sales", F.when(F.col("sales").isNotNull(), F.raise_error(F.lit("no"))).cast("double"))
+    try:
+        store.save_run_results("kept", broken, base)
+    except Exception as e:
+        store.save_failure(spark, "kept", type(e).__name__, base)
+    else:
+        raise AssertionError("the save was to fail")
+    back = [store.committed(spark, base, d).select("run_id", F.lit(d).alias("document"), "item", "sales") for d in broken]
+    return back[0].unionByName(back[1])
+
+
 # ------------------------------------------------------- ledger & messages
 
 @register("chat_history_first5", "S12", """
@@ -560,6 +595,26 @@ def q_ledger_store_current(spark, sf_dir):
     return store.current_runs(spark, base).drop("file_name")
 
 
+@register("ledger_compacted", "S8 S9 S10 (log folded while it grows)", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, CASE event_type WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'COMPLETED'
+           ELSE 'FAILED' END AS status, date_trunc('minute', ts) AS ts FROM events)
+SELECT run_id, arg_max(status, (ts, status <> 'RUNNING', status)) AS status, max(ts) AS ts, min(ts) AS first_ts FROM e GROUP BY run_id""")
+def q_ledger_compacted(spark, sf_dir):
+    """Every event is a status event of its user's run, times cut to minutes
+    so that some tie; appended in ten parts under a tail of four files."""
+    ev = read_table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), F.lit(None).cast("string").alias("file_name"),
+        F.when(F.col("event_type") == "click", ledger.RUNNING).when(F.col("event_type") == "view", ledger.COMPLETED)
+        .otherwise(ledger.FAILED).alias("status"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    for part in range(10):
+        store.append_log(ev.where(F.pmod("event_id", F.lit(10)) == part), base, tail_files=4)
+    log = store.status_log(base, 4)
+    if log.files(spark) > 4 + log.tail_files:  # bounded by the tail and the state, whatever was appended
+        raise AssertionError("the log was not folded")
+    return log.state(spark).drop("file_name")
+
+
 # ---------------------------------------------------------------- throttle
 
 def _throttle_query(capacity: float, rate: float):

@@ -1,7 +1,7 @@
 """One analysis run over one input, as the source's upload lifecycle:
-register RUNNING -> bind and clean -> whole analysis (E1) -> store every
-result document under the run id (S6) -> COMPLETED, or FAILED with the
-reason in the document ``failure``.
+register RUNNING -> bind and clean -> whole analysis (E1) -> store and commit
+all result documents under the run id (S6) -> COMPLETED, or FAILED with the
+reason. A rerun that fails leaves what the run had committed before.
 
     from tidemark.plans.job import run_csv_job
     run_csv_job(spark, "s3://bucket/landing/train.csv", "s3://bucket/results")
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.config import PipelineConfig
 from tidemark.operators import ledger
 from tidemark.plans.pipeline import run_pipeline
+from tidemark.session import ship_package
 from tidemark.sources import store
 from tidemark.sources.binding import canonical_frame, rejected_rows
 from tidemark.sources.csv_source import prepare, read_transactions_csv
@@ -29,6 +30,7 @@ def run_job(raw: DataFrame, base: str, run_id: str, file_name: str | None = None
             key: str | None = None, cfg: PipelineConfig = CFG, with_models: bool = True) -> str:
     """Runs the analysis on raw rows and stores it; returns the final status."""
     spark = raw.sparkSession
+    ship_package(spark)  # the session need not be one of get_spark
     store.append_status(spark, base, run_id, ledger.RUNNING, file_name)
     docs: dict[str, DataFrame] = {}
     try:
@@ -43,8 +45,7 @@ def run_job(raw: DataFrame, base: str, run_id: str, file_name: str | None = None
         status = ledger.COMPLETED
     except Exception as e:
         status = ledger.FAILED
-        reason = F.lit(f"{type(e).__name__}: {e}"[:2000]).alias("reason")
-        store.save_run_results(run_id, {"failure": spark.range(1).select(reason)}, base)
+        store.save_failure(spark, run_id, f"{type(e).__name__}: {e}"[:2000], base)
     finally:
         for name in ("rejected_rows", "monthly", "features"):  # what this run persisted
             if name in docs:
@@ -70,7 +71,15 @@ RESULT_DOCS = ("schema_columns", "schema_table", "eda_summary", "eda_monthly_tre
 
 
 def get_run(spark: SparkSession, base: str, run_id: str, names=RESULT_DOCS) -> dict | None:
-    """The stored documents of one run (None while absent)."""
+    """The stored documents of one run whose last outcome is COMPLETED;
+    of a FAILED one the document ``failure`` with its reason; None of a run
+    that is unknown or RUNNING. ``store.get_run_results`` gives what a run
+    had committed before it was started again."""
+    now = store.current_runs(spark, base).where(F.col("run_id") == run_id).first()
+    if now is None or now.status == ledger.RUNNING:
+        return None
+    if now.status == ledger.FAILED:
+        return {"failure": spark.createDataFrame([(store.failure(spark, base, run_id),)], "reason string")}
     return store.get_run_results(spark, base, run_id, names)
 
 

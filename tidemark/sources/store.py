@@ -1,12 +1,12 @@
 """Result store on parquet.
 
-* Results: one table per result document under ``base/<name>``,
-  partitioned by ``run_id``; saving a run overwrites only its own
-  partition (dynamic partition overwrite), which is the upsert of the
-  source's ``INSERT OR REPLACE`` keyed by run id (S6). Reading one run
-  prunes to its partition (S7).
-* Ledger: append-only status events under ``base/_ledger``; the current
-  state of a run is its latest event (S8-S10).
+* Results: every save of a run is an attempt with folders of its own,
+  ``base/<document>/run_id=<run>/attempt=<attempt>``. Its last step is one row
+  in the manifest, which names the attempt's documents and their schemas; a
+  run's results are those of the last attempt there (S6, S7). A save that
+  fails between documents has no row and is never read.
+* Ledger: status events in a compacted log under ``base/_ledger``; the
+  current state of a run is its latest event (S8-S10).
 * Messages: append-only under ``base/_messages`` (S11).
 * JSON edge: row-wise ``to_json`` / ``from_json``; NaN is nulled first
   since JSON has no NaN (S13).
@@ -14,72 +14,149 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import json
+import time
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from tidemark.operators import ledger
+from tidemark.sources.logs import CompactedLog, Folder, latest_by
+
+MANIFEST = ("run_id string,status string,number long,attempt string,committed_at timestamp,reason string,"
+            "documents map<string,string>")
+LEDGER = "run_id string,file_name string,status string,ts timestamp,first_ts timestamp"
+#: Documents' folders beside which the store keeps its own.
+OWN = ("_manifest", "_ledger", "_messages")
 
 
 def _path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
-def save_run_results(run_id: str, docs: dict, base: str) -> None:
-    """Write every result DataFrame of a run; replaces that run only,
-    also with a document that is now empty."""
+def _attempt_path(spark: SparkSession, base: str, name: str, run_id: str, attempt: str) -> str:
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
+    return f"{_path(base, name)}/run_id={escaped}/attempt={attempt}"
+
+
+def manifest(base: str) -> CompactedLog:
+    """The last row of each run and status."""
+    merge = latest_by(["run_id", "status"], ["number", "committed_at", "attempt"], MANIFEST)
+    return CompactedLog(_path(base, "_manifest"), MANIFEST, "run_id", merge)
+
+
+def _outcomes(spark: SparkSession, base: str, run_id: str) -> dict[str, Row]:
+    """The manifest's last row of a run for each status, at most one each."""
+    rows = manifest(base).state(spark).where(F.col("run_id") == run_id).collect()
+    return {r.status: r for r in sorted(rows, key=lambda r: r.number)}
+
+
+def _save(spark: SparkSession, base: str, run_id: str, status: str, docs: dict, reason: str | None = None) -> str:
+    """Write documents as a new attempt and commit it; then delete what it
+    takes the place of: earlier failures, and results if it has results."""
+    attempt = uuid.uuid4().hex
     for name, df in docs.items():
-        written = Observation()
-        (df.observe(written, F.count(F.lit(1)).alias("n")).withColumn("run_id", F.lit(run_id))
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("run_id").parquet(_path(base, name)))
-        if not written.get["n"]:  # no row, so the overwrite touched no partition
-            _drop_partition(df.sparkSession, _path(base, name), run_id)
-
-
-def _drop_partition(spark: SparkSession, path: str, run_id: str) -> None:
-    jvm = spark._jvm
-    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(run_id)
-    folder = jvm.org.apache.hadoop.fs.Path(path, f"run_id={name}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def get_run_results(spark: SparkSession, base: str, run_id: str, names,
-                    marker: str = "eda_summary") -> dict | None:
-    """The stored documents of one run (partition-pruned); None when the
-    run has no stored results (``marker`` holds one row per stored run). A
-    document that was empty when stored comes back as an empty frame."""
-    try:
-        present = spark.read.parquet(_path(base, marker)).where(F.col("run_id") == run_id).limit(1).count()
-    except AnalysisException:
-        return None
-    if not present:
+        if name in OWN:
+            raise ValueError(f"a document can't be called {name}")
+        df.write.parquet(_attempt_path(spark, base, name, run_id, attempt))
+    before = _outcomes(spark, base, run_id)
+    number = max((r.number for r in before.values()), default=0) + 1
+    schemas = {n: df.schema.json() for n, df in docs.items()}
+    row = (run_id, status, number, attempt, datetime.now(timezone.utc), reason, schemas)
+    manifest(base).append(spark.createDataFrame([row], MANIFEST).coalesce(1))
+    for old in before.values():
+        if old.status in (status, ledger.FAILED):
+            for name in old.documents:
+                Folder(spark, _attempt_path(spark, base, name, run_id, old.attempt)).delete()
+    return attempt
+
+
+def save_run_results(run_id: str, docs: dict, base: str) -> str:
+    """Write every result DataFrame of a run, then commit them together;
+    returns the attempt. What is stored of the run is replaced by the commit
+    as a whole, also with documents that are empty or no longer there."""
+    return _save(next(iter(docs.values())).sparkSession, base, run_id, ledger.COMPLETED, docs)
+
+
+def save_failure(spark: SparkSession, run_id: str, reason: str, base: str) -> None:
+    """The reason why a run has no results, also as its document ``failure``;
+    results committed before stay, a later commit takes the failure's place."""
+    _save(spark, base, run_id, ledger.FAILED, {"failure": spark.range(1).select(F.lit(reason).alias("reason"))}, reason)
+
+
+def failure(spark: SparkSession, base: str, run_id: str) -> str | None:
+    """The reason, if the run's last outcome is a failure."""
+    last = max(_outcomes(spark, base, run_id).values(), key=lambda r: r.number, default=None)
+    return last.reason if last and last.status == ledger.FAILED else None
+
+
+def get_run_results(spark: SparkSession, base: str, run_id: str, names=None, marker: str | None = None) -> dict | None:
+    """The documents of the run's last committed attempt (all, or those
+    of ``names`` that it has); None without one, or if it has no document
+    ``marker``. A document that was empty comes back empty with its columns."""
+    row = _outcomes(spark, base, run_id).get(ledger.COMPLETED)
+    if row is None or marker is not None and marker not in row.documents:
         return None
-    out = {}
-    for name in names:
-        try:
-            out[name] = spark.read.parquet(_path(base, name)).where(F.col("run_id") == run_id)
-        except AnalysisException:  # stored while empty: no data files
-            out[name] = spark.createDataFrame([], StructType([]))
-    return out
+    wanted = row.documents if names is None else [n for n in names if n in row.documents]
+    return {n: spark.read.schema(StructType.fromJson(json.loads(row.documents[n])))
+            .parquet(_attempt_path(spark, base, n, run_id, row.attempt)).withColumn("run_id", F.lit(run_id)) for n in wanted}
+
+
+def committed(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """One document of all runs, each from its last committed attempt. The
+    runs' folders are partitions, so that others' files are not read."""
+    last = manifest(base).state(spark).where(F.col("status") == ledger.COMPLETED)
+    last = last.where(F.map_contains_key("documents", name)).select("run_id", "attempt")
+    stored = spark.read.option("basePath", _path(base, name)).parquet(_path(base, name))
+    stored = stored.withColumn("run_id", F.col("run_id").cast("string")).withColumn("attempt", F.col("attempt").cast("string"))
+    return stored.join(last, ["run_id", "attempt"], "left_semi").drop("attempt")
+
+
+def vacuum(spark: SparkSession, base: str, older_than_s: float = 7 * 86400.0) -> int:
+    """Delete the folders of attempts that were never committed (their save
+    died) and have not changed for ``older_than_s``; returns how many."""
+    kept = {r.attempt for r in manifest(base).state(spark).select("attempt").toLocalIterator()}
+    limit, n = (time.time() - older_than_s) * 1000, 0
+    for name, document, is_folder, _ in Folder(spark, base).list():
+        if not is_folder or name in OWN:
+            continue
+        for _, run, is_run, _ in Folder(spark, document).list():
+            for attempt, _, _, changed in Folder(spark, run).list() if is_run else ():
+                if attempt.startswith("attempt=") and attempt.removeprefix("attempt=") not in kept and changed <= limit:
+                    Folder(spark, run).delete(attempt)
+                    n += 1
+    return n
+
+
+def status_log(base: str, tail_files: int = 64) -> CompactedLog:
+    """Current state of each run: its latest event (of events at one time an
+    outcome before RUNNING) and the time of its first."""
+    def merge(rows: DataFrame) -> DataFrame:
+        order = F.struct(F.col("ts"), F.col("status") != ledger.RUNNING, F.col("status"))
+        return rows.groupBy("run_id").agg(
+            F.max_by("file_name", order).alias("file_name"), F.max_by("status", order).alias("status"),
+            F.max("ts").alias("ts"), F.min("first_ts").alias("first_ts"))
+    return CompactedLog(_path(base, "_ledger"), LEDGER, "run_id", merge, tail_files)
 
 
 def append_status(spark: SparkSession, base: str, run_id: str, status: str,
                   file_name: str | None = None) -> None:
     """S8 (status RUNNING) / S9 (COMPLETED, FAILED): append a status event."""
-    append_log(ledger.status_event(spark, run_id, file_name, status), base)
+    append_log(ledger.status_event(spark, run_id, file_name, status).coalesce(1), base)
 
 
-def append_log(events: DataFrame, base: str) -> None:
-    """S8/S9 for many runs at once: append status events ``(run_id, file_name, status, ts)``."""
-    events.write.mode("append").parquet(_path(base, "_ledger"))
+def append_log(events: DataFrame, base: str, tail_files: int = 64) -> None:
+    """S8/S9 for many runs at once: append status events ``(run_id,
+    file_name, status, ts)``, and fold the log once its tail is long."""
+    status_log(base, tail_files).append(events.select("run_id", "file_name", "status", "ts", F.col("ts").alias("first_ts")))
 
 
 def current_runs(spark: SparkSession, base: str) -> DataFrame:
     """Current status per run, newest first."""
-    log = spark.read.parquet(_path(base, "_ledger"))
-    return ledger.list_runs(ledger.latest_status(log))
+    return ledger.list_runs(status_log(base).state(spark).select("run_id", "status", "file_name", "ts", "first_ts"))
 
 
 def append_messages(msgs: DataFrame, base: str) -> None:

@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from tidemark.config import EMA_SPANS, LAGS, MODEL_FEATURES, ROLL_MEANS, ROLL_STDS, PipelineConfig
 from tidemark.functions.dates import month_label, month_start
 from tidemark.functions.numeric import pct, ratio, total
+from tidemark.operators import distinct
 
 CFG = PipelineConfig()
+#: Roles whose distinct values are counted, and the counts' names.
+ID_ROLES = {"order_id": "n_orders", "product_id": "n_products", "customer_id": "n_customers"}
 
 
 def _w():
@@ -40,6 +43,20 @@ def _distinct(txn: DataFrame, role: str, exact: bool, id_fallback: str):
     return F.count(F.lit(1))
 
 
+def _counted_series(src: DataFrame, key: str | None, roles: list[str]) -> DataFrame:
+    """Sales and exact distinct counts from one scan; roles that are not
+    there count rows."""
+    src, ids = distinct.with_ids(src, roles)
+    by = {"series_key": series_key_expr(key), "period": month_start("order_date")}
+    parts = distinct.states(src, by, [ids[r] for r in roles])
+    missing = [r for r in ID_ROLES if r not in roles]
+    m = distinct.counted(parts, list(by), [ID_ROLES[r] for r in roles])
+    if missing:
+        rows = src.groupBy(*[c.alias(n) for n, c in by.items()]).agg(F.count(F.lit(1)).alias("_rows"))
+        m = m.join(rows, list(by)).withColumns({ID_ROLES[r]: F.col("_rows") for r in missing})
+    return m.select(*by, "sales", *ID_ROLES.values(), F.col("mean_amount").alias("avg_txn_sale"))
+
+
 def monthly_series(txn: DataFrame, key: str | None = None, cfg: PipelineConfig = CFG,
                    id_fallback: str = "rows", with_counts: bool = True) -> DataFrame:
     """One row per (series_key, month with data): sales and transaction counts.
@@ -47,6 +64,10 @@ def monthly_series(txn: DataFrame, key: str | None = None, cfg: PipelineConfig =
     ``sales`` is an exact decimal sum, so every feature computed from it is
     the same on every run. Rows with a NULL key form no series."""
     src = txn.where(F.col(key).isNotNull()) if key is not None else txn
+    roles = [r for r in ID_ROLES if r in src.columns]
+    if with_counts and cfg.exact_distinct and roles and (len(roles) == len(ID_ROLES) or id_fallback == "rows"):
+        m = _counted_series(src, key, roles)
+        return (fill_month_gaps(m) if cfg.fill_gaps else m).withColumn("period_label", month_label("period"))
     aggs = [total("sales").alias("sales")]
     if with_counts:
         aggs += [

@@ -33,6 +33,7 @@ from tidemark.session import ensure_checkpoint_dir, written
 from tidemark.sources import store
 from tidemark.sources.binding import canonical_frame, normalise_name, rejected_rows
 from tidemark.sources.csv_source import prepare
+from tidemark.sources.monthly_store import MonthlyStore
 from tidemark.sources.tables import (RAW_HEADERS, raw_transactions, raw_transactions_sql,
                                      read_table, sales_fact, sales_fact_sql)
 
@@ -729,6 +730,24 @@ def q_monthly_gapfill_customer(spark, sf_dir):
                          money("sales").alias("sales"))
 
 
+@register("monthly_incremental", "A6 A7 J1 T1 (months merged file by file)", S.monthly_counts_cte("region"))
+def q_monthly_incremental(spark, sf_dir):
+    """The transactions come as five files: by year's half and part of the
+    orders, one of them twice; every file rewrites its own months only."""
+    roles = ["order_date", "sales", "order_id", "product_id", "customer_id", "region"]
+    txn = written(sales_fact(spark, sf_dir, roles), "txn")
+    store_ = MonthlyStore(f"{ensure_checkpoint_dir(spark).rstrip('/')}/monthly-{uuid.uuid4().hex}", "region")
+    late = F.month("order_date") > 6
+    part = F.pmod("order_id", F.lit(3))
+    files = {"early-0": txn.where(~late & (part == 0)), "early-1": txn.where(~late & (part > 0)),
+             "late-0": txn.where(late & (part < 2)), "late-1": txn.where(late & (part == 2))}
+    for name in ("early-0", "late-0", "early-1", "late-0", "late-1"):
+        store_.add(files[name], name)
+    m = store_.series(spark)
+    return m.select("series_key", F.col("period_label").alias("period"), money("sales").alias("sales"),
+                    "n_orders", "n_products", "n_customers", rnd("avg_txn_sale", 2).alias("avg_txn_sale"))
+
+
 def _throttle_keyed(capacity: float, rate: float, key: str | None):
     """Token bucket per ``key`` of ``events``; ``None`` = ONE global bucket
     (the source's upload limiter), every event on the same key."""

@@ -35,11 +35,15 @@ def expected(pdf, key="region"):
     d["sales"] = pd.to_numeric(d["sales"])
     g = d.groupby([key, pd.to_datetime(d["order_date"]).dt.strftime("%Y-%m")])
     return {k: (round(s["sales"].sum(), 2), s["order_id"].nunique(), s["product_id"].nunique(), s["customer_id"].nunique(),
-                round(s["sales"].mean(), 3)) for k, s in g}
+                s["sales"].mean()) for k, s in g}
+
+
+def same(a, b):
+    return a.keys() == b.keys() and all(a[k][:4] == b[k][:4] and a[k][4] == pytest.approx(b[k][4]) for k in a)
 
 
 def found(m):
-    return {(r.series_key, r.period_label): (round(r.sales, 2), r.n_orders, r.n_products, r.n_customers, round(r.avg_txn_sale, 3))
+    return {(r.series_key, r.period_label): (round(r.sales, 2), r.n_orders, r.n_products, r.n_customers, r.avg_txn_sale)
             for r in m.collect()}
 
 
@@ -48,7 +52,7 @@ def test_counts_equal_pandas(spark, as_text):
     pdf = frame()
     df = spark_frame(spark, pdf).repartition(5)
     df = df.withColumns({c: F.concat(F.lit("x"), F.col(c).cast("string")) for c in as_text})
-    assert found(series.monthly_series(df, "region")) == expected(pdf)
+    assert same(found(series.monthly_series(df, "region")), expected(pdf))
 
 
 def test_plan_expands_no_row(spark):
@@ -92,21 +96,21 @@ def test_files_are_merged_once_and_touch_their_months_only(spark, tmp_path):
         after = store.months(spark)
         assert {m for m in after if after[m] != before.get(m)} == set(touched)
         whole = series.monthly_series(spark_frame(spark, pdf[seen]), "region")
-        assert found(store.series(spark)) == found(whole) == expected(pdf[seen])
+        assert same(found(store.series(spark)), found(whole)) and same(found(whole), expected(pdf[seen]))
 
 
 def test_a_merge_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
-    pdf = frame(500)
+    pdf = frame(2500)
     store = MonthlyStore(str(tmp_path / "monthly"), "region")
-    store.add(spark_frame(spark, pdf[:250]), "a")
+    store.add(spark_frame(spark, pdf[:1200]), "a")
     want = found(store.series(spark))
     with monkeypatch.context() as m:
         m.setattr(type(store.log), "append", lambda *a: (_ for _ in ()).throw(OSError("lost")))
         with pytest.raises(OSError):
-            store.add(spark_frame(spark, pdf[250:]), "b")
-    assert found(store.series(spark)) == want
-    store.add(spark_frame(spark, pdf[250:]), "b")
-    assert found(store.series(spark)) == expected(pdf)
+            store.add(spark_frame(spark, pdf[1200:]), "b")
+    assert same(found(store.series(spark)), want)
+    store.add(spark_frame(spark, pdf[1200:]), "b")
+    assert same(found(store.series(spark)), expected(pdf))
 
 
 def test_ids_have_to_be_numbers(spark, tmp_path):

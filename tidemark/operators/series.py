@@ -21,6 +21,8 @@ from tidemark.functions.numeric import pct, ratio, total
 from tidemark.operators import distinct
 
 CFG = PipelineConfig()
+#: Rows of a series that one EMA is folded over at a time.
+EMA_BLOCK = 128
 #: Roles whose distinct values are counted, and the counts' names.
 ID_ROLES = {"order_id": "n_orders", "product_id": "n_products", "customer_id": "n_customers"}
 
@@ -105,14 +107,60 @@ def _guarded(agg_fn, k: int) -> Column:
     return F.when(F.count("sales").over(frame) == k, agg_fn("sales").over(frame))
 
 
-def ema_of_previous(hist: Column, span: int) -> Column:
+def ema_of_previous(hist: Column, span: int, start: Column | None = None) -> Column:
     """Unadjusted EMA (alpha = 2/(span+1)) of the previous values, seeded
-    with the first one. ``hist`` is the array of previous values in order."""
+    with the first one, or going on from ``start``. ``hist`` is the array of
+    previous values in order."""
     a = 2.0 / (span + 1.0)
-    return F.aggregate(hist, F.lit(None).cast("double"),
+    return F.aggregate(hist, F.lit(None).cast("double") if start is None else start,
                        lambda acc, x: F.coalesce(F.lit(1.0 - a) * acc + F.lit(a) * x, x))
 
 
+def _through(pairs: Column, span: int, start: Column) -> Column:
+    """``start`` taken through blocks in order: a block of (n values, own
+    EMA from zero) turns y into (1 - alpha)^n * y + own."""
+    a = 2.0 / (span + 1.0)
+    return F.aggregate(pairs, start, lambda y, p: F.coalesce(
+        F.pow(F.lit(1.0 - a), p["n"]) * y + p[f"own{span}"], p[f"own{span}"]))
+
+
+def add_emas(m: DataFrame, spans=EMA_SPANS, value: str = "sales", order: str = "period", block: int = EMA_BLOCK) -> DataFrame:
+    """``ema<span>`` of the rows before each row, as a segmented scan.
+
+    An EMA step is y -> decay * y + own, and such steps compose to one of
+    their kind. So rows are folded inside blocks of ``block`` rows, blocks
+    inside groups of ``block`` blocks, and groups over the series: no array
+    is longer than ``block`` up to block^3 rows, and the work grows with the
+    rows, not with their square. A series within one block is folded value by
+    value, as without blocks."""
+    key = "series_key"
+    rows = m.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    rows = rows.withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_g", F.floor(F.col("_i") / (block * block)))
+    before = lambda *by: Window.partitionBy(key, *by).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_hist", F.collect_list(value).over(before("_g", "_b")))
+    # what a block, seen at its last row, does to an EMA that goes through it; the first block has none before it
+    whole = F.concat("_hist", F.array(F.col(value).cast("double")))
+    whole = F.filter(whole, lambda x: x.isNotNull())
+    zero = F.lit(0.0)
+    seen = F.count(value).over(before()) - F.size("_hist")  # values before the block
+    rows = rows.withColumn("_seen", seen)
+    own = [F.when(F.col("_seen") == 0, ema_of_previous(whole, s)).otherwise(ema_of_previous(whole, s, zero)).alias(f"own{s}") for s in spans]
+    ends = F.floor((F.col("_i") + 1) / block) > F.col("_b")
+    rows = rows.withColumn("_pair", F.when(ends, F.struct(F.size(whole).cast("double").alias("n"), *own)))
+    rows = rows.withColumn("_blocks", F.collect_list("_pair").over(before("_g")))
+    rows = rows.withColumn("_seen", F.col("_seen") - F.aggregate("_blocks", zero, lambda acc, p: acc + p["n"]))  # and before the group
+    blocks = F.when(F.col("_pair").isNotNull(), F.concat("_blocks", F.array("_pair"))).otherwise(F.col("_blocks"))
+    none = F.lit(None).cast("double")
+    n = F.aggregate(blocks, zero, lambda acc, p: acc + p["n"])
+    group = [_through(blocks, s, F.when(F.col("_seen") == 0, none).otherwise(zero)).alias(f"own{s}") for s in spans]
+    closes = F.floor((F.col("_i") + 1) / (block * block)) > F.col("_g")
+    rows = rows.withColumn("_group", F.when(closes, F.struct(n.alias("n"), *group)))
+    rows = rows.withColumn("_groups", F.collect_list("_group").over(before()))
+    found = [ema_of_previous(F.col("_hist"), s, _through(F.col("_blocks"), s, _through(F.col("_groups"), s, none))).alias(f"ema{s}")
+             for s in spans]
+    return rows.select(*m.columns, *found)
+
+
 def add_features(m: DataFrame, drop_incomplete: bool = True, extra_required=()) -> DataFrame:
     """W1-W8 on a monthly series frame; C6 drops rows missing a model feature.
 
@@ -124,13 +172,9 @@ def add_features(m: DataFrame, drop_incomplete: bool = True, extra_required=())
         cols.append(_guarded(F.avg, k).alias(f"roll{k}_mean"))
     for k in ROLL_STDS:
         cols.append(_guarded(F.stddev_samp, k).alias(f"roll{k}_std"))
-    # EMA: one history array per row; length is bounded by the months of a series
-    cols.append(F.collect_list("sales").over(
-        _w().rowsBetween(Window.unboundedPreceding, -1)).alias("_hist"))
-    f = m.select(*cols)
+    f = add_emas(m.select(*cols))
     f = f.select(
         "*",
-        *[ema_of_previous(F.col("_hist"), s).alias(f"ema{s}") for s in EMA_SPANS],
         F.month("period").alias("month"),
         F.quarter("period").alias("quarter"),
         F.year("period").alias("year"),
@@ -138,7 +182,7 @@ def add_features(m: DataFrame, drop_incomplete: bool = True, extra_required=())
         pct(F.col("sales") - F.col("lag1"), "lag1").alias("mom_pct"),
         pct(F.col("sales") - F.col("lag12"), "lag12").alias("yoy_pct"),
         (F.col("sales") - F.col("roll3_mean")).alias("dev_roll3"),
-    ).drop("_hist")
+    )
     if drop_incomplete:
         required = [c for c in MODEL_FEATURES if c in f.columns] + list(extra_required)
         f = f.dropna(subset=required)

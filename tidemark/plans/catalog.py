@@ -17,9 +17,9 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import LAGS, MODEL_FEATURES, PipelineConfig
+from tidemark.config import EMA_SPANS, LAGS, MODEL_FEATURES, PipelineConfig
 from tidemark.functions.money import money_times_sql
-from tidemark.functions.numeric import exact_total, money, rnd
+from tidemark.functions.numeric import exact_total, money, rnd, total
 from tidemark.functions.numeric import money_sql as M
 from tidemark.functions.numeric import rnd_sql as R
 from tidemark.functions.numeric import total_sql as T
@@ -712,6 +712,19 @@ def q_series_features_customer(spark, sf_dir):
     return present_features(feature_frame(spark, sf_dir, "customer_id"))
 
 
+@register("ema_daily_region", "W4 (long series: one value a day)", f"""
+WITH d AS (SELECT region AS series_key, CAST(order_date AS DATE) AS period, {T('sales')} AS sales
+           FROM {fact(['order_date', 'sales', 'region'])} f WHERE region IS NOT NULL GROUP BY 1, 2),
+h AS (SELECT *, list(sales) OVER (PARTITION BY series_key ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist FROM d)
+SELECT series_key, period, """ + ", ".join(
+    R(f"CASE WHEN len(hist) > 0 THEN list_reduce(hist, lambda acc, x: CAST('{1 - 2 / (s + 1)!r}' AS DOUBLE) * acc + "
+      f"CAST('{2 / (s + 1)!r}' AS DOUBLE) * x) END", 2) + f" AS ema{s}" for s in EMA_SPANS) + " FROM h")
+def q_ema_daily_region(spark, sf_dir):
+    txn = sales_fact(spark, sf_dir, ["order_date", "sales", "region"]).where(F.col("region").isNotNull())
+    daily = txn.groupBy(F.col("region").alias("series_key"), F.to_date("order_date").alias("period")).agg(total("sales").alias("sales"))
+    return series.add_emas(daily).select("series_key", "period", *[rnd(f"ema{s}", 2).alias(f"ema{s}") for s in EMA_SPANS])
+
+
 @register("monthly_txn_region", "A7 J1 (per region)", S.monthly_counts_cte("region"))
 def q_monthly_txn_region(spark, sf_dir):
     roles = ["order_date", "sales", "order_id", "product_id", "customer_id", "region"]

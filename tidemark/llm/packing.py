@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import pa_schema, prepare, table
-from tidemark.llm.tokens import default_tokenizer, encoder
+from tidemark.llm.tokens import default_tokenizer, encoder, groups
 
 CAPACITY = 1024
 SLACK = 1 / 64  # largest share of a bin that a class may leave empty
@@ -114,8 +114,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, cap
         packer, enc = Packer(TaskContext.get().partitionId() << 32, capacity), encoder(path)
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.encode([text.as_py() or ""])[0] + end
+            encoded = (ids for part in groups(b.column(1)) for ids in enc.encode(part))
+            for doc, ids in zip(b.column(0).to_pylist(), encoded):
+                ids += end
                 n = len(ids) // 4
                 start = 0
                 for size in cuts(n, capacity, slack):

@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_dir, pa_schema, prepare, table, written
-from tidemark.llm.tokens import default_tokenizer, encoder
+from tidemark.llm.tokens import default_tokenizer, encoder, groups
 
 SHARDS = "shard int,path string,n_docs long,n_tokens long"
 ROWS = 4096  # documents read back at a time
@@ -59,7 +59,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, enc = TaskContext.get(), encoder(path)
-        kind = "<u2" if max(end_id, len(enc._opens) - 1) < 1 << 16 else "<u4"
+        kind = "<u2" if max(end_id, enc.size - 1) < 1 << 16 else "<u4"
         number, attempt = context.partitionId(), f"try{context.taskAttemptId()}"
         system, root = file_system(folder)
         stem, at, n = f"{root}/{number:06d}", 0, 0
@@ -71,8 +71,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
                     out["off"].write(np.array([0], "<u8").tobytes())
                 ids = np.array([x if x is not None else -(1 << 63) for x in b.column(0).to_pylist()], "<i8")
                 offsets = np.empty(len(ids), "<u8")
-                for i, text in enumerate(b.column(1)):
-                    data = np.frombuffer(enc.encode([text.as_py() or ""])[0] + end, "<u4")
+                for i, encoded in enumerate(x for part in groups(b.column(1)) for x in enc.encode(part)):
+                    data = np.frombuffer(encoded + end, "<u4")
                     out["bin"].write(data.astype(kind).tobytes())
                     at += len(data)
                     offsets[i] = at

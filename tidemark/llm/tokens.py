@@ -2,28 +2,30 @@
 
 Byte-level BPE splits a text before every space that stands between two
 non-space characters, and ids on either side don't depend on each other
-there. So a text is encoded as its space-separated words, each once for as
-long as the bounded cache of a worker holds it."""
+there. So texts are encoded as their space-separated words, each once for as
+long as the bounded cache of a worker holds it; the new words of a group of
+texts go to the library together."""
 
 from __future__ import annotations
 
-import sys
-from array import array
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_WORDS = 400_000  # a worker's cache is emptied beyond this
+CACHE_WORDS = 400_000  # a worker holds at most so many, those of the last uses
 JOIN_WORDS = 4_000  # new words encoded in one call
 LONG_WORD = 64  # characters; longer words are encoded but not cached
+GROUP_CHARS = 1 << 20  # of texts that are encoded together
 #: A word of letters below LATIN and at most one of TAILS is two pieces to
-#: the pre-tokenizer, so the model is asked for the letters alone.
+#: the pre-tokenizer, so its letters are encoded alone.
 LATIN, TAILS = "\u0250", ".,!?;:"
 #: White space beside a space: such a text is encoded at once.
 _SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _LOOSE = [x for c in _SPACES for x in (c + " ", " " + c)]
+_ODD_SPACE = re.compile("[" + "".join(c for c in _SPACES if c not in " \n") + "]")
 
 
 def default_tokenizer() -> str:
@@ -31,6 +33,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def groups(texts: Iterable) -> Iterator[list[str]]:
+    """The strings of an Arrow column (null: empty) in lists of about
+    GROUP_CHARS characters; a longer one is alone or the last of its list."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t.as_py() or "")
+        size += len(held[-1])
+        if size >= GROUP_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian uint32 bytes."""
 
@@ -38,87 +54,98 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._lib = Tokenizer.from_file(path)
-        self._lib.encode_special_tokens = True
         size = self._lib.get_vocab_size()
         self._opens = np.array([(self._lib.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        #: Contents that the library takes out of a text before any piece is cut.
+        self._added = [t.content for t in self._lib.get_added_tokens_decoder().values()]
         self._words: dict[str, bytes] = {}
-        self._model = self._lib.model
-        # byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
-        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
-        self._alphabet = {b: 256 + i for i, b in enumerate(odd)}
+        self._before: dict[str, bytes] = {}  # the cache's older half
+        self._lines: dict[str, bytes] = {}  # letters after a line end
         self._tails = {t: self._plain(t) for t in TAILS} | {"": b""}
         self._line = self._plain("\n")
 
+    @property
+    def size(self) -> int:
+        """Ids are below this."""
+        return len(self._opens)
+
     def _plain(self, text: str) -> bytes:
         return np.array(self._lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _letters(self, word: str, space: str = "Ġ") -> bytes:
-        """Ids of letters after a space: one piece, whose merges the model does."""
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self._alphabet)
-        ids = array("I", [t.id for t in self._model.tokenize(space + mapped)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def _simple(self, word: str, space: str) -> bytes | None:
-        """Ids of a word of letters and at most one of TAILS, else None."""
-        tail = word[-1:] if word[-1:] in self._tails else ""
-        core = word[:-1] if tail else word
-        if not core.isalpha() or not core.isascii() and max(core) >= LATIN:
-            return None
-        if not space:
-            return self._letters(core, space) + self._tails[tail]
-        if core not in self._words:
-            self._words[core] = self._letters(core)
-        return self._words[core] + self._tails[tail]
+    def _core(self, word: str) -> str | None:
+        """The letters of a word of letters and at most one of TAILS, else None."""
+        core = word[:-1] if word[-1:] in self._tails else word
+        return core if core.isalpha() and (core.isascii() or max(core) < LATIN) else None
 
     def _learn(self, words: Iterable[str]) -> None:
         """Put new words (a space before each) into the cache."""
-        others = []
+        cores, starts, simple, broken, others = set(), set(), [], [], []
         for w in words:
-            ids = self._simple(w, "Ġ")
-            if ids is None and w.count("\n") == 1:  # a line end is a piece alone
-                left, right = w.split("\n")
-                if (a := self._simple(left, "Ġ")) is not None and (b := self._simple(right, "")) is not None:
-                    ids = a + self._line + b
-            if ids is None:
-                others.append(w)
+            if (core := self._core(w)) is not None:
+                simple.append((w, core))
+                cores.add(core)
+                continue
+            left, line, right = w.partition("\n")  # a line end between letters is a piece alone
+            if line and (a := self._core(left)) is not None and (b := self._core(right)) is not None:
+                broken.append((w, a, left[len(a):], b, right[len(b):]))
+                cores.add(a)
+                starts.add(b)
             else:
-                self._words[w] = ids
-        self._learn_joined(others)
-
-    def _learn_joined(self, words: list[str]) -> None:
-        """Encode words joined by their spaces; a word's ids begin with the
-        one id whose token begins with a space."""
+                others.append(w)
+        known, tails = self._words, self._tails
+        self._learn_joined(list(cores.difference(known)) + others, " ", known, self._opens)
+        if len(self._lines) > CACHE_WORDS // 8:
+            self._lines.clear()
+        self._learn_joined(list(starts.difference(self._lines)), "\n", self._lines, None)
+        for w, core in simple:
+            if w != core:
+                known[w] = known[core] + tails[w[len(core):]]
+        for w, a, after, b, end in broken:
+            known[w] = known[a] + tails[after] + self._line + self._lines[b] + tails[end]
+
+    def _learn_joined(self, words: list[str], joint: str, known: dict, opens: np.ndarray | None) -> None:
+        """Encode words joined by spaces or line ends. A word's ids begin
+        with the one id that opens with the space, or follow the line end's."""
         for i in range(0, len(words), JOIN_WORDS):
             part = words[i:i + JOIN_WORDS]
-            ids = np.frombuffer(self._plain("".join(" " + w for w in part)), "<u4")
-            cuts = np.flatnonzero(self._opens[ids])
+            ids = np.frombuffer(self._plain(joint + joint.join(part)), "<u4")
+            first = 0 if opens is not None else 1
+            cuts = np.flatnonzero(opens[ids] if opens is not None else ids == np.frombuffer(self._line, "<u4")[0])
             if len(cuts) == len(part) and cuts[0] == 0:
                 data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-                for w, a, b in zip(part, (4 * cuts).tolist(), ends):
-                    self._words[w] = data[a:b]
+                for w, a, b in zip(part, (4 * (cuts + first)).tolist(), ends):
+                    known[w] = data[a:b]
             else:
                 for w in part:
-                    self._words[w] = self._plain(" " + w)
+                    known[w] = self._plain(joint + w)[4 * first:]
+
+    def _is_loose(self, text: str, words: list[str]) -> bool:
+        """Whether words can't be encoded apart: white space beside a space,
+        or an added token's content."""
+        return ("" in words or " \n" in text or "\n " in text or any(x in text for x in self._added)
+                or _ODD_SPACE.search(text) is not None and any(x in text for x in _LOOSE))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._encode(t) for t in texts]
-
-    def _encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if "" in rest or any(x in text for x in _LOOSE):
-            return self._plain(text)
-        if len(self._words) > CACHE_WORDS:
-            self._words.clear()
-        known = self._words
-        if new := set(rest).difference(known):
-            self._learn(new)
-        body = b"".join(map(known.__getitem__, rest))
+        if len(self._words) > CACHE_WORDS // 2:
+            self._before, self._words = self._words, {}
+        known, before, split = self._words, self._before, []
+        for text in texts:
+            first, *rest = text.split(" ")
+            split.append((text, None) if self._is_loose(text, rest) else (first, rest))
+        new = set().union(*(rest for _, rest in split if rest)).difference(known)
+        learned = []
         for w in new:
+            if w in before:
+                known[w] = before[w]
+            else:
+                learned.append(w)
+        self._learn(learned)
+        out = [self._plain(first) if rest is None else (self._plain(first) if first else b"") + b"".join(map(known.__getitem__, rest))
+               for first, rest in split]
+        for w in learned:
             if len(w) > LONG_WORD:
                 del known[w]
-        return (self._plain(first) if first else b"") + body
+        return out
 
 
 @lru_cache(maxsize=2)

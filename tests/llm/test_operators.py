@@ -558,16 +558,48 @@ def test_line_dedup_counts_distinct_pages(spark):
     docs = [(i, f"own line {i}\nshared footer\n\nown end {i}", "h") for i in range(20)]
     docs += [(100 + i, "copied page\nits second line", "h") for i in range(50)]
     docs += [(200 + i, f"shared footer\nonly {i}", "small") for i in range(3)]
+    docs += [(300 + i, f"shared footer\nonly {i}", "two") for i in range(2)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark, df).collect()}
     assert got[0] == ("own line 0\n\nown end 0", 1)
     assert got[100] == ("copied page\nits second line", 0)
-    assert got[200] == ("shared footer\nonly 0", 0)
+    assert got[200] == ("only 0", 1)  # on all pages of a host of three
+    assert got[300] == ("shared footer\nonly 0", 0)  # of two: too few to tell
+
+
+def test_edited_copies_keep_their_lines(spark):
+    """40 copies of a story, one line of each edited, among 200 other pages with a footer."""
+    rng = np.random.default_rng(8)
+    line = lambda: " ".join(f"w{rng.integers(5000)}" for _ in range(12))
+    story = [line() for _ in range(20)]
+    docs = []
+    for i in range(40):
+        mine = list(story)
+        mine[i % 20] = line()
+        docs.append((i, "\n".join([*mine, "read more on our site"]), "h"))
+    docs += [(100 + i, "\n".join([*(line() for _ in range(6)), "read more on our site"]), "h") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark, df).collect()}
+    assert got == {d: t.removesuffix("\nread more on our site") for d, t, _ in docs}
+
+
+def test_line_dedup_counts_as_sql_over_given_pages(spark):
+    docs = table(spark, SF_MID, "documents").select("doc_id", "source", "text")
+    paged = line_dedup.with_page(spark, docs, "page").toPandas()
+    con = duck_connect(SF_MID)
+    con.register("paged", paged)
+    con.execute("CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM paged")
+    want = sorted(con.execute(line_dedup.SQL).fetchall(), key=repr)
+    columns = ["doc_id", "source", "n_dropped", "text"]
+    frame = spark.createDataFrame(list(paged.itertuples(index=False, name=None)), "doc_id long, source string, text string, page long")
+    assert sorted(rows(line_dedup.dedup_lines(spark, frame, page="page").select(columns)), key=repr) == want
+    assert sorted(rows(line_dedup.op7_line_dedup(spark, SF_MID).select(columns)), key=repr) == want
+    assert sum(x[2] for x in want) > 100
 
 
 def test_line_dedup_odd_rows(spark, odd, none):
     df = odd.drop("n_dropped")
-    got = line_dedup.dedup_lines(spark, df, ratio=0.0, min_pages=1)
+    got = line_dedup.dedup_lines(spark, df, ratio=0.0, prior=0)
     assert got.columns == [*df.columns, "n_dropped"] and got.count() == len(ODD)
     for r in got.collect():
         if r.doc_id in (2, 3, 9):

@@ -20,5 +20,5 @@ QUERIES = {
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
-SQL = {"op7_line_dedup": line_dedup.SQL, "op8_url_rules": url_rules.SQL, "op9_warc": warc.SQL,
+SQL = {"op8_url_rules": url_rules.SQL, "op9_warc": warc.SQL,
        "op12_prefix_trie": prefix_trie.SQL, "op13_lexical_search": lexical_search.SQL}

@@ -1,14 +1,16 @@
-"""Line dedup by site-relative frequency. DataFrame functions only."""
+"""Line dedup by site-relative frequency. The counting uses DataFrame
+functions only; pages that are about the same are grouped beforehand."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, table, unused, written
+from tidemark.llm.common import prepare, small, table, unused, written
+from tidemark.llm.superminhash import near_groups
 
-RATIO = 0.01  # lines on more than this share of a host's pages are dropped
-MIN_PAGES = 4  # and on at least so many pages
+RATIO = 0.05  # lines on more than this share of a host's pages are dropped
+PRIOR = 40  # pages without any line in common that every host has besides its own
 
 
 def _lines() -> Column:
@@ -21,35 +23,49 @@ def _code(line: Column) -> Column:
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, host: str = "source", ratio: float = RATIO,
-                min_pages: int = MIN_PAGES) -> DataFrame:
+                prior: float = PRIOR, page: str | None = None) -> DataFrame:
     """(host, codes): the codes of a host's lines that are on more than
-    ``ratio`` of its pages and on ``min_pages`` or more. Pages with equal
-    texts count as one page, so a page copied often is no boilerplate. At
-    most (lines of a page on average) / ratio codes for a host."""
-    page = docs.where(F.col("text").isNotNull()).select(F.col(host).alias("host"), F.xxhash64("text").alias("page"),
-                       F.array_distinct(F.filter(_lines(), lambda x: F.trim(x) != "")).alias("lines"))
-    totals = page.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = (page.select("host", "page", F.explode("lines").alias("line"))
+    ``ratio`` of its pages, PRIOR pages added. Texts with the same ``page``
+    (without such a column: equal texts) count as one page, so one that is
+    copied often, with or without edits, is no boilerplate. At most (lines of
+    a page on average) / ratio codes for a host."""
+    own = F.xxhash64("text") if page is None else F.col(page)
+    rows = docs.where(F.col("text").isNotNull()).select(F.col(host).alias("host"), own.alias("page"),
+                      F.array_distinct(F.filter(_lines(), lambda x: F.trim(x) != "")).alias("lines"))
+    totals = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    seen = (rows.select("host", "page", F.explode("lines").alias("line"))
             .select("host", "page", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b")).distinct()
-            .groupBy("host", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+            .groupBy("host", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") > ratio * prior)
             .withColumnRenamed("host", "_host"))
-    over = seen.join(totals, F.col("_host").eqNullSafe(F.col("host"))).where(F.col("n") > ratio * F.col("pages"))
+    over = seen.join(totals, F.col("_host").eqNullSafe(F.col("host"))).where(F.col("n") > ratio * (F.col("pages") + prior))
     codes = F.collect_list(F.concat(F.hex("a"), F.lit("-"), F.hex("b")))
     return written(spark, over.groupBy("host").agg(codes.alias("codes")), "boilerplate")
 
 
+def with_page(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that texts which are about the same share
+    (``near_groups``: 0.8 of their two-word shingles); null texts have null."""
+    groups = near_groups(spark, docs).withColumnRenamed("text_key", "_key").withColumnRenamed("page", "_page")
+    joined = docs.join(small(groups, 300_000), F.xxhash64("text") == F.col("_key"), "left")
+    own = F.when(F.col("text").isNotNull(), F.coalesce("_page", F.xxhash64("text"))).alias(name)
+    return joined.select(*[docs[c] for c in docs.columns], own)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, host: str = "source", ratio: float = RATIO,
-                min_pages: int = MIN_PAGES) -> DataFrame:
+                prior: float = PRIOR, page: str | None = None) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus
-    ``n_dropped``; n_chars, if there, is counted anew.
+    ``n_dropped``; n_chars, if there, is counted anew. page: the column that
+    names a row's page, or None for one that ``with_page`` computes.
 
     Lines are parts between ``\\n``; blank lines are never dropped. Every
     row stays, with an empty text if all its lines go. A null text stays
     null; null hosts are one host; repeated rows count as one page and are
-    all rewritten; an empty table gives no rows; other columns pass, but for
+    all rewritten, as are near copies; an empty table gives no rows; other columns pass, but for
     one named n_dropped, which is replaced."""
     prepare(spark)
-    bad = boilerplate(spark, docs, host, ratio, min_pages)
+    who = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    paged, own = (docs, page) if page else (docs.select(F.col(host).alias("host"), "text", who.alias("doc_id")), "page")
+    bad = boilerplate(spark, paged if page else with_page(spark, paged, own), host if page else "host", ratio, prior, own)
     codes, here, text = (unused(docs, x) for x in ("codes", "here", "kept_text"))
     bad = bad.select(F.col("host").alias(unused(docs, "bad_host")), F.col("codes").alias(codes))
     joined = docs.join(bad, docs[host].eqNullSafe(bad[0]), "left")
@@ -71,13 +87,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark, docs).select("doc_id", "source", "n_dropped", "text")
 
 
+#: Over a table that names each row's page; the groups of pages have no SQL form.
 SQL = """
 WITH l AS (
-  SELECT DISTINCT source, text, unnest(string_split(text, chr(10))) AS line FROM documents),
-t AS (SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY source),
+  SELECT DISTINCT source, page, unnest(string_split(text, chr(10))) AS line FROM documents),
+t AS (SELECT source, count(DISTINCT page) AS pages FROM documents GROUP BY source),
 f AS (SELECT source, line, count(*) AS n FROM l WHERE trim(line, ' ') <> '' GROUP BY source, line),
 bad AS (SELECT f.source, list(line) AS lines FROM f JOIN t ON f.source = t.source
-  WHERE n >= 4 AND n > 0.01 * pages GROUP BY f.source),
+  WHERE n > 0.05 * (pages + 40) GROUP BY f.source),
 k AS (
   SELECT doc_id, d.source, string_split(text, chr(10)) AS parts, coalesce(lines, []) AS lines
   FROM documents d LEFT JOIN bad ON d.source = bad.source)

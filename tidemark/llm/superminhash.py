@@ -7,6 +7,7 @@ and inside a group every link is confirmed by the sets themselves."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ ESTIMATE = 0.62  # equal slots of pairs at 0.8: 0.8 +- 0.032, so 0.62 is 5 devia
 DENSE = 4096  # sets in a bucket, beyond which they are one coarse group without a comparison
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 1 << 21  # sets and shingles that one task verifies together
 ELEMENTS = 1 << 14  # shingles that go through the ranks together
-KNOWN_WORDS = 400_000  # a worker's word hashes are dropped beyond this
+PIECE = 1 << 16  # bytes of a text whose words are hashed together
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 PRINTS = "doc_id long,text_key long,n_shingles long,set_id long,bands array<long>,bits_a long,bits_b long"
-_words: dict[bytes, int] = {}
+IS_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+MULTIPLIER = 0xD1342543DE82EF95  # odd, so it has an inverse
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,23 +42,57 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random number for each byte.
+BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MULTIPLIER^i and its inverse for i < n, modulo 2^64."""
+    steps = np.repeat(np.array([[MULTIPLIER], [INVERSE]], np.uint64), n, axis=1)
+    steps[:, 0] = 1
+    return tuple(np.cumprod(steps, axis=1))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word (run without ASCII white space, A-Z
+    lower-cased) in order: a polynomial of random numbers for its bytes,
+    taken from running sums over the text, a piece at a time."""
+    text = np.frombuffer(raw.lower(), np.uint8)
+    space = IS_SPACE[text]
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text):  # to the end of the word there
+            rest = np.flatnonzero(space[end:end + PIECE])
+            while not len(rest) and end < len(text):
+                end = min(end + PIECE, len(text))
+                rest = np.flatnonzero(space[end:end + PIECE])
+            end += int(rest[0]) if len(rest) else 0
+        gap = np.concatenate([[True], space[at:end], [True]])
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        first, last = edge[::2], edge[1::2]
+        if len(first):
+            up, down = _powers(1 << max(PIECE.bit_length(), (end - at).bit_length()))
+            sums = np.zeros(end - at + 1, np.uint64)
+            np.cumsum(BYTES[text[at:end]] * up[:end - at], out=sums[1:])
+            out.append(_mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingles(raw: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles (words: runs
-    without ASCII white space, A-Z lower-cased); fewer words than ``size``
-    are one shingle, no word gives none."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_words) > KNOWN_WORDS:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh64_intdigest(w, 42)
-    each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    """Sorted distinct 64-bit hashes of a text's word shingles; fewer words
+    than ``size`` are one shingle, no word gives none."""
+    each = word_hashes(raw)
+    if not len(each):
+        return each
     n = max(1, len(each) - size + 1)
     h = np.zeros(n, np.uint64)
     for i in range(min(size, len(each))):
         h = _mix(h + each[i:i + n] + GOLDEN)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def _lower(h: np.ndarray, owner: np.ndarray, seed: np.ndarray) -> None:
@@ -117,19 +154,25 @@ def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray
     return key
 
 
-def _prints(cols: dict) -> dict:
-    sets = [shingles(x.as_py()) for x in cols["raw"]]
-    full = [i for i, s in enumerate(sets) if len(s)]
-    out = {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "n_shingles": [len(s) for s in sets]}
-    out |= {c: [None] * len(sets) for c in ("set_id", "bands", "bits_a", "bits_b")}
-    if full:
-        h = signatures([sets[i] for i in full])
-        keys = band_keys(h).view(np.int64).tolist()
-        bits = np.packbits((_mix(h[:, :LANES]) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view("<i8").tolist()
-        for i, k, (a, b) in zip(full, keys, bits):
-            out["bands"][i], out["bits_a"][i], out["bits_b"][i] = k, a, b
-            out["set_id"][i] = set_id(sets[i])
-    return out
+def _prints(bands: int, rows: int, lanes: int):
+    """From texts to the columns of PRINTS; null beside empty sets."""
+    def run(cols: dict) -> dict:
+        sets = [shingles(x.as_py()) for x in cols["raw"]]
+        full = [i for i, s in enumerate(sets) if len(s)]
+        out = {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "n_shingles": [len(s) for s in sets]}
+        out |= {c: [None] * len(sets) for c in ("set_id", "bands", "bits_a", "bits_b")}
+        if full:
+            h = signatures([sets[i] for i in full], bands * rows)
+            keys = band_keys(h, bands, rows).view(np.int64).tolist()
+            bits = np.zeros((len(full), LANES), np.uint8)
+            bits[:, :lanes] = _mix(h[:, :lanes]) & np.uint64(1)
+            pairs = np.packbits(bits, axis=1, bitorder="little").view("<i8").tolist()
+            for i, k, (a, b) in zip(full, keys, pairs):
+                out["bands"][i], out["bits_a"][i], out["bits_b"][i] = k, a, b
+                out["set_id"][i] = set_id(sets[i])
+        return out
+
+    return run
 
 
 def set_id(s: np.ndarray) -> int:
@@ -178,14 +221,14 @@ def coarse_links(batches: Iterator[pa.RecordBatch], far: int = FAR) -> Iterator[
         yield from work(*held)
 
 
-def _coarse_groups(spark: SparkSession, sets: DataFrame) -> DataFrame:
+def _coarse_groups(spark: SparkSession, sets: DataFrame, far: int = FAR) -> DataFrame:
     """(node, root): groups that hold the partners of every set. Buckets of
     more than DENSE sets are one group by an aggregate, without comparing."""
     rows = sets.select(F.explode("bands").alias("key"), "set_id", "bits_a", "bits_b")
     dense = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("first")).where(F.col("n") > DENSE)
     dense = small(written(spark, dense.select("key", "first"), "dense"))
     near = (rows.join(dense, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-            .mapInArrow(coarse_links, "u long,v long"))
+            .mapInArrow(lambda batches: coarse_links(batches, far), "u long,v long"))
     whole = rows.select("key", "set_id").join(dense, "key").select(F.col("set_id").alias("u"), F.col("first").alias("v"))
     return components(spark, near.union(whole))
 
@@ -279,7 +322,7 @@ def _verify(docs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "set_id", "label", "asks", "hub", "raw").groupBy(*keys).applyInArrow(_block, "u long,v long")
 
 
-def links(spark: SparkSession, docs: DataFrame, sets: DataFrame) -> DataFrame:
+def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, far: int = FAR) -> DataFrame:
     """(u, v), a written table: confirmed links that connect distinct sets
     (set_id, doc_id, text_key of one row that has it, n_shingles, bands,
     bits_a, bits_b).
@@ -288,7 +331,7 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame) -> DataFrame:
     cut into blocks by hash, each with the group's hub; what the blocks and
     the hub leave outside the group's largest part is then compared with all
     blocks, so that every pair that could add a connection has met."""
-    grouped = sets.join(_coarse_groups(spark, sets).withColumnRenamed("node", "set_id"), "set_id").drop("bands")
+    grouped = sets.join(_coarse_groups(spark, sets, far).withColumnRenamed("node", "set_id"), "set_id").drop("bands")
     sizes = grouped.groupBy("root").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     grouped = written(spark, grouped.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("set_id"), "blocks").cast("int")), "grouped")
@@ -322,6 +365,27 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.union(written(spark, _verify(docs, pairs, ["root", "block", "turn"]), "confirmed"))
 
 
+def _sets(prints: DataFrame) -> DataFrame:
+    """Distinct sets with one row of ``prints`` that has each."""
+    return prints.where("set_id is not null").groupBy("set_id").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("copies"),
+        *[F.first(c).alias(c) for c in ("n_shingles", "bands", "bits_a", "bits_b")]).select(
+        "set_id", "row.doc_id", "row.text_key", "low", "copies", "n_shingles", "bands", "bits_a", "bits_b")
+
+
+def near_groups(spark: SparkSession, docs: DataFrame, bands: int = 16, rows: int = 4, lanes: int = 64, far: int = 18) -> DataFrame:
+    """(text_key, page), a written table: texts of ``docs`` (doc_id, text) by
+    their hash, of those that link with others, and a number that a group has
+    in common. Links are confirmed as in ``near_duplicates``; with the fewer
+    bands pairs at 0.8 miss each other with probability 2e-4."""
+    prepare(spark)
+    prints = written(spark, arrow_rows(keyed(docs), _prints(bands, rows, lanes), PRINTS), "prints")
+    sets = written(spark, _sets(prints), "sets")
+    roots = components(spark, links(spark, docs, sets.drop("low", "copies"), far)).withColumnRenamed("node", "set_id")
+    of = prints.select("text_key", "set_id").distinct().join(small(written(spark, roots, "roots"), 300_000), "set_id")
+    return written(spark, of.select("text_key", F.col("root").alias("page")), "pages")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``
     (doc_id, text; other columns are ignored).
@@ -335,11 +399,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     each get a row; an empty table gives no rows. Sets are compared by 64-bit
     hashes of their shingles."""
     prepare(spark)
-    prints = written(spark, arrow_rows(keyed(docs), _prints, PRINTS), "prints")
-    sets = written(spark, prints.where("set_id is not null").groupBy("set_id").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("copies"),
-        *[F.first(c).alias(c) for c in ("n_shingles", "bands", "bits_a", "bits_b")])
-        .select("set_id", "row.doc_id", "row.text_key", "low", "copies", "n_shingles", "bands", "bits_a", "bits_b"), "sets")
+    prints = written(spark, arrow_rows(keyed(docs), _prints(BANDS, ROWS, LANES), PRINTS), "prints")
+    sets = written(spark, _sets(prints), "sets")
     roots = components(spark, links(spark, docs, sets.drop("low", "copies"))).withColumnRenamed("node", "set_id")
     rooted = sets.select("set_id", "low", "copies").join(roots, "set_id", "left").where("copies > 1 or root is not null")
     rooted = rooted.withColumn("root", F.coalesce("root", "set_id"))

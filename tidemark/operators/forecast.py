@@ -38,18 +38,33 @@ def assembler(features=MODEL_FEATURES) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
 
 
-def fit_models(rows: DataFrame, cfg: PipelineConfig = CFG, features=MODEL_FEATURES):
-    """fit both learners on log1p(sales)."""
+def _training_data(rows: DataFrame, cfg: PipelineConfig, features) -> DataFrame:
     # the layout is a parameter, so a model depends neither on row counts nor on the cluster
     rows = rows.repartition(cfg.train_partitions, "series_key", "period").sortWithinPartitions("series_key", "period")
-    data = assembler(features).transform(rows).select("features", F.log1p("sales").alias("label")).cache()
+    return assembler(features).transform(rows).select("features", F.log1p("sales").alias("label")).cache()
+
+
+def _forest(cfg: PipelineConfig) -> RandomForestRegressor:
+    return RandomForestRegressor(numTrees=cfg.rf_trees, featureSubsetStrategy="all", maxDepth=cfg.rf_depth,
+                                 seed=cfg.seed, labelCol="label", featuresCol="features", predictionCol="p_rf")
+
+
+def fit_forest(rows: DataFrame, cfg: PipelineConfig = CFG, features=MODEL_FEATURES):
+    """F5 alone, for importances and contributions."""
+    data = _training_data(rows, cfg, features)
+    model = _forest(cfg).fit(data)
+    data.unpersist()
+    return model
+
+
+def fit_models(rows: DataFrame, cfg: PipelineConfig = CFG, features=MODEL_FEATURES):
+    """fit both learners on log1p(sales)."""
+    data = _training_data(rows, cfg, features)
     gbt = GBTRegressor(maxIter=cfg.gbt_iter, stepSize=0.1, maxDepth=cfg.gbt_depth,
                        minInstancesPerNode=cfg.gbt_min_instances,
                        seed=cfg.seed,
                        labelCol="label", featuresCol="features", predictionCol="p_gbt")
-    rf = RandomForestRegressor(numTrees=cfg.rf_trees, featureSubsetStrategy="all", maxDepth=cfg.rf_depth,
-                               seed=cfg.seed, labelCol="label", featuresCol="features",
-                               predictionCol="p_rf")
+    rf = _forest(cfg)
     # the two learners are independent: submit both fits at once (each is a
     # sequence of small jobs, so they share the executors instead of queueing)
     with ThreadPoolExecutor(max_workers=2) as pool:

@@ -686,7 +686,7 @@ def q_forecast_future(spark, sf_dir):
 @register("feature_importance", "F11 K3")
 def q_feature_importance(spark, sf_dir):
     _, mf, _ = _model_frames(spark, sf_dir)
-    return _fc.feature_importances(_fc.fit_models(mf, CFG)[1], spark=spark)
+    return _fc.feature_importances(_fc.fit_forest(mf, CFG), spark=spark)
 
 
 @register("anomaly_confirmed_full", "AN1-AN7 E1 (three detectors)")
@@ -698,7 +698,7 @@ def q_anomaly_confirmed_full(spark, sf_dir):
 @register("tree_shap_top", "X1 K4 (Tree SHAP of the fitted forest)")
 def q_tree_shap_top(spark, sf_dir):
     _, mf, _ = _model_frames(spark, sf_dir)
-    rf = _fc.fit_models(mf, CFG)[1]
+    rf = _fc.fit_forest(mf, CFG)
     top = explain.top_contributions(treeshap.shap_scores(mf, rf, MODEL_FEATURES), CFG.top_contrib)
     return top.select("series_key", F.col("period_label").alias("period"), "rank", "feature",
                       "value", "contribution")
@@ -813,9 +813,9 @@ def q_forecast_backtest_actuals(spark, sf_dir):
 SELECT series_key, strftime(max(period) + to_months(CAST(s AS INTEGER)), '%Y-%m') AS period, CAST(s AS INTEGER) AS step,
        TRUE AS band_holds FROM fe, range(1, {CFG.horizon + 1}) r(s) GROUP BY series_key, s""")
 def q_forecast_steps(spark, sf_dir):
-    m, mf, bt = _model_frames(spark, sf_dir)
-    metrics = _fc.backtest(bt, CFG)[1]
-    fc = _fc.recursive_forecast(mf, _fc.fit_models(mf, CFG), metrics, CFG, m)
+    m = pipeline.build_monthly(sales_fact(spark, sf_dir, ["order_date", "sales", "region"]), "region", CFG).cache()
+    mf, _, metrics, models = pipeline.fit_backtest_and_final(m, pipeline.features_from_monthly(m).cache(), CFG)
+    fc = _fc.recursive_forecast(mf, models, metrics, CFG, m)
     # shown values: cents on both, so the width is known to a few cents
     width = F.col("rmse") * F.lit(CFG.z_band) * F.sqrt(F.col("step").cast("double"))
     lower = F.greatest(F.col("forecast") - width, F.lit(0.0))

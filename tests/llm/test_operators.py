@@ -632,6 +632,22 @@ def test_url_rules(spark):
     assert len(bare) == len(URLS) + 1 and all(r.rule is None and r.verdict == "block" for r in bare)
 
 
+def test_long_hosts_and_prefixes_that_clash(spark):
+    """20,000 labels; with one hex digit most rules share their prefix with others."""
+    import time
+    urls = [f"x://{'a.' * 20_000}example.org/es/", f"x://{'b.' * 20_000}com/de/x", "x://org", "x://b.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_rules.rules_frame(spark, [*url_rules.RULES, *((f"h{i}.net", "/", "block") for i in range(200))])
+    url_rules.judge_urls(pages.limit(0), rules).collect()
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules, prefix_hex=1).collect()}
+    assert got == {0: ("example.org/es/", "block"), 1: ("com/de/", "block"), 2: (None, "allow"), 3: (None, "allow")}
+    assert time.time() - began < 20
+    plan = url_rules.judge_urls(pages, rules)._jdf.queryExecution().toString()
+    joins = [x for x in plan[plan.index("== Physical"):].splitlines() if "Join" in x and "rule_prefix" in x]
+    assert joins and not any("digest" in x.split("Inner")[0] for x in joins)
+
+
 def test_url_rules_use_no_python(spark):
     plan = url_rules.op8_url_rules(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -37,10 +37,11 @@ def url_path(url: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_hex: int = 8) -> DataFrame:
     """page_id, url, host, path, rule, verdict for every row of ``pages``.
 
-    Every distinct (host, path) is expanded into its host suffixes times
-    those path prefixes whose length some rule has; expressions meet rules
-    on the first ``prefix_hex`` hex digits of their SHA-256, the full digest
-    confirms, and the longest rule wins (then the longer host, then block
+    Every distinct (host, path) is expanded into those host suffixes and
+    path prefixes whose number of labels and length some rule has, so the
+    work is linear in a url's length; expressions are joined to rules on the
+    first ``prefix_hex`` hex digits of their SHA-256 alone, the full digest
+    then confirms, and the longest rule wins (then the longer host, then block
     over allow). Rows that no rule fits get ``default`` and a null rule.
     Null urls, urls without ``://`` and empty tables are judged like any
     other (empty host and path); repeated rows each get their own row; a
@@ -52,21 +53,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", prefi
         "rule_host", "rule_path", "rule_verdict",
         F.sha2(F.concat("rule_host", F.lit("\n"), "rule_path"), 256).alias("rule_digest"),
     ).withColumn("rule_prefix", F.substring("rule_digest", 1, prefix_hex))
-    # path lengths in use: at most the longest rule path, whatever the number of rules
+    # lengths in use: whatever the number of rules, at most the longest host's labels and the longest path
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
+    labels = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\."))).distinct().collect())
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)),
-                           lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]),
-                        lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
+    suffixes = [F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in labels]
+    prefixes = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]
+    some = lambda found: F.filter(F.array(*found), lambda p: p.isNotNull()) if found else F.array().cast("array<string>")
     urls = pages.select("host", "path").distinct()
     expressions = (
-        urls.select("host", "path", F.explode(F.array_distinct(suffixes)).alias("suffix"))
-        .select("host", "path", "suffix", F.explode(prefixes).alias("prefix"))
+        urls.select("host", "path", F.explode(some(suffixes)).alias("suffix"))
+        .select("host", "path", "suffix", F.explode(some(prefixes)).alias("prefix"))
         .withColumn("digest", F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256))
+        .withColumn("short", F.substring("digest", 1, prefix_hex))
     )
-    hits = expressions.join(
-        rules, (F.substring("digest", 1, prefix_hex) == F.col("rule_prefix")) & (F.col("digest") == F.col("rule_digest")))
+    # the rules of one short prefix are few: digests that happen to begin alike
+    lists = rules.groupBy("rule_prefix").agg(F.collect_list(F.struct("rule_digest", "rule_host", "rule_path", "rule_verdict")).alias("rules"))
+    hits = expressions.join(lists, F.col("short") == F.col("rule_prefix")).select(
+        "host", "path", F.inline(F.filter("rules", lambda r: r["rule_digest"] == F.col("digest"))))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(
         (F.length("rule_host") + F.length("rule_path")).alias("size"),
         F.length("rule_host").alias("host_size"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,10 +27,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|"
+    r"(?:^|[_-])(?:ads?|adverts?|advertisement|advertising|adbox|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|"
     r"navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|widget|comments?|comment-list|respond|"
-    r"disqus|discussion|replies|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"social|share|sharing|related|recommended|tags?|pagination|pager|skip|toolbar|copyright|disclaimer)(?:$|[\s_-])", re.I)
+    r"disqus|replies|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"social|share|sharing|related(?:[_-](?:posts?|articles?|stories|links?|content|items?|news|pages|products|reading))?|"
+    r"recommended|tags?|pagination|pager|skip|toolbar|copyright|disclaimer)(?:$|[_-](?!work|sections?$|body|content$|text$))", re.I)
+#: Words of a class that say what a page has, is about or allows, not what an element is.
+STATES = re.compile(r"^(?:has|is|no|not|with|without|type|tag|category|cat|status|format|single|postid|page|theme|lang|js)[_-]|"
+                    r"[_-](?:enabled|disabled|open|closed|on|off|yes|no|active|allowed|true|false)$", re.I)
 TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>|"
     r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"<]*\"|'[^'<]*'|[^'\"<>])*)>", re.S | re.I)
@@ -44,21 +49,61 @@ def _is_chrome(name: str, attributes: str, chrome: frozenset[str] = CHROME) -> b
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).strip()
-        if (key == "hidden" or key in ("class", "id") and NAMES.search(value) or key == "role" and value.lower() in ROLES
+        named = key in ("class", "id") and any(NAMES.search(w) and not STATES.search(w) for w in value.split())
+        if (key == "hidden" or named or key == "role" and value.lower() in ROLES
                 or key == "aria-hidden" and value.lower() == "true"
                 or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             return True
     return False
 
 
-def _closes(html: str, at: int, name: str) -> bool:
-    """Whether the element ``name`` that is open at ``at`` has its end tag."""
-    depth = 1
-    for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", html[at:], re.I):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return True
-    return False
+class _Ends:
+    """Which start tags of a page have their end tag, by element name; each
+    name's tags are matched once, in one pass."""
+
+    def __init__(self, html: str):
+        self.html, self.closed = html, {}
+
+    def has(self, name: str, at: int) -> bool:
+        """Whether the element ``name`` whose tag starts at ``at`` is closed."""
+        if name not in self.closed:
+            open_, closed = [], set()
+            for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", self.html, re.I):
+                if not m[1]:
+                    open_.append(m.start())
+                elif open_:
+                    closed.add(open_.pop())
+            self.closed[name] = closed
+        return at in self.closed[name]
+
+
+class _Open:
+    """Open elements, innermost last, that know which names they hold."""
+
+    def __init__(self):
+        self.names, self.count = [], Counter()
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+
+    def close(self, name: str) -> None:
+        """Close the innermost ``name`` and all inside it."""
+        while True:
+            last = self.names.pop()
+            self.count[last] -= 1
+            if last == name:
+                return
+
+    def clear(self) -> None:
+        self.names.clear()
+        self.count.clear()
+
+    def __contains__(self, name: str) -> bool:
+        return self.count[name] > 0
+
+    def __bool__(self) -> bool:
+        return bool(self.names)
 
 
 def lines_of(html: str, names: bool = True, chrome: frozenset[str] = CHROME) -> tuple[list[str], list[int], list[int]]:
@@ -70,9 +115,8 @@ def lines_of(html: str, names: bool = True, chrome: frozenset[str] = CHROME) ->
     article. names: whether elements are removed for their attributes too."""
     lines, sizes, text = [], [], []
     linked = plain = 0
-    skip: list[str] = []  # open elements from the removed one on
-    parents: list[str] = []  # open elements around it
-    closes: bool | None = None  # whether the removed element has its end tag
+    skip, parents = _Open(), _Open()  # open elements from the removed one on, and around it
+    ends, removed = _Ends(html), ("", 0)  # the removed element's name and place
     anchors = main = articles = 0
     inside: list[int] = []
 
@@ -98,8 +142,8 @@ def lines_of(html: str, names: bool = True, chrome: frozenset[str] = CHROME) ->
             if not part.isspace():
                 linked, plain = linked + bool(anchors), plain + (not anchors)
 
-    at = 0
-    for m in TAG.finditer(html):
+    at, limit = 0, html.rfind(">") + 1  # no tag ends beyond
+    for m in TAG.finditer(html, 0, limit):
         words(html[at:m.start()])
         at = m.end()
         name = m["name"]
@@ -111,29 +155,26 @@ def lines_of(html: str, names: bool = True, chrome: frozenset[str] = CHROME) ->
         if skip:
             if m["end"]:
                 if name in skip:
-                    while skip.pop() != name:
-                        pass
+                    skip.close(name)
                     continue
                 if name not in parents:
                     continue
                 skip.clear()  # its parent ends
             elif name in ("article", "main", "body"):
-                if closes is None:
-                    closes = _closes(html, m.end(), skip[0])
-                if closes:
-                    skip.append(name)
+                if ends.has(*removed):
+                    skip.push(name)
                     continue
                 skip.clear()  # the removed element's end is missing
             else:
                 if name not in VOID and not m["attributes"].endswith("/"):
-                    skip.append(name)
+                    skip.push(name)
                 continue
         if not m["end"] and name not in VOID and _is_chrome(name, m["attributes"] if names else "", chrome):
             flush()
             gap()
             if not m["attributes"].endswith("/"):
-                skip.append(name)
-                closes = None
+                skip.push(name)
+                removed = name, m.start()
             continue
         if name == "a":
             anchors = max(0, anchors - 1) if m["end"] else anchors + 1
@@ -142,21 +183,27 @@ def lines_of(html: str, names: bool = True, chrome: frozenset[str] = CHROME) ->
             anchors = 0
             if m["end"]:
                 if name in parents:
-                    while parents.pop() != name:
-                        pass
+                    parents.close(name)
             elif name not in VOID and name != "p":
-                parents.append(name)
+                parents.push(name)
         if name in ("article", "main"):
             before, main = main, max(0, main - 1) if m["end"] else main + 1
             if not before or not main:
                 gap()
                 articles += not before
-    if not skip:
-        words(html[at:])
+    if not skip and not (at == limit and at and _unended(m)):
+        words(html[at:].partition("<!--")[0])  # a comment there has no end
     flush()
     return lines, sizes, inside
 
 
+def _unended(m: re.Match) -> bool:
+    """Whether a comment or an element without markup has no end."""
+    if m["raw"]:
+        return re.search(r"</\w+\s*>\Z", m[0]) is None
+    return m[0].startswith("<!--") and not m[0].endswith("-->")
+
+
 def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """Lines between surge and dive points of the line-block distribution,
     joined by one space.

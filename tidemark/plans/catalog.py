@@ -32,6 +32,7 @@ from tidemark.plans import series_sql as S
 from tidemark.session import ensure_checkpoint_dir, written
 from tidemark.sources import store
 from tidemark.sources.binding import canonical_frame, normalise_name, rejected_rows
+from tidemark.sources.csv_folder import FolderRead, read_transactions_folder
 from tidemark.sources.csv_source import prepare
 from tidemark.sources.monthly_store import MonthlyStore
 from tidemark.sources.tables import (RAW_HEADERS, raw_transactions, raw_transactions_sql,
@@ -490,6 +491,42 @@ def q_rejected_counts(spark, sf_dir):
     return rejected_rows(canonical_frame(normalised, binding))
 
 
+def _three_styles(spark, sf_dir) -> FolderRead:
+    """The transactions, some of them spoiled, as CSV files of three header
+    styles and date orders, by order id, read back as one folder."""
+    raw = _spoiled(raw_transactions(spark, sf_dir))
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    number, date = F.col("Order ID").cast("long"), F.to_date(F.try_to_timestamp(F.substring("Order Date", 1, 10), F.lit("dd/MM/yyyy")))
+    when = lambda f: F.coalesce(F.date_format(date, f), F.col("Order Date"))
+    styles = (("iso", ("Order Date", "Sales", "Order ID"), "yyyy-MM-dd"), ("days", (" orderdate", "Revenue", "ID"), "d/M/yyyy"),
+              ("months", ("DATE", "amount", "Order-Id"), "M/d/yyyy"))
+    for i, (name, heads, pattern) in enumerate(styles):
+        columns = (when(pattern), F.col("Sales"), F.col("Order ID"))
+        (raw.where(F.pmod(number, F.lit(3)) == i).select(*[c.alias(h) for c, h in zip(columns, heads)]).repartition(2)
+         .write.option("header", True).csv(f"{base}/{name}"))
+    return read_transactions_folder(spark, base)
+
+
+@register("csv_folder_monthly", "S1 S2 S3 S4 C1 C2 (CSV files of three header styles in one job)", f"""
+SELECT strftime(order_date, '%Y-%m') AS period, {M(T('sales'))} AS sales, COUNT(DISTINCT order_id) AS n_orders
+FROM {fact(['order_date', 'sales', 'order_id'])} f WHERE order_id % 97 <> 0 AND order_id % 89 <> 0 GROUP BY 1""")
+def q_csv_folder_monthly(spark, sf_dir):
+    txn = _three_styles(spark, sf_dir).transactions
+    m = series.monthly_series(txn.select("order_date", "sales", F.col("order_id").cast("long").alias("order_id")))
+    return m.select(F.col("period_label").alias("period"), money("sales").alias("sales"), "n_orders")
+
+
+@register("csv_quarantine", "C2 S1 (rejected rows with file and reason)", f"""
+SELECT CASE order_id % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'days' ELSE 'months' END AS style, order_id % 97 = 0 AS bad_date,
+       order_id % 89 = 0 AS bad_sales, COUNT(*) AS n, COUNT(DISTINCT order_id) AS n_orders
+FROM {fact(['order_date', 'sales', 'order_id'])} f WHERE order_id % 97 = 0 OR order_id % 89 = 0 GROUP BY 1, 2, 3""")
+def q_csv_quarantine(spark, sf_dir):
+    kept = _three_styles(spark, sf_dir).quarantine
+    order = F.coalesce(*[F.get_json_object("row", f"$['{h}']") for h in ("Order ID", "ID", "Order-Id")])
+    return kept.groupBy(F.regexp_extract("source_file", "/(iso|days|months)/[^/]*$", 1).alias("style"), "bad_date", "bad_sales").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(order).alias("n_orders"))
+
+
 @register("store_roundtrip", "S6 S7 S13", f"""
 WITH m AS (SELECT strftime(order_date, '%Y-%m') AS period, {M(T('sales'))} AS sales
            FROM {fact(['order_date', 'sales'])} f GROUP BY 1)

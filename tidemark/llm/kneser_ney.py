@@ -12,8 +12,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keyed, pa_schema, prepare, table, without, written
+from tidemark.llm.common import keyed, new_dir, pa_schema, prepare, table, without, written
 from tidemark.llm.quality_rules import trusted_ids
+from tidemark.llm.token_files import file_system
 
 ORDER = 5  # bytes; up to 7 fit a long
 PIECE = 1 << 20  # n-grams that are sorted or looked up at a time
@@ -24,7 +25,7 @@ KEEP = 0.97  # reject above this quantile of the language's held-out scores
 PRIOR_BYTES = 100.0  # bytes at the language's median that are added to a text's own
 GRID = 1000  # quantiles are taken of bits rounded to 1 / GRID
 PACKS = ("pack long,ids array<long>,keys array<long>,langs array<string>,roles array<long>,"
-         "sizes array<long>,texts binary,grams array<long>,counts array<long>")
+         "sizes array<long>,path string,grams array<long>,counts array<long>")
 
 
 def grams(raw: bytes, order: int = ORDER) -> np.ndarray:
@@ -69,14 +70,20 @@ def _distinct(raws: Iterable[bytes], order: int) -> tuple[np.ndarray, np.ndarray
     return fold() if held else (keys, counts)
 
 
-def packs(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def packs(docs: DataFrame, folder: str, order: int = ORDER) -> DataFrame:
     """Documents (doc_id, text_key, lang, role, raw) in blocks of about
     PACK_BYTES, each with its distinct n-grams and, for texts of role 1
-    (training), their counts. A text longer than that is a block alone."""
+    (training), their counts. A text longer than that is a block alone. The
+    texts are a file in ``folder``, so that they go through no shuffle; an
+    attempt writes under a name of its own and renames at the end."""
     schema = pa_schema(PACKS)
+    system, root = file_system(folder)
+    system.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, rows = TaskContext.get().partitionId() << 32, 0, []
+        attempt = TaskContext.get().taskAttemptId()
+        system, root = file_system(folder)
 
         def seal() -> pa.RecordBatch:
             mine, n = _distinct((r[4] for r in rows if r[3] == 1), order)
@@ -84,8 +91,10 @@ def packs(docs: DataFrame, order: int = ORDER) -> DataFrame:
             counts = np.zeros(len(every), np.int64)
             counts[np.searchsorted(every, mine)] = n
             ids, keys, langs, roles, raws = zip(*rows)
-            blob = bz2.compress(b"".join(raws))  # each text is on disk twice, so size counts more than time
-            cols = (number, ids, keys, langs, roles, [len(x) for x in raws], blob, every, counts)
+            with system.open_output_stream(f"{root}/{number}.try{attempt}", compression=None) as f:
+                f.write(bz2.compress(b"".join(raws)))
+            system.move(f"{root}/{number}.try{attempt}", f"{root}/{number}.bz2")
+            cols = (number, ids, keys, langs, roles, [len(x) for x in raws], f"{folder}/{number}.bz2", every, counts)
             return pa.RecordBatch.from_arrays([pa.array([c], type=f.type) for c, f in zip(cols, schema)], schema=schema)
 
         for b in batches:
@@ -161,7 +170,7 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
     schema = pa_schema(out)
     role = F.when(F.col("trusted").isNull(), 0).when(F.pmod("text_key", F.lit(HELD_OUT)) == 0, 2).otherwise(1)
     flagged = keyed(docs, "lang").join(trusted_ids(spark, labels), "doc_id", "left").withColumn("role", role.cast("long"))
-    blocks = written(spark, packs(flagged, order), "packs")
+    blocks = written(spark, packs(flagged, new_dir(spark, "pack-texts"), order), "packs")
     pairs = blocks.select("pack", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("cnt"))))
     counts = written(spark, pairs.where("cnt > 0").groupBy("gram").agg(F.sum("cnt").alias("cnt")), "counts")
     asked = blocks.select("pack", F.explode("grams").alias("gram"))
@@ -174,7 +183,9 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
         by = np.argsort(keys)
         keys, bits = keys[by], bits[by]
         for r in left.to_pylist():
-            raw, at = bz2.decompress(r["texts"]), 0
+            system, path = file_system(r["path"])
+            with system.open_input_stream(path, compression=None) as f:
+                raw, at = bz2.decompress(f.read()), 0
             for size in r["sizes"]:
                 text = raw[at:at + size]
                 at += size
@@ -184,7 +195,7 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
                 cols[name].extend(r[part])
         return pa.table([pa.array(cols[f.name], type=f.type) for f in schema], schema=schema)
 
-    texts = blocks.select("pack", "ids", "keys", "langs", "roles", "sizes", "texts")
+    texts = blocks.select("pack", "ids", "keys", "langs", "roles", "sizes", "path")
     return texts.groupBy("pack").cogroup(answers.groupBy("pack_id")).applyInArrow(score, out)
 
 

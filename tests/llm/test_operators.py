@@ -178,17 +178,33 @@ def slow_ratio(all_texts, trusted, text):
     return sum(math.log((target[g] + 0.5) / m) - math.log((raw[g] + 0.5) / n) for g in grams) / len(grams) if grams else 0.0
 
 
-def test_quality_rules_against_brute_force(spark):
-    docs = sample(spark, 120)
+def slow_cut(all_texts, trusted, prior):
+    """The quantile of each trusted text's ratio without it among the trusted, drawn towards the prior."""
+    passing = []
+    for i, t in enumerate(trusted):
+        n, *_, again = slow_features(t)
+        if n >= 50 and 100 * again <= 50 * n:
+            passing.append(round(1e4 * slow_ratio(all_texts, trusted[:i] + trusted[i + 1:], t)) / 1e4)
+    m = len(passing)
+    return max(prior, (m * np.quantile(passing, 0.01) + 30 * prior) / (m + 30)) if m else prior
+
+
+@pytest.mark.parametrize("n,prior", [(60, -0.5), (200, -3.0)])
+def test_quality_rules_against_brute_force(spark, n, prior):
+    docs = sample(spark, n)
     texts = dict(rows(docs.select("doc_id", "text")))
     good = {d for d, q, t in rows(table(spark, SF_SMALL, "labels")) if q == 1 and t == 0}
-    got = quality_rules.judge(spark, docs, table(spark, SF_SMALL, "labels")).collect()
+    got = quality_rules.judge(spark, docs, table(spark, SF_SMALL, "labels"), prior).collect()
     assert len(got) == len(texts)
     for r in got:
         n, *rest = slow_features(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, *rest)
         assert r.base_failed == (n < 50 or 100 * rest[-1] > 50 * n)
-        assert r.kept == (not r.base_failed and r.log_ratio >= quality_rules.MIN_RATIO)
+    trusted = [texts[d] for d in texts if d in good]
+    cut = slow_cut(texts.values(), trusted, prior)
+    assert cut > prior or prior == -0.5
+    for r in got:
+        assert abs(r.log_ratio - cut) < 1e-4 or r.kept == (not r.base_failed and r.log_ratio >= cut)
     for r in got[:12]:
         expected = slow_ratio(texts.values(), [texts[d] for d in texts if d in good], texts[r.doc_id])
         assert r.log_ratio == pytest.approx(expected, abs=1e-4)
@@ -369,6 +385,35 @@ def test_model_grows_with_its_text(spark):
     assert sizes[1] > 1.7 * sizes[0], sizes
 
 
+def test_thresholds_against_brute_force(spark):
+    """Languages with many, few and no held-out texts: a weighted mean of two quantiles."""
+    docs, labels = table(spark, SF_MID, "documents"), table(spark, SF_MID, "labels")
+    few = F.when(F.col("doc_id") % 29 == 0, "few").when(F.col("doc_id") % 31 == 0, F.lit(None)).otherwise(F.col("lang"))
+    docs = docs.select("doc_id", "text", few.alias("lang"))
+    scored = kneser_ney.perplexities(spark, docs, labels).toPandas()
+    held = scored[(scored.role == 2) & scored.bits.notna()]
+    names = scored.lang.where(scored.lang.notna(), None)
+
+    def drawn(values, at):
+        grid = (values * 1000).round() / 1000
+        out = {}
+        for lang in set(names):
+            own = grid[held.lang.isna() if lang is None else held.lang == lang]
+            out[lang] = (len(own) * (np.quantile(own, at) if len(own) else 0) + 20 * np.quantile(grid, at)) / (len(own) + 20)
+        return out
+
+    centre = drawn(held.bits, 0.5)
+    score = (scored.bits * scored.n_bytes + 100 * names.map(centre)) / (scored.n_bytes + 100)
+    cut = drawn(score[held.index], 0.97)
+    assert min((held.lang == x).sum() for x in ("en", "few")) < 20 < (held.lang == "en").sum() or len(set(names)) > 4
+    want = dict(zip(scored.doc_id, zip(score, names.map(cut))))
+    for r in kneser_ney.classify(spark, docs, labels).collect():
+        s, t = want[r.doc_id]
+        assert r.threshold == pytest.approx(t, abs=3e-3)
+        if s == s and abs(s - t) > 5e-3:
+            assert r.kept == (s <= t) and r.score == pytest.approx(s, abs=3e-3)
+
+
 def test_small_languages_have_a_threshold(spark):
     """Junk in a language without trusted texts is rejected."""
     docs = table(spark, SF_MID, "documents").select("doc_id", "text", "lang")

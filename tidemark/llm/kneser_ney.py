@@ -20,7 +20,7 @@ ORDER = 5  # bytes; up to 7 fit a long
 PIECE = 1 << 20  # n-grams that are sorted or looked up at a time
 PACK_BYTES = 16 << 20  # text of the documents that ask for probabilities together
 HELD_OUT = 10  # one trusted text in so many calibrates the thresholds
-MIN_HELD_OUT = 20  # a language with fewer held-out texts has the quantiles over all languages
+PRIOR_HELD_OUT = 20.0  # held-out texts with which the quantile over all languages counts beside a language's own
 KEEP = 0.97  # reject above this quantile of the language's held-out scores
 PRIOR_BYTES = 100.0  # bytes at the language's median that are added to a text's own
 GRID = 1000  # quantiles are taken of bits rounded to 1 / GRID
@@ -201,14 +201,16 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, order:
 
 def _with_quantile(scored: DataFrame, value: Column, at: float, name: str) -> DataFrame:
     """``scored`` and a column ``name``: the quantile ``at`` of the held-out
-    trusted texts of a row's language, exact on a grid of 1 / GRID; of those
-    of all languages where it has fewer than MIN_HELD_OUT."""
+    trusted texts of a row's language, exact on a grid of 1 / GRID, drawn
+    towards that of all languages: with n such texts it has the weight
+    n / (n + PRIOR_HELD_OUT), and without any none."""
     grid = (scored.where("role = 2 and bits is not null").groupBy("lang", F.round(value * GRID).alias("at"))
             .agg(F.count("*").alias("n")))
     q = F.percentile("at", F.lit(at), F.col("n")) / GRID
-    own = grid.groupBy(F.col("lang").alias("_lang")).agg(q.alias("_own"), F.sum("n").alias("_n")).where(F.col("_n") >= MIN_HELD_OUT)
+    own = grid.groupBy(F.col("lang").alias("_lang")).agg(q.alias("_own"), F.sum("n").alias("_n"))
     joined = scored.join(own, scored["lang"].eqNullSafe(own["_lang"]), "left").crossJoin(F.broadcast(grid.agg(q.alias("_all"))))
-    return joined.withColumn(name, F.coalesce("_own", "_all")).drop("_lang", "_own", "_n", "_all")
+    drawn = (F.col("_n") * F.col("_own") + PRIOR_HELD_OUT * F.col("_all")) / (F.col("_n") + PRIOR_HELD_OUT)
+    return joined.withColumn(name, F.coalesce(drawn, "_all")).drop("_lang", "_own", "_n", "_all")
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int = ORDER, keep: float = KEEP) -> DataFrame:
@@ -220,9 +222,10 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, order: int
     alone don't decide. A document is rejected if its score exceeds its
     language's threshold, the quantile ``keep`` of the scores of the
     held-out trusted texts of that language. Null and empty texts have
-    no perplexity and are rejected; a language (null is one) with fewer than
-    MIN_HELD_OUT held-out trusted texts has the median and threshold over
-    those of all languages, and only without any are all texts kept; rows
+    no perplexity and are rejected; median and threshold of a
+    language (null is one) are drawn towards those over all languages, the
+    more the fewer held-out trusted texts it has, and only without any in
+    any language are all texts kept; rows
     with null or repeated ids are judged one by one; other columns are
     ignored; an empty table gives no rows."""
     scored = written(spark, perplexities(spark, docs, labels, order), "scored")

@@ -15,8 +15,8 @@ from tidemark.llm.common import keyed, pa_schema, prepare, small, table, written
 ORDER, BITS = 4, 18  # bytes of an n-gram; 2^BITS buckets, whatever the corpus
 ALPHA = 0.5  # added to every bucket
 MIN_RATIO = -0.5  # nats for each n-gram; documents below are dropped in any case
-LOW = 0.01  # and those below this quantile of trusted documents left out of the target counts
-MIN_TRUSTED = 100  # if there are so many
+LOW = 0.01  # and those below this quantile of trusted documents left out of the target counts,
+PRIOR = 30.0  # drawn towards MIN_RATIO as if by so many more documents there
 GRID = 10_000  # that quantile is taken of ratios rounded to 1 / GRID
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = b"#*$%&|<>"
@@ -91,10 +91,11 @@ def left_out_ratio(n: np.ndarray, totals: np.ndarray, at: np.ndarray) -> float:
     return float(times @ (target - raw)) / len(at)
 
 
-def lowest_ratio(trusted: DataFrame, n: np.ndarray, low: float = LOW) -> float | None:
+def lowest_ratio(trusted: DataFrame, n: np.ndarray, min_ratio: float = MIN_RATIO, low: float = LOW) -> float:
     """The quantile ``low`` of the left-out ratios of the trusted texts
-    (column raw) that pass the base rules, exact on a grid of 1 / GRID; None
-    for fewer than MIN_TRUSTED of them."""
+    (column raw) that pass the base rules, exact on a grid of 1 / GRID; with m
+    of them it has weight m / (m + PRIOR) beside ``min_ratio``, so no number
+    of texts is a border. At least ``min_ratio``."""
     totals = n.sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,8 @@ def lowest_ratio(trusted: DataFrame, n: np.ndarray, low: float = LOW) -> float |
     grid = (trusted.select("raw").mapInArrow(run, "ratio double").groupBy(F.round(F.col("ratio") * GRID).alias("at"))
             .agg(F.count("*").alias("n")))
     got = grid.agg(F.sum("n").alias("n"), F.percentile("at", F.lit(low), F.col("n")).alias("q")).first()
-    return got.q / GRID if (got.n or 0) >= MIN_TRUSTED else None
+    m = got.n or 0
+    return max(min_ratio, (m * got.q / GRID + PRIOR * min_ratio) / (m + PRIOR)) if m else min_ratio
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -149,8 +151,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, min_ratio: fl
     base_failed, kept, log_ratio for every row of ``docs`` (doc_id, text).
 
     log_ratio is the mean over a text's n-grams (zero if it has none); kept
-    needs the base rules passed and log_ratio >= ``min_ratio``, and with
-    MIN_TRUSTED trusted documents or more also log_ratio >= ``lowest_ratio``.
+    needs the base rules passed and log_ratio >= ``lowest_ratio``.
     The target counts come from all trusted documents, the raw counts from
     all documents. Null and empty texts have no words and fail the base rules;
     without any trusted document log_ratio is null and the base rules alone
@@ -160,8 +161,8 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, min_ratio: fl
     flagged = keyed(docs).join(trusted_ids(spark, labels), "doc_id", "left")
     n_buckets = collected(count_buckets(flagged))
     ratios = None if n_buckets is None else log_ratios(n_buckets)
-    if n_buckets is not None and (lowest := lowest_ratio(flagged.where("trusted"), n_buckets)) is not None:
-        min_ratio = max(min_ratio, lowest)
+    if n_buckets is not None:
+        min_ratio = lowest_ratio(flagged.where("trusted"), n_buckets, min_ratio)
     out = ("doc_id long,n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long,"
            "base_failed boolean,kept boolean,log_ratio double")
     schema = pa_schema(out)

@@ -26,6 +26,7 @@ from tidemark.functions.numeric import total_sql as T
 from tidemark.operators import (anomaly, eda, evaluation, explain, iforest, ledger, profile, series,
                                 stl, throttle, treeshap)
 from tidemark.operators import forecast as _fc
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans import pipeline
 from tidemark.operators.profile import NUMERIC_TEXT
 from tidemark.plans import series_sql as S
@@ -749,6 +750,16 @@ def q_series_features_customer(spark, sf_dir):
     return present_features(feature_frame(spark, sf_dir, "customer_id"))
 
 
+@register("sales_quartiles", "A13 A15 (exact quantiles of transactions, no buffer of a group)", f"""
+SELECT category, segment, COUNT(sales) AS n, {R('quantile_cont(sales, 0.25)', 2)} AS q1, {R('quantile_cont(sales, 0.5)', 2)} AS median,
+       {R('quantile_cont(sales, 0.75)', 2)} AS q3, {R('quantile_cont(sales, 0.99)', 2)} AS p99
+FROM {fact(['order_date', 'sales', 'category', 'segment'])} f WHERE sales IS NOT NULL GROUP BY 1, 2""")
+def q_sales_quartiles(spark, sf_dir):
+    txn = written(sales_fact(spark, sf_dir, ["order_date", "sales", "category", "segment"]), "txn")
+    q = exact_quantiles(txn, ["category", "segment"], "sales", [0.25, 0.5, 0.75, 0.99], bins=256, leaf=200)
+    return q.select("category", "segment", "n", *[rnd(f"q{i}", 2).alias(c) for i, c in enumerate(("q1", "median", "q3", "p99"))])
+
+
 @register("ema_daily_region", "W4 (long series: one value a day)", f"""
 WITH d AS (SELECT region AS series_key, CAST(order_date AS DATE) AS period, {T('sales')} AS sales
            FROM {fact(['order_date', 'sales', 'region'])} f WHERE region IS NOT NULL GROUP BY 1, 2),

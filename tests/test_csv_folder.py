@@ -68,3 +68,27 @@ def test_no_files(spark, tmp_path):
     assert got.transactions.count() == got.quarantine.count() == 0 and got.files.first().error
     assert header(spark, str(tmp_path / "x.csv")) == ("Nothing",)
     assert MONTH_FIRST_FORMATS[3] == "M/d/yyyy H:mm:ss" and MONTH_FIRST_FORMATS[0] == "yyyy-MM-dd HH:mm:ss"
+
+
+def test_formats_are_tried_on_texts_of_their_shape_only(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.dates import DAY_FIRST_FORMATS, parse_day_first
+    texts = ["13/02/2020", " 1/2/20 ", "2020-01-01t10:00:00", "0001/2/2020", "+12020-01-01", "1-2--2020", "1.2.2020", "1-2-2020", "1/2/2020\n",
+             "1/2/2020 7:05", "1/2/2020 24:00", "2020-01-01 10:00", "2020-02-30", "31/4/2021", "no date", "", "٣/2/2020", "1/2/020", "2020-1-1", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for formats in (DAY_FIRST_FORMATS, MONTH_FIRST_FORMATS):
+        plain = F.coalesce(*[F.try_to_timestamp(F.trim("s"), F.lit(f)) for f in formats])
+        shaped = df.select("s", plain.alias("plain"), parse_day_first("s", formats).alias("shaped"))
+        assert shaped.where("not (plain <=> shaped)").collect() == []
+        assert shaped._jdf.queryExecution().analyzed().toString().count("RLIKE") == len(formats)
+
+
+def test_months_of_files_take_one_pass(spark, folder):
+    import datetime as dt
+
+    from tidemark.operators import series
+    rows = [(dt.datetime(2020, 1, 1), 1.0, 1), (dt.datetime(2020, 1, 2), None, 1), (dt.datetime(2020, 1, 3), 2.0, None), (None, 5.0, 2)]
+    m = series.monthly_series(spark.createDataFrame(rows, "order_date timestamp, sales double, order_id long"))
+    assert [(r.sales, r.n_orders, r.n_products, r.n_customers, r.avg_txn_sale) for r in m.collect()] == [(3.0, 1, 3, 3, 1.5)]
+    assert "Join" not in m._jdf.queryExecution().optimizedPlan().toString()

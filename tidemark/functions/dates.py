@@ -7,6 +7,8 @@ no format accepts becomes NULL (and is counted as rejected by the caller).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
@@ -29,10 +31,24 @@ DAY_FIRST_FORMATS = (
 MICROS_PER_DAY = 86_400_000_000
 
 
+def format_shape(pattern: str) -> str:
+    """A regular expression that every text the format accepts matches:
+    signed numbers of as many digits as letters or more, with the format's
+    other characters between them."""
+    def part(m: re.Match) -> str:
+        if m["field"]:
+            return rf"[+-]?\d{{{len(m['field'])},}}"
+        return "".join(f"[{x.upper()}{x.lower()}]" if x.isalpha() else re.escape(x) for x in m["quoted"] or m["other"])
+    return "^" + re.sub(r"'(?P<quoted>[^']+)'|(?P<field>([A-Za-z])\3*)|(?P<other>.)", part, pattern) + "$"
+
+
 def parse_day_first(c, formats=DAY_FIRST_FORMATS) -> Column:
-    """String column -> timestamp; NULL when no format accepts the value."""
+    """String column -> timestamp; NULL when no format accepts the value.
+
+    A format is tried only on texts of its shape: each refusal of a parser
+    is an exception, which costs many times what the parsing does."""
     s = F.trim(col_of(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(s.rlike(format_shape(f)), F.try_to_timestamp(s, F.lit(f))) for f in formats])
 
 
 def as_timestamp(df: DataFrame, name: str) -> Column:

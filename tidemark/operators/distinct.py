@@ -52,17 +52,19 @@ def _bit(kind: int, at: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.shiftright(at, 6).alias("word"), F.coalesce(one, F.lit(0).cast("long")).alias("bits"))
 
 
-def states(df: DataFrame, by: dict[str, Column], ids: list[Column], amount: str = "sales") -> DataFrame:
+def states(df: DataFrame, by: dict[str, Column], ids: list[Column], amount: str = "sales", with_rows: bool = False) -> DataFrame:
     """Partial states of ``df``: by, kind (which of ``ids``, or -1 without
     any), word, bits, and on kind's first the exact sum, the sum and count
-    of ``amount``. Null ids are no bit; their rows count for the amount."""
+    of ``amount`` (``with_rows``: also the count of all rows). Null ids are
+    no bit; their rows count for the amount."""
     first = -1 if not ids else 0
     parts = [_bit(k, c) for k, c in enumerate(ids)] or [_bit(-1, F.lit(None).cast("long"))]
     rows = df.select(*[c.alias(n) for n, c in by.items()], F.col(amount).alias("_amount"), F.explode(F.array(*parts)).alias("_bit"))
     mine = F.when(F.col("kind") == first, F.col("_amount"))
     return (rows.select(*by, "_amount", "_bit.*").groupBy(*by, "kind", "word")
             .agg(F.bit_or("bits").alias("bits"), F.sum(mine.try_cast(MONEY_TYPE)).alias("sales"),
-                 F.sum(mine.cast("double")).alias("amount"), F.count(mine).alias("n")))
+                 F.sum(mine.cast("double")).alias("amount"), F.count(mine).alias("n"),
+                 *([F.count_if(F.col("kind") == first).alias("rows")] if with_rows else [])))
 
 
 def merged(parts: DataFrame, by: list[str]) -> DataFrame:
@@ -73,7 +75,9 @@ def merged(parts: DataFrame, by: list[str]) -> DataFrame:
 
 def counted(parts: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """by, sales (the exact sum as a double), ``names`` (the distinct ids of
-    each kind) and mean amount of merged or unmerged states of one input."""
+    each kind) and mean amount of merged or unmerged states of one input;
+    also rows, if the states have them."""
     counts = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.bit_count("bits").cast("long"))), F.lit(0)).alias(n) for k, n in enumerate(names)]
     return parts.groupBy(*by).agg(F.sum("sales").cast("double").alias("sales"), *counts,
-                                  F.try_divide(F.sum("amount"), F.sum("n")).alias("mean_amount"))
+                                  F.try_divide(F.sum("amount"), F.sum("n")).alias("mean_amount"),
+                                  *([F.sum("rows").alias("rows")] if "rows" in parts.columns else []))

@@ -50,12 +50,11 @@ def _counted_series(src: DataFrame, key: str | None, roles: list[str]) -> DataFr
     there count rows."""
     src, ids = distinct.with_ids(src, roles)
     by = {"series_key": series_key_expr(key), "period": month_start("order_date")}
-    parts = distinct.states(src, by, [ids[r] for r in roles])
     missing = [r for r in ID_ROLES if r not in roles]
+    parts = distinct.states(src, by, [ids[r] for r in roles], with_rows=bool(missing))
     m = distinct.counted(parts, list(by), [ID_ROLES[r] for r in roles])
-    if missing:
-        rows = src.groupBy(*[c.alias(n) for n, c in by.items()]).agg(F.count(F.lit(1)).alias("_rows"))
-        m = m.join(rows, list(by)).withColumns({ID_ROLES[r]: F.col("_rows") for r in missing})
+    if missing:  # rows without a date are no month then
+        m = m.where(F.col("period").isNotNull()).withColumns({ID_ROLES[r]: F.col("rows") for r in missing})
     return m.select(*by, "sales", *ID_ROLES.values(), F.col("mean_amount").alias("avg_txn_sale"))
 
 

@@ -495,7 +495,7 @@ def q_rejected_counts(spark, sf_dir):
 def _three_styles(spark, sf_dir) -> FolderRead:
     """The transactions, some of them spoiled, as CSV files of three header
     styles and date orders, by order id, read back as one folder."""
-    raw = _spoiled(raw_transactions(spark, sf_dir))
+    raw = written(_spoiled(raw_transactions(spark, sf_dir)).select("Order Date", "Sales", "Order ID"), "raw")
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
     number, date = F.col("Order ID").cast("long"), F.to_date(F.try_to_timestamp(F.substring("Order Date", 1, 10), F.lit("dd/MM/yyyy")))
     when = lambda f: F.coalesce(F.date_format(date, f), F.col("Order Date"))
@@ -503,7 +503,7 @@ def _three_styles(spark, sf_dir) -> FolderRead:
               ("months", ("DATE", "amount", "Order-Id"), "M/d/yyyy"))
     for i, (name, heads, pattern) in enumerate(styles):
         columns = (when(pattern), F.col("Sales"), F.col("Order ID"))
-        (raw.where(F.pmod(number, F.lit(3)) == i).select(*[c.alias(h) for c, h in zip(columns, heads)]).repartition(2)
+        (raw.where(F.pmod(number, F.lit(3)) == i).select(*[c.alias(h) for c, h in zip(columns, heads)])
          .write.option("header", True).csv(f"{base}/{name}"))
     return read_transactions_folder(spark, base)
 

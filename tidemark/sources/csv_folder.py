@@ -26,7 +26,9 @@ EXTRAS = ("quantity", "discount")
 FEW_FILES = 100_000  # a vote for each of so many files is broadcast
 #: The day-first formats that start with a day, with the month there.
 MONTH_FIRST_FORMATS = tuple("M" + f[1] + "d" + f[3:] if f.startswith("d") else f for f in DAY_FIRST_FORMATS)
-PARTS = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-]\d{2,4}"  # of a date that starts with a day or a month
+#: The start of a date whose two first numbers are of these kinds: 13 and more, and up to 12.
+LARGE, SMALL = r"(?:1[3-9]|[2-9]\d)", r"(?:0?\d|1[0-2])"
+PARTS = r"^\s*{}[/.-]{}[/.-]\d{{2,4}}"
 FILES = "file string,header array<string>,roles map<string,string>,error string"
 
 
@@ -79,10 +81,9 @@ def _as_text(raw: DataFrame, binding: RoleBinding) -> DataFrame:
 def date_votes(rows: DataFrame) -> DataFrame:
     """source_file, day_first, month_first: dates of a file whose first or
     second number is above 12; at most one row for each file and task."""
-    first, second = (F.regexp_extract("order_date", PARTS, i).try_cast("int") for i in (1, 2))
-    return rows.groupBy("source_file").agg(
-        F.count_if((first > 12) & (second <= 12)).alias("day_first"), F.count_if((second > 12) & (first <= 12)).alias("month_first"),
-        F.count_if((first <= 12) & (second <= 12)).alias("undecided"))
+    starts = lambda first, second: F.count_if(F.col("order_date").rlike(PARTS.format(first, second)))
+    return rows.groupBy("source_file").agg(starts(LARGE, SMALL).alias("day_first"), starts(SMALL, LARGE).alias("month_first"),
+                                           starts(SMALL, SMALL).alias("undecided"))
 
 
 def _order(day: Column, month: Column, undecided: Column) -> Column:

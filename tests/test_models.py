@@ -240,3 +240,15 @@ def test_step_features_continue_the_training_features(spark):
     step = forecast.step_features(state).first()
     for name in ("lag1", "lag12", "roll3_mean", "roll6_std", "roll12_mean", "ema3", "ema6", "ema12", "month", "is_q4"):
         assert abs(step[name] - last[name]) < 1e-9, name
+
+def test_token_bucket_blocks_of_a_long_segment(spark, monkeypatch):
+    base = dt.datetime(2024, 1, 1)
+    rng = np.random.default_rng(3)
+    at = np.cumsum(rng.integers(0, 3_000_000, 3000))  # no gap of a full refill: one segment
+    rows = [(i, k, base + dt.timedelta(microseconds=int(t))) for i, t in enumerate(at) for k in ("a", "b") if k == "a" or i % 3 == 0]
+    ev = spark.createDataFrame([(2 * i + (k == "b"), k, t) for i, k, t in rows], "event_id long, user_id string, ts timestamp_ntz")
+    whole = {r.event_id: (r.user_id, r.allowed, r.tokens) for r in throttle.token_bucket(ev, capacity=10.0, rate=0.2, split_segments=False).collect()}
+    monkeypatch.setattr(throttle, "BLOCK_EVENTS", 200)
+    got = throttle.token_bucket(ev, capacity=10.0, rate=0.2)
+    assert {r.event_id: (r.user_id, r.allowed, r.tokens) for r in got.collect()} == whole and len(whole) == 4000
+    assert "_block" in got._jdf.queryExecution().optimizedPlan().toString()  # 15 and 5 tasks' work, not one for each key

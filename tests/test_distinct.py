@@ -75,6 +75,25 @@ def test_dictionary_has_no_gaps(spark):
     assert [i for i, _ in got] == list(range(1777)) and [v for _, v in got] == sorted({str(i) for i in range(1777)})
 
 
+def test_a_merge_takes_states_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Whatever the files' splits are; nothing is aggregated before."""
+    monkeypatch.setattr(distinct, "TASK_STATES", 500, raising=False)
+    by = {"series_key": F.col("region"), "period": F.trunc("order_date", "month")}
+    ids = [F.col(c) for c in ("order_id", "product_id", "customer_id")]
+    halves = [spark_frame(spark, frame(6000, seed)) for seed in (1, 2)]
+    for df in halves:
+        distinct.states(df, by, ids).coalesce(1).write.mode("append").parquet(str(tmp_path / "parts"))
+    parts = spark.read.parquet(str(tmp_path / "parts"))
+    both = distinct.merged(parts, list(by))
+    sizes = [r["count"] for r in both.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) < parts.count() and len(sizes) > parts.count() / 1000 and max(sizes) <= 1000
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index("Exchange"):]
+    key = lambda r: (str(r.series_key), str(r.period), r.kind, str(r.word))
+    short = lambda df: {key(r): (r.bits, r.sales, pytest.approx(r.amount), r.n) for r in df.collect()}
+    assert short(both) == short(distinct.states(halves[0].union(halves[1]), by, ids))
+
+
 def test_files_are_merged_once_and_touch_their_months_only(spark, tmp_path):
     pdf = frame()
     month = pd.to_datetime(pdf["order_date"]).dt.strftime("%Y-%m")

@@ -16,6 +16,8 @@ from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 from tidemark.functions.numeric import MONEY_TYPE
 
 WHOLE = (ByteType, ShortType, IntegerType, LongType)
+#: States that one task merges, on average: about 100 MB of hash tables.
+TASK_STATES = 200_000
 #: Columns of a state beside its grouping columns.
 STATE = ("kind", "word", "bits", "sales", "amount", "n")
 
@@ -68,8 +70,13 @@ def states(df: DataFrame, by: dict[str, Column], ids: list[Column], amount: str
 
 
 def merged(parts: DataFrame, by: list[str]) -> DataFrame:
-    """States of several inputs as one."""
-    return parts.groupBy(*by, "kind", "word").agg(
+    """States of several inputs as one. Few of them meet, so that a hash table
+    map-side would hold nearly all states of a split, which are a few bytes
+    each in its file: they are cut into even ranges of ``by`` from its last
+    column on, as many as their number asks for, and only then merged."""
+    ranges = [*reversed(by), "kind", "word"]
+    tasks = 1 + parts.count() // TASK_STATES
+    return parts.repartitionByRange(tasks, *ranges).groupBy(*by, "kind", "word").agg(
         F.bit_or("bits").alias("bits"), F.sum("sales").cast("decimal(38,4)").alias("sales"), F.sum("amount").alias("amount"), F.sum("n").alias("n"))
 
 
